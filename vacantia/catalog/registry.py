@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("text", "urls")
+_MODULES = ("text", "urls", "rules", "scoring")
 
 
 def query(name: str, sql: str | None = None):

@@ -111,11 +111,15 @@ def ladder_score(seniority: Column, years: Column, desired: str, ladder=LADDER)
         return F.lit(None).cast("double")
     name = F.lower(F.coalesce(seniority, F.lit("")))
     rung = F.nullif(F.array_position(F.array(*[F.lit(r) for r in ladder]), name), F.lit(0).cast("bigint"))
-    by_years = F
-    for floor, label in YEARS_TO_RUNG:
-        by_years = by_years.when(years >= floor, ladder.index(label) + 1)
-    by_years = by_years.when(years.isNotNull(), ladder.index("mid") + 1)
-    distance = F.abs(F.coalesce(rung, by_years) - (ladder.index(desired) + 1))
+    if ladder == LADDER:
+        by_years = F
+        for floor, label in YEARS_TO_RUNG:
+            by_years = by_years.when(years >= floor, ladder.index(label) + 1)
+        rung_or_guess = F.coalesce(rung, by_years.when(years.isNotNull(), ladder.index("mid") + 1))
+    else:
+        # Years say nothing about a ladder of the user's own.
+        rung_or_guess = rung
+    distance = F.abs(rung_or_guess - (ladder.index(desired) + 1))
     return F.when(rung.isNull() & (name == "manager"), 1.0).otherwise(clamp(5 - distance))
 
 

@@ -61,6 +61,10 @@ def location_passes(location: Column, always_allow=None, allow=None, block=None)
     )
 
 
+def _holds(needle: str):
+    return lambda t: F.lower(t).contains(needle)
+
+
 def first_exclusion(keywords: Sequence[str], *texts: Column, tags: Column | None = None) -> Column:
     """The first configured keyword found in any text or tag, else null."""
     hits = []
@@ -70,7 +74,7 @@ def first_exclusion(keywords: Sequence[str], *texts: Column, tags: Column | None
             continue
         found = reduce(lambda a, b: a | b, [F.coalesce(F.lower(t).contains(needle), F.lit(False)) for t in texts])
         if tags is not None:
-            found = found | F.coalesce(F.exists(tags, lambda t, n=needle: F.lower(t).contains(n)), F.lit(False))
+            found = found | F.coalesce(F.exists(tags, _holds(needle)), F.lit(False))
         hits.append(F.when(found, F.lit(keyword)))
     return F.coalesce(*hits) if hits else F.lit(None).cast("string")
 

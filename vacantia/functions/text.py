@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +12,15 @@ from pyspark.sql import functions as F
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it.
+
+    Catalyst repeats a shared sub-expression inside conditional branches; a costly one (patterns over
+    long texts) is bound to a lambda variable instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Remove all whitespace from both ends."""
     return F.regexp_replace(c, _EDGE_SPACE, "")
@@ -179,22 +189,28 @@ def labelled_line(text: Column, label: str) -> Column:
 
 def contact_parts(text: Column) -> Column:
     """``Name <mail>, +1 555…`` → struct(name, email, phone)."""
-    source = F.coalesce(text, F.lit(""))
-    email = F.regexp_extract(source, r"[\w.+-]+@[\w.-]+\.\w+", 0)
-    phone = strip(F.regexp_extract(source, r"\+?[\d][\d\s().-]{6,}", 0))
-    rest = F.regexp_replace(source, "<[^>]*>", "")
-    rest = _remove_first(_remove_first(rest, email), phone)
-    name = strip(F.regexp_replace(rest, "[,;]", " "))
-    return F.struct(name.alias("name"), email.alias("email"), phone.alias("phone"))
+    def parts(source: Column) -> Column:
+        email = F.regexp_extract(source, r"[\w.+-]+@[\w.-]+\.\w+", 0)
+        phone = strip(F.regexp_extract(source, r"\+?[\d][\d\s().-]{6,}", 0))
+        return F.struct(source.alias("source"), email.alias("email"), phone.alias("phone"))
+
+    def named(p: Column) -> Column:
+        bare = F.regexp_replace(p["source"], "<[^>]*>", "")
+        rest = _remove_first(_remove_first(bare, p["email"]), p["phone"])
+        name = strip(F.regexp_replace(rest, "[,;]", " "))
+        return F.struct(name.alias("name"), p["email"].alias("email"), p["phone"].alias("phone"))
+
+    return let(let(F.coalesce(text, F.lit("")), parts), named)
 
 
 def _remove_first(text: Column, piece: Column) -> Column:
     """Drop the first occurrence of ``piece``; nothing when it is '' or absent."""
-    at = F.instr(text, piece)
-    return F.when(
-        (piece != "") & (at > 0),
-        F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(piece), F.length(text))),
-    ).otherwise(text)
+    def without(t: Column) -> Column:
+        at = F.instr(t, piece)
+        rest = F.concat(F.substring(t, F.lit(1), at - 1), F.substring(t, at + F.length(piece), F.length(t)))
+        return F.when((piece != "") & (at > 0), rest).otherwise(t)
+
+    return let(text, without)
 
 
 def contains_any(c: Column, needles: list[str]) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import or_else, strip
+from .text import let, or_else, strip
 
 _WEB = r"(?i)^(https?)://(?:[^/?#\\@\s]*@)?([^/?#\\@:\s<>^|%\[\]]+)(?::(\d{1,5}))?((?:/[^?#]*)?)(\?[^#]*)?(#.*)?$"
 _ANY = r"(?i)^([a-z][a-z0-9+.\-]*):(.*)$"
@@ -52,10 +52,46 @@ def query_param(url: Column, name: str) -> Column:
 
 
 # Tracking parameters that never identify a listing.
-_TRACKING = r"(?i)^(?:utm_.*|gh_src|gh_jid_src|src|ref|source)$"
+_TRACKING = r"(?i)(?<=[?&])(?:utm_[^=&]*|gh_src|gh_jid_src|src|ref|source)(?:=[^&]*)?(?:&|$)"
+# Pages of an application form below a listing.
+_FORM_PAGE = r"/+(?:apply|application)/*$"
 # The embedded application form and the page it stands for.
 _EMBED_HOST, _EMBED_PATH = r"(?i)greenhouse\.io$", r"(?i)/embed/job_app"
 _EMBED_TARGET = "https://job-boards.greenhouse.io/%s/jobs/%s"
+# Parts of a URL come from one match, joined by a control character and split again.
+_CUT = "\u0001"
+
+
+def _web_parts(text: Column) -> Column:
+    """struct(scheme, domain, port, path, query) of a web URL."""
+    pieces = F.split(F.regexp_replace(text, _WEB, _CUT.join(f"${i}" for i in range(1, 6))), _CUT)
+    return let(pieces, lambda p: F.struct(
+        F.lower(p[0]).alias("scheme"), F.regexp_replace(F.lower(p[1]), r"^www\.", "").alias("domain"),
+        p[2].alias("port"), p[3].alias("path"), p[4].alias("query"),
+    ))
+
+
+def _clean_parts(p: Column) -> Column:
+    form_page = p["path"].rlike(r"[^/]" + _FORM_PAGE)
+    without_form = F.regexp_replace(F.regexp_replace(p["path"], _FORM_PAGE, ""), "/{2,}", "/")
+    pairs = F.regexp_replace(F.regexp_replace(p["query"], _TRACKING, ""), "&{2,}", "&")
+    default = F.when(p["scheme"] == "https", "443").otherwise("80")
+    return F.struct(
+        F.concat(
+            p["scheme"], F.lit("://"), p["domain"],
+            F.when(p["port"].isin("") | (p["port"] == default), "").otherwise(F.concat(F.lit(":"), p["port"])),
+        ).alias("origin"),
+        F.when(form_page, without_form).otherwise(F.regexp_replace(p["path"], "/+$", "")).alias("path"),
+        F.regexp_replace(F.regexp_replace(pairs, r"^\?&", "?"), "[?&]+$", "").alias("query"),
+    )
+
+
+def _embedded(p: Column) -> Column:
+    """The listing page an embedded application form stands for, else null."""
+    board = F.lower(F.regexp_extract(p["query"], "[?&]for=([^&]*)", 1))
+    token = F.regexp_extract(p["query"], "[?&]token=([^&]*)", 1)
+    is_form = p["path"].rlike(_EMBED_PATH) & p["domain"].rlike(_EMBED_HOST)
+    return F.when(is_form, F.when((board != "") & token.rlike(r"^\d+$"), F.format_string(_EMBED_TARGET, board, token)))
 
 
 def canonical_url(raw: Column) -> Column:
@@ -65,34 +101,16 @@ def canonical_url(raw: Column) -> Column:
     fragment, no tracking parameters, no trailing ``/apply`` or ``/application``, no trailing
     slash. Null and blank give ''; text that is no web URL is only trimmed.
     """
-    text = strip(F.coalesce(raw, F.lit("")))
-    proto = F.lower(_part(text, 1))
-    domain = bare_host(text)
-    port_text = _part(text, 3)
-    default_port = F.when(proto == "https", "443").otherwise("80")
-    port = F.when((port_text == "") | (port_text == default_port), "").otherwise(F.concat(F.lit(":"), port_text))
-
-    parts = segments(text)
-    last = F.element_at(parts, -1)
-    form_page = (F.size(parts) > 1) & last.isin("apply", "application")
-    shortened = F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/"))
-    clean_path = F.when(form_page, shortened).otherwise(F.regexp_replace(path(text), "/+$", ""))
-
-    pairs = F.filter(
-        F.split(F.substring(_part(text, 5), 2, 2147483647), "&"),
-        lambda p: (p != "") & ~F.regexp_extract(p, "^[^=]*", 0).rlike(_TRACKING),
-    )
-    query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
-    # The root path is written only in front of a query.
-    shown_path = F.when((clean_path == "") & (query != ""), "/").otherwise(clean_path)
+    def joined(c: Column) -> Column:
+        # The root path is written only in front of a query.
+        shown = F.when((c["path"] == "") & (c["query"] != ""), "/").otherwise(c["path"])
+        return F.concat(c["origin"], shown, c["query"])
 
-    board, token = F.lower(query_param(text, "for")), query_param(text, "token")
-    embedded = domain.rlike(_EMBED_HOST) & path(text).rlike(_EMBED_PATH) & (board != "") & token.rlike(r"^\d+$")
-    return (
-        F.when(~text.rlike(_WEB), text)
-        .when(embedded, F.format_string(_EMBED_TARGET, board, token))
-        .otherwise(F.concat(proto, F.lit("://"), domain, port, shown_path, query))
-    )
+    def from_text(text: Column) -> Column:
+        web = let(_web_parts(text), lambda p: F.coalesce(_embedded(p), let(_clean_parts(p), joined)))
+        return F.when(text.rlike(_WEB), web).otherwise(text)
+
+    return let(strip(F.coalesce(raw, F.lit(""))), from_text)
 
 
 def listing_id(url: Column) -> Column:
@@ -104,28 +122,32 @@ def listing_id(url: Column) -> Column:
 
 # Where each board keeps the company slug in its URLs, in matching order.
 BOARD_PATTERNS = (
-    (r"(?i)job-boards(?:\.eu)?\.greenhouse\.io/([^/?#]+)", "greenhouse"),
-    (r"(?i)boards\.greenhouse\.io/([^/?#]+)", "greenhouse"),
-    (r"(?i)jobs\.ashbyhq\.com/([^/?#]+)", "ashby"),
-    (r"(?i)jobs\.lever\.co/([^/?#]+)", "lever"),
-    (r"(?i)([^/.]+)\.recruitee\.com", "recruitee"),
-    (r"(?i)([^/.]+)\.breezy\.hr", "breezy"),
-    (r"(?i)([^/.]+)\.bamboohr\.com", "bamboohr"),
-    (r"(?i)apply\.workable\.com/([^/?#]+)", "workable"),
-    (r"(?i)ats\.rippling\.com/([^/?#]+)", "rippling"),
-    (r"(?i)careers\.smartrecruiters\.com/([^/?#]+)", "smartrecruiters"),
+    ("greenhouse.io", r"(?i)job-boards(?:\.eu)?\.greenhouse\.io/([^/?#]+)", "greenhouse"),
+    ("greenhouse.io", r"(?i)boards\.greenhouse\.io/([^/?#]+)", "greenhouse"),
+    ("ashbyhq.com", r"(?i)jobs\.ashbyhq\.com/([^/?#]+)", "ashby"),
+    ("lever.co", r"(?i)jobs\.lever\.co/([^/?#]+)", "lever"),
+    ("recruitee.com", r"(?i)([^/.]+)\.recruitee\.com", "recruitee"),
+    ("breezy.hr", r"(?i)([^/.]+)\.breezy\.hr", "breezy"),
+    ("bamboohr.com", r"(?i)([^/.]+)\.bamboohr\.com", "bamboohr"),
+    ("workable.com", r"(?i)apply\.workable\.com/([^/?#]+)", "workable"),
+    ("rippling.com", r"(?i)ats\.rippling\.com/([^/?#]+)", "rippling"),
+    ("smartrecruiters.com", r"(?i)careers\.smartrecruiters\.com/([^/?#]+)", "smartrecruiters"),
 )
 
 
 def company_key(provider: Column, careers_url: Column, patterns=BOARD_PATTERNS) -> Column:
-    """``provider:slug`` from the board URL, else ``provider:host``, else ``provider:text``."""
+    """``provider:slug`` from the board URL, else ``provider:host``, else ``provider:text``.
+
+    A pattern is tried only where its host occurs in the URL, which a substring test decides.
+    """
     url = F.coalesce(careers_url, F.lit(""))
+    lowered = F.lower(url)
     given = F.coalesce(provider, F.lit(""))
     owner = F.when(given == "", "unknown").otherwise(given)
     by_board = []
-    for pattern, board in patterns:
-        slug = F.regexp_extract(url, pattern, 1)
-        by_board.append(F.when((slug != "") & given.isin("", board), F.concat(F.lit(board + ":"), F.lower(slug))))
+    for fragment, pattern, board in patterns:
+        slug = F.nullif(F.regexp_extract(url, pattern, 1), F.lit(""))
+        by_board.append(F.when(lowered.contains(fragment) & given.isin("", board), F.concat(F.lit(board + ":"), F.lower(slug))))
     fallback = F.concat(owner, F.lit(":"), F.when(is_web_url(url), bare_host(url)).otherwise(url))
     return F.coalesce(*by_board, fallback)
 
@@ -180,11 +202,13 @@ PLATFORM_HOSTS = (
 
 def platform(url: Column, hosts=PLATFORM_HOSTS) -> Column:
     """Board behind a URL: a known one, ``unsupported``, or ``unresolved`` for no URL."""
-    h = host(url)
-    chain = F.when(h == "", "unresolved")
-    for fragment, name in hosts:
-        chain = chain.when(h.contains(fragment), name)
-    return chain.otherwise("unsupported")
+    def named(h: Column) -> Column:
+        chain = F.when(h == "", "unresolved")
+        for fragment, name in hosts:
+            chain = chain.when(h.contains(fragment), name)
+        return chain.otherwise("unsupported")
+
+    return let(host(url), named)
 
 
 def slug_candidates(name: Column) -> Column:
@@ -226,11 +250,13 @@ AGGREGATOR_SUFFIXES = (".remotive.com", ".arbeitnow.com")
 
 
 def valid_careers_url(url: Column) -> Column:
-    h = host(url)
-    own = ~h.isin(*AGGREGATORS)
-    for suffix in AGGREGATOR_SUFFIXES:
-        own = own & ~h.endswith(suffix)
-    return F.coalesce((h != "") & own, F.lit(False))
+    def own(h: Column) -> Column:
+        listed = h.isin("", *AGGREGATORS)
+        for suffix in AGGREGATOR_SUFFIXES:
+            listed = listed | h.endswith(suffix)
+        return ~listed
+
+    return let(host(url), own)
 
 
 def https_on_host(url: Column, host_pattern: str) -> Column:
@@ -281,7 +307,7 @@ def board_url_in_text(text: Column) -> Column:
     hits = []
     for pattern in _TEXT_LINKS:
         link = F.regexp_replace(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 0), "[.,;)]+$", "")
-        hits.append(F.when((link != "") & valid_careers_url(link), link))
+        hits.append(let(link, lambda x: F.when((x != "") & valid_careers_url(x), x)))
     return F.coalesce(*hits)
 
 
