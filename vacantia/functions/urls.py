@@ -66,8 +66,8 @@ def _web_parts(text: Column) -> Column:
     """struct(scheme, domain, port, path, query) of a web URL."""
     pieces = F.split(F.regexp_replace(text, _WEB, _CUT.join(f"${i}" for i in range(1, 6))), _CUT)
     return let(pieces, lambda p: F.struct(
-        F.lower(p[0]).alias("scheme"), F.regexp_replace(F.lower(p[1]), r"^www\.", "").alias("domain"),
-        p[2].alias("port"), p[3].alias("path"), p[4].alias("query"),
+        F.lower(F.get(p, F.lit(0))).alias("scheme"), F.regexp_replace(F.lower(F.get(p, F.lit(1))), r"^www\.", "").alias("domain"),
+        F.get(p, F.lit(2)).alias("port"), F.get(p, F.lit(3)).alias("path"), F.get(p, F.lit(4)).alias("query"),
     ))
 
 

@@ -129,9 +129,9 @@ def capped_companies(open_counts: DataFrame, max_open: int) -> DataFrame:
     return open_counts.where(F.col("open_count") >= max_open)
 
 
-def with_cap(listings: DataFrame, open_counts: DataFrame, max_open: int, group: str = "company_key", **options) -> DataFrame:
+def with_cap(listings: DataFrame, open_counts: DataFrame, max_open: int, group: str = "company_key") -> DataFrame:
     """Add open_count and capped to each listing."""
-    joined = lookup(listings, open_counts, group, **options)
+    joined = lookup(listings, open_counts, group)
     n = F.coalesce(F.col("open_count"), F.lit(0)).cast("long")
     return joined.withColumn("open_count", n).withColumn("capped", F.col("open_count") >= max_open)
 
@@ -210,7 +210,7 @@ def merge_additions(additions: DataFrame, applications: DataFrame, order: str) -
     )
     joined = pair(applications).join(best, ["__c", "__t"], "full_outer")
     new = F.col("key").isNull() & F.col("tracker_num").isNull()
-    better = new | (F.coalesce(F.col("__a.score"), F.lit(-1.0)) > F.coalesce(F.col("score"), F.lit(-1.0)))
+    better = new | F.coalesce(F.col("__a.score") > F.col("score"), F.col("score").isNull())
     replace = ("status", "score", "report", "notes")
     return joined.select(*[
         F.when(new, F.col(f"__a.{c}")).otherwise(F.col(c)).alias(c) if c in ("company", "title")

@@ -46,7 +46,7 @@ def unseen(listings: DataFrame, urls: DataFrame, roles: DataFrame, url: str, com
 
 
 def first_wins_two_keys(
-    df: DataFrame, url: str, role: Sequence[str], order: str, max_rounds: int | None = None, **options
+    df: DataFrame, url: str, role: Sequence[str], order: str, max_rounds: int | None = None,
 ) -> DataFrame:
     """Keep a row unless an earlier *kept* row has its URL or its role.
 
@@ -72,8 +72,8 @@ def first_wins_two_keys(
         first = by_url.join(by_role, F.col("__mu") == F.col("__mr")).select(F.col("__mu").alias("__o"))
         winners = cut_lineage(open_rows.join(first, "__o", "left_semi"))
         kept.append(winners.select("__o"))
-        flagged = in_group(open_rows, winners, ["__u"], "__taken_url", **options)
-        flagged = in_group(flagged, winners, roles, "__taken_role", **options)
+        flagged = in_group(open_rows, winners, ["__u"], "__taken_url")
+        flagged = in_group(flagged, winners, roles, "__taken_role")
         open_rows = cut_lineage(flagged.where("NOT __taken_url AND NOT __taken_role").select(*keys, "__o"))
         rounds += 1
     if not kept:
@@ -88,7 +88,7 @@ OUTCOMES = ("skipped_title", "skipped_location", "skipped_dup", "added")
 
 def scan_outcomes(
     listings: DataFrame, title_ok: Column, location_ok: Column, urls: DataFrame, roles: DataFrame,
-    url: str, company: str, role: str, order: str, **options,
+    url: str, company: str, role: str, order: str,
 ) -> DataFrame:
     """Tag every scanned row with what happened to it; nothing is dropped.
 
@@ -97,12 +97,12 @@ def scan_outcomes(
     tagged = listings.withColumns({
         "__title_ok": F.coalesce(title_ok, F.lit(False)),
         "__location_ok": F.coalesce(location_ok, F.lit(False)),
-        "__c": F.lower(F.col(company)),
-        "__r": F.lower(F.col(role)),
+        "__co": F.lower(F.col(company)),
+        "__ro": F.lower(F.col(role)),
     })
     candidates = tagged.where("__title_ok AND __location_ok")
     fresh = unseen(candidates, urls, roles, url, company, role)
-    winners = first_wins_two_keys(fresh, url, ["__c", "__r"], order, **options).select(order, F.lit(True).alias("__new"))
+    winners = first_wins_two_keys(fresh, url, ["__co", "__ro"], order).select(order, F.lit(True).alias("__new"))
     marked = tagged.join(winners, order, "left")
     outcome = (
         F.when(~F.col("__title_ok"), "skipped_title")
@@ -110,7 +110,7 @@ def scan_outcomes(
         .when(F.col("__new").isNull(), "skipped_dup")
         .otherwise("added")
     )
-    return marked.withColumn("outcome", outcome).drop("__title_ok", "__location_ok", "__c", "__r", "__new")
+    return marked.withColumn("outcome", outcome).drop("__title_ok", "__location_ok", "__co", "__ro", "__new")
 
 
 def outcome_counts(tagged: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fields import PROFILE_KEYS
 from ..functions.keywords import first_exclusion, location_passes, title_passes
 from ..functions.text import lower_strip, norm_name
 from ..functions.urls import platform
@@ -49,7 +50,7 @@ def candidate_jobs(
     return fresh.withColumn("exclusion_matched", hit)
 
 
-def group_companies(jobs: DataFrame, order: str, keep_jobs: int = 2, **options) -> tuple[DataFrame, DataFrame]:
+def group_companies(jobs: DataFrame, order: str, keep_jobs: int = 2) -> tuple[DataFrame, DataFrame]:
     """Companies (any spelling of a name is one) with their job count, and their first jobs as rows."""
     keyed = jobs.withColumn("company_lc", F.lower("company_name"))
     companies = keyed.groupBy("company_lc").agg(
@@ -154,14 +155,16 @@ def form_verdicts(fields: DataFrame, form: str) -> DataFrame:
     )
 
 
-def answer_plan(fields: DataFrame, profile: DataFrame, memory: DataFrame, **options) -> DataFrame:
+def answer_plan(fields: DataFrame, profile: DataFrame, memory: DataFrame) -> DataFrame:
     """What to fill in: the profile's value, else a remembered answer, else nothing.
 
     ``fields``: norm_label, kind, profile_key …; ``profile``: profile_key, value; ``memory``:
     norm_label, value.
     """
-    own = lookup(fields, profile.select("profile_key", F.col("value").alias("__own")), "profile_key", **options)
-    both = lookup(own, memory.select("norm_label", F.col("value").alias("__mem")), "norm_label", **options)
+    # One person's profile has at most one row per profile key, a fixed list: safe to broadcast.
+    values = profile.where(F.col("profile_key").isin(*PROFILE_KEYS)).groupBy("profile_key").agg(F.max("value").alias("__own"))
+    own = fields.join(F.broadcast(values), "profile_key", "left")
+    both = lookup(own, memory.select("norm_label", F.col("value").alias("__mem")), "norm_label")
     standard = (F.col("kind") == "standard") & F.col("profile_key").isNotNull()
     remembered = ~standard & F.col("__mem").isNotNull() & (F.col("kind") != "file")
     return both.withColumns({

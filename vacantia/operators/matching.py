@@ -46,11 +46,11 @@ def lifecycle_tables(
     return by_url, by_id
 
 
-def with_lifecycle(listings: DataFrame, by_url: DataFrame, by_id: DataFrame, key: str = "key", **options) -> DataFrame:
+def with_lifecycle(listings: DataFrame, by_url: DataFrame, by_id: DataFrame, key: str = "key") -> DataFrame:
     """Add status and report of the application behind each listing: by URL, else by id."""
     tagged = listings.withColumns({"__url": F.col(key), "__id": F.nullif(listing_id(F.col(key)), F.lit(""))})
-    found = lookup(tagged, by_url.withColumnRenamed("url", "__url"), "__url", **options)
-    found = lookup(found, by_id.withColumnRenamed("id", "__id"), "__id", **options)
+    found = lookup(tagged, by_url.withColumnRenamed("url", "__url"), "__url")
+    found = lookup(found, by_id.withColumnRenamed("id", "__id"), "__id")
     value = F.coalesce(F.col("by_url"), F.col("by_id"))
     return found.select(*listings.columns, value["status"].alias("status"), value["report"].alias("report"))
 
@@ -61,7 +61,7 @@ def _match_keys(kinds: dict[str, Column]) -> Column:
     return F.array_distinct(F.filter(pairs, lambda p: F.coalesce(p["value"], F.lit("")) != ""))
 
 
-def match_submissions(submissions: DataFrame, listings: DataFrame, order: str, submission_id: str, **options) -> DataFrame:
+def match_submissions(submissions: DataFrame, listings: DataFrame, order: str, submission_id: str) -> DataFrame:
     """The first listing (in ``order``) a submission belongs to, by any of four keys.
 
     Keys: the canonical URL is the listing key; the raw URL is its url; the canonical URL is that of
@@ -87,7 +87,7 @@ def match_submissions(submissions: DataFrame, listings: DataFrame, order: str, s
             "key": canonical, "url": F.col("apply_url"), "apply": canonical, "id": listing_id(F.col("apply_url")),
         })).alias("__k"),
     ).select(submission_id, "__k.kind", "__k.value")
-    hits = lookup(wanted, table, ["kind", "value"], **options).where("found IS NOT NULL")
+    hits = lookup(wanted, table, ["kind", "value"]).where("found IS NOT NULL")
     best = hits.groupBy(submission_id).agg(F.min("found").alias("__best"))
     return submissions.join(best, submission_id, "left").withColumn("matched_key", F.col("__best.key")).drop("__best")
 

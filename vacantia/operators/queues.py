@@ -171,17 +171,17 @@ def watchlist(
     return kept.unionByName(chosen.where(usable).withColumn("entry", F.lit("candidate")))
 
 
-def pending_vetting(shortlisted: DataFrame, companies: DataFrame, **options) -> DataFrame:
+def pending_vetting(shortlisted: DataFrame, companies: DataFrame) -> DataFrame:
     """Shortlisted live listings of undecided companies, one row per listing with the company's count.
 
     The count comes from an aggregate joined back, so no company's titles are gathered in one task.
     """
     undecided = companies.where("decision = 'undecided'").select(F.col("key").alias("company_key"))
     rows = in_group(
-        shortlisted.where(is_live() & (F.col("decision") == "shortlist")), undecided, "company_key", "__undecided", **options
+        shortlisted.where(is_live() & (F.col("decision") == "shortlist")), undecided, "company_key", "__undecided",
     ).where("__undecided").drop("__undecided")
     counts = rows.groupBy("company_key").agg(F.count(F.lit(1)).alias("shortlisted"))
-    return lookup(rows, counts, "company_key", **options).orderBy(F.desc("shortlisted"), "company_key", "key")
+    return lookup(rows, counts, "company_key").orderBy(F.desc("shortlisted"), "company_key", "key")
 
 
 def top_titles(titles: DataFrame, group: str, title: str, order: str, n: int = 12) -> DataFrame:

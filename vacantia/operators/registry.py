@@ -30,7 +30,7 @@ def _merged(rule, new: Column, old: Column) -> Column:
 
 def merge_snapshot(
     prior: DataFrame, scan: DataFrame, key: str, group: str, policy: dict[str, int],
-    scanned_groups: DataFrame | None = None, scan_date: Column | None = None, **options,
+    scanned_groups: DataFrame | None = None, scan_date: Column | None = None,
 ) -> DataFrame:
     """Merge one scan into a registry.
 
@@ -47,7 +47,7 @@ def merge_snapshot(
     both = old.join(new, key, "full_outer")
     # Only rows absent from the scan need to know whether their group was scanned.
     both = both.withColumn(group, F.when(F.col("__new").isNull(), F.col(f"__p_{group}")))
-    both = in_group(both, scanned_groups, group, "__group_scanned", **options)
+    both = in_group(both, scanned_groups, group, "__group_scanned")
 
     present = F.col("__new").isNotNull()
     out = {}
@@ -68,7 +68,7 @@ LISTING_POLICY = {
 }
 
 
-def scan_to_listings(scan: DataFrame, companies: DataFrame, order: str, **options) -> DataFrame:
+def scan_to_listings(scan: DataFrame, companies: DataFrame, order: str) -> DataFrame:
     """Rows of a raw scan in registry shape, the last row per URL, with their company key.
 
     ``companies`` has (key, careers_url); a listing whose careers_url is not in it gets a key
@@ -79,7 +79,7 @@ def scan_to_listings(scan: DataFrame, companies: DataFrame, order: str, **option
         companies.where(F.coalesce(F.col("careers_url"), F.lit("")) != "")
         .groupBy("careers_url").agg(F.max("key").alias("__registered"))
     )
-    found = lookup(rows, known, "careers_url", **options)
+    found = lookup(rows, known, "careers_url")
     text = F.coalesce
     return found.select(
         F.col("url").alias("key"),
@@ -97,13 +97,13 @@ def scan_to_listings(scan: DataFrame, companies: DataFrame, order: str, **option
 
 
 def refresh_listings(
-    listings: DataFrame, prior: DataFrame, scan_date: Column, scanned_groups: DataFrame | None = None, **options
+    listings: DataFrame, prior: DataFrame, scan_date: Column, scanned_groups: DataFrame | None = None,
 ) -> DataFrame:
     """The listing registry after a scan (``listings`` from :func:`scan_to_listings`)."""
     scan = listings.withColumn("has_body", F.col("body") != "").drop("body")
     marked = prior.withColumn("__had_body", F.coalesce(F.col("has_body"), F.lit(False)))
     merged = merge_snapshot(
-        marked, scan, "key", "company_key", LISTING_POLICY, scanned_groups, scan_date, **options
+        marked, scan, "key", "company_key", LISTING_POLICY, scanned_groups, scan_date,
     )
     return merged.withColumns({
         "has_body": F.coalesce(F.col("has_body"), F.lit(False)) | F.coalesce(F.col("__had_body"), F.lit(False)),
@@ -126,14 +126,14 @@ def applied_keys(applications: DataFrame) -> DataFrame:
 
 def refresh_personal(
     registry: DataFrame, listings: DataFrame, prior: DataFrame, applications: DataFrame, fits: DataFrame,
-    scan_date: Column, **options,
+    scan_date: Column,
 ) -> DataFrame:
     """The personal layer after a scan: relevance anew for scanned rows, everything else kept.
 
     ``fits`` has (company_key, company_fit) of the kept companies. Keys with a real application
     are decided as applied.
     """
-    scored = lookup(listings.select("key", "company_key", "title", "date_posted"), fits, "company_key", **options)
+    scored = lookup(listings.select("key", "company_key", "title", "date_posted"), fits, "company_key")
     relevance = listing_relevance(
         F.col("title"), F.try_to_date(F.substring("date_posted", 1, 10)), scan_date, F.col("company_fit")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .skew import time_chunk, with_previous
+from .skew import micros, time_chunk, with_previous
 
 DAY = 86_400
 
@@ -42,10 +42,50 @@ def far_from_previous(
 ) -> DataFrame:
     """Events at least ``gap_seconds`` after the key's previous event."""
     tagged = with_previous(events, keys, [ts, tie], {"__ts": F.col(ts)}, time_chunk(F.col(ts), chunk_seconds))
-    gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.col("__ts"))
+    gap = micros(F.col(ts)) - micros(F.col("__ts"))
     return tagged.where(F.col("__ts").isNull() | (gap >= int(gap_seconds * 1_000_000))).drop("__ts")
 
 
+def map_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType
+) -> DataFrame:
+    """Apply ``fn`` to each group's ordered rows, many small groups per Arrow batch.
+
+    Rows are partitioned and sorted by Spark; a task walks its sorted batches and keeps only the group
+    that is still open, so a group must fit into memory but a partition need not.
+    """
+    keys = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pending: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            changed = np.zeros(len(batch), dtype=bool)
+            for k in keys:
+                column, before = batch[k], batch[k].shift()
+                changed |= ((column != before) & ~(column.isna() & before.isna())).to_numpy()
+            changed[0] = bool(pending) and any(
+                batch[k].iloc[0] != pending[-1][k].iloc[-1] and not (pd.isna(batch[k].iloc[0]) and pd.isna(pending[-1][k].iloc[-1]))
+                for k in keys
+            )
+            cuts = np.flatnonzero(changed)
+            out, start = [], 0
+            for cut in cuts:
+                pending.append(batch.iloc[start:cut])
+                done = pd.concat(pending) if len(pending) > 1 else pending[0]
+                if len(done):
+                    out.append(fn(done))
+                pending, start = [], cut
+            pending.append(batch.iloc[start:])
+            if out:
+                yield pd.concat(out)
+        if pending:
+            yield fn(pd.concat(pending))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def _accepted(times: np.ndarray, start: int, gap: int) -> np.ndarray:
     """Positions accepted when ``start`` is the first one: each next one is a gap later."""
     out = []
@@ -55,6 +95,27 @@ def _accepted(times: np.ndarray, start: int, gap: int) -> np.ndarray:
     return np.asarray(out, dtype=np.int64)
 
 
+def _exits(times: np.ndarray, chunk_start: int, gap: int) -> tuple[list[int], list[int]]:
+    """For a chunk's sorted times: first accepted time → last accepted time, for every possible start.
+
+    Possible starts are the events a last accepted time before the chunk can still push away, and the
+    first event after them. Neighbouring starts with the same outcome are one entry (the latest).
+    """
+    edge = int(np.searchsorted(times, chunk_start + gap, side="left"))
+    starts = np.unique(np.searchsorted(times, np.append(times[:edge], chunk_start + gap)))
+    starts = starts[starts < len(times)]
+    following = np.searchsorted(times, times + gap, side="left")
+    at = starts.copy()
+    while True:
+        nxt = following[at]
+        moving = nxt < len(times)
+        if not moving.any():
+            break
+        at = np.where(moving, nxt, at)
+    keep = np.append(at[1:] != at[:-1], True) if len(at) else np.zeros(0, dtype=bool)
+    return times[starts][keep].tolist(), times[at][keep].tolist()
+
+
 def far_from_accepted(
     events: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_seconds: float, chunk_seconds: int = DAY
 ) -> DataFrame:
@@ -70,42 +131,21 @@ def far_from_accepted(
         raise ValueError("chunk_seconds must not be shorter than the gap")
     gap, span = int(gap_seconds * 1_000_000), int(chunk_seconds * 1_000_000)
     keys = list(keys)
-    base = events.withColumns({"__us": F.unix_micros(F.col(ts)), "__chunk": time_chunk(F.col(ts), chunk_seconds)})
-    key_fields = [f for f in events.schema.fields if f.name in keys]
-    key_fields.sort(key=lambda f: keys.index(f.name))
-
-    def exits(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["__us"].to_numpy(dtype=np.int64))
-        chunk = int(group[-1])
-        # Starts: the events that a last accepted time before the chunk can still push away,
-        # and the first event after them.
-        edge = int(np.searchsorted(times, chunk * span + gap, side="left"))
-        starts = np.unique(np.minimum(np.searchsorted(times, np.append(times[:edge], chunk * span + gap)), len(times)))
-        firsts, lasts = [], []
-        nxt = np.searchsorted(times, times + gap, side="left")
-        for s in starts:
-            if s >= len(times):
-                continue
-            at = int(s)
-            while nxt[at] < len(times):
-                at = int(nxt[at])
-            # Neighbouring starts with the same exit need one entry (the latest start).
-            if lasts and lasts[-1] == int(times[at]):
-                firsts[-1] = int(times[s])
-            else:
-                firsts.append(int(times[s]))
-                lasts.append(int(times[at]))
-        return pd.DataFrame([[*group, firsts, lasts]], columns=[*keys, "__chunk", "firsts", "lasts"])
-
-    exit_schema = T.StructType([
-        *key_fields, T.StructField("__chunk", T.LongType()),
-        T.StructField("firsts", T.ArrayType(T.LongType())), T.StructField("lasts", T.ArrayType(T.LongType())),
-    ])
-    narrow = base.select(*keys, "__chunk", "__us")
-    chunks = narrow.groupBy(*keys, "__chunk").applyInPandas(exits, exit_schema)
-
-    def fold(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
+    base = events.withColumns({"__us": micros(F.col(ts)), "__chunk": time_chunk(F.col(ts), chunk_seconds)})
+    key_fields = [events.schema[k] for k in keys]
+    chunk_field = T.StructField("__chunk", T.LongType())
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        firsts, lasts = _exits(pdf["__us"].to_numpy(dtype=np.int64), int(pdf["__chunk"].iloc[0]) * span, gap)
+        out = pdf[[*keys, "__chunk"]].iloc[:1].copy()
+        out["firsts"], out["lasts"] = [firsts], [lasts]
+        return out
+
+    times = T.ArrayType(T.LongType())
+    exit_schema = T.StructType([*key_fields, chunk_field, T.StructField("firsts", times), T.StructField("lasts", times)])
+    chunks = map_groups(base.select(*keys, "__chunk", "__us"), [*keys, "__chunk"], ["__us"], exits, exit_schema)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         last, entry = None, []
         for firsts, lasts in zip(pdf["firsts"], pdf["lasts"]):
             entry.append(last)
@@ -118,22 +158,18 @@ def far_from_accepted(
         out["__entry"] = pd.array(entry, dtype="Int64")
         return out
 
-    fold_schema = T.StructType([
-        *key_fields, T.StructField("__chunk", T.LongType()), T.StructField("__entry", T.LongType()),
-    ])
-    entries = chunks.groupBy(*keys).applyInPandas(fold, fold_schema)
-
-    joined = base.join(entries, [*keys, "__chunk"])
-    schema = T.StructType([*events.schema.fields])
+    fold_schema = T.StructType([*key_fields, chunk_field, T.StructField("__entry", T.LongType())])
+    entries = map_groups(chunks, keys, ["__chunk"], fold, fold_schema)
+    columns = list(events.columns)
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__us", tie], kind="stable")
-        times = pdf["__us"].to_numpy(dtype=np.int64)
+        at = pdf["__us"].to_numpy(dtype=np.int64)
         last = pdf["__entry"].iloc[0]
-        start = 0 if pd.isna(last) else int(np.searchsorted(times, int(last) + gap, side="left"))
-        return pdf.iloc[_accepted(times, start, gap)][events.columns]
+        start = 0 if pd.isna(last) else int(np.searchsorted(at, int(last) + gap, side="left"))
+        return pdf.iloc[_accepted(at, start, gap)][columns]
 
-    return joined.groupBy(*keys, "__chunk").applyInPandas(mark, schema)
+    joined = base.join(entries, [*keys, "__chunk"])
+    return map_groups(joined, [*keys, "__chunk"], ["__us", tie], mark, T.StructType(list(events.schema.fields)))
 
 
 def repost_signal(listings: DataFrame, keys: Sequence[str], day: Column, days: int = 90, times: int = 2) -> DataFrame:

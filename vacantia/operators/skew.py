@@ -6,81 +6,40 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# A key is "hot" from this many rows on. At most HOT_KEYS of them are treated apart, so the
-# broadcast table below never has more rows than that, whatever the size of the data.
-HOT_ROWS = 1_000_000
-HOT_KEYS = 256
-SPREAD = 4096
-
-
-def _has_map(kind: T.DataType) -> bool:
-    if isinstance(kind, T.StructType):
-        return any(_has_map(f.dataType) for f in kind.fields)
-    if isinstance(kind, T.ArrayType):
-        return _has_map(kind.elementType)
-    return isinstance(kind, T.MapType)
-
-
-def lookup(
-    facts: DataFrame, table: DataFrame, on: str | Sequence[str], hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS
-) -> DataFrame:
+def lookup(facts: DataFrame, table: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Left join of many rows with a table that has one row per key.
 
-    Rows of hot keys are joined with a broadcast of just those keys' table rows (at most
-    ``hot_keys`` rows). All other rows take a shuffle join; the hot rows travel through it
-    spread over all partitions with a key that matches nothing. Which keys count as hot has no
-    influence on the result.
+    The rows' key may be badly skewed. Spark's adaptive execution splits the oversized partitions of a
+    join, but only where both sides come straight from a shuffle made for that join, which a table
+    that was just aggregated by the key does not. A hash of the key as an additional join key gives the
+    (small) table such a shuffle of its own; the rows are shuffled once, as in any join.
     """
     keys = [on] if isinstance(on, str) else list(on)
     values = [c for c in table.columns if c not in keys]
-    packed = table.select(*keys, F.struct(*[F.col(v) for v in values]).alias("__value"))
-
-    hot = (
-        facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        .orderBy(F.desc("__n")).limit(hot_keys)
-        .where(F.col("__n") >= hot_rows)
-        .select(*keys, F.lit(True).alias("__hot"))
-    )
-    hot_values = (
-        packed.join(F.broadcast(hot.select(*keys)), keys, "left_semi").withColumnRenamed("__value", "__hot_value")
-    )
-    hot_table = hot.join(F.broadcast(hot_values), keys, "left")
-
-    spread = facts.join(F.broadcast(hot_table), keys, "left")
-    apart = F.col("__hot").isNotNull()
-    for k in keys:
-        apart = apart | F.col(k).isNull()
-    # Rows kept apart get a salt no table row has, so they match nothing and spread evenly.
-    # It is a hash of the row, so a repeated task places its rows exactly as before.
-    spreadable = [F.col(f"`{f.name}`") for f in facts.schema.fields if not _has_map(f.dataType)]
-    salt = F.when(apart, F.pmod(F.xxhash64(*spreadable), F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long"))
-    spread = spread.withColumn("__salt", salt)
-    # A salt of 0 computed from the row (not a literal) stays part of the join key.
-    cold = packed.select(
-        *[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)],
-        F.pmod(F.xxhash64(*keys), F.lit(1)).alias("__zero"),
-        F.col("__value").alias("__cold_value"),
-    )
-    condition = F.col("__salt") == F.col("__zero")
+    right = table.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *values, F.xxhash64(*keys).alias("__kh"))
+    left = facts.withColumn("__fh", F.xxhash64(*keys))
+    condition = F.col("__fh") == F.col("__kh")
     for i, k in enumerate(keys):
-        condition = condition & (F.when(F.col("__salt") == 0, F.col(k)) == F.col(f"__k_{i}"))
-    joined = spread.join(cold, condition, "left")
-    value = F.coalesce(F.col("__hot_value"), F.col("__cold_value"))
-    return joined.select(*[F.col(f"`{c}`") for c in facts.columns], *[value[v].alias(v) for v in values])
+        condition = condition & (F.col(k) == F.col(f"__k{i}"))
+    return left.join(right, condition, "left").drop("__fh", "__kh", *[f"__k{i}" for i in range(len(keys))])
 
 
-def in_group(facts: DataFrame, keys_table: DataFrame, on: str | Sequence[str], flag: str, **options) -> DataFrame:
+def in_group(facts: DataFrame, keys_table: DataFrame, on: str | Sequence[str], flag: str) -> DataFrame:
     """Add a boolean: does the row's key occur in the table?"""
     keys = [on] if isinstance(on, str) else list(on)
     marked = keys_table.select(*keys).distinct().withColumn(flag, F.lit(True))
-    return lookup(facts, marked, keys, **options).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    return lookup(facts, marked, keys).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970, for timestamps with and without time zone."""
+    return F.unix_micros(ts.cast("timestamp"))
 
 
 def time_chunk(ts: Column, seconds: int) -> Column:
     """Number of the fixed time span a timestamp falls into."""
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000))
+    return F.floor(micros(ts) / F.lit(seconds * 1_000_000))
 
 
 def with_previous(

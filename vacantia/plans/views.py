@@ -18,13 +18,13 @@ FACETS = (
 )
 
 
-def score_registry(personal: DataFrame, registry: DataFrame, companies: DataFrame, rubric: Rubric, **options) -> DataFrame:
+def score_registry(personal: DataFrame, registry: DataFrame, companies: DataFrame, rubric: Rubric) -> DataFrame:
     """Score every listing that has facets; the fit of kept companies is joined in only here."""
     fits = companies.where("decision = 'keep' AND fit IS NOT NULL").select(
         F.col("key").alias("company_key"), F.col("fit").alias("company_fit")
     )
     facts = registry.where("extracted IS NOT NULL").select("key", "company_key", "extracted")
-    facts = lookup(facts, fits, "company_key", **options).select("key", "extracted", "company_fit")
+    facts = lookup(facts, fits, "company_key").select("key", "extracted", "company_fit")
     kept = personal.drop("dim_scores", "computed_score", "hard_excluded", "hard_reason")
     old = {c: F.col(f"__o_{c}") for c in ("dim_scores", "computed_score", "hard_excluded")}
     joined = personal.select(*[F.col(c).alias(f"__o_{c}") if c in old else F.col(c) for c in personal.columns]).join(facts, "key", "left")
@@ -46,19 +46,19 @@ def score_registry(personal: DataFrame, registry: DataFrame, companies: DataFram
 
 def ranked_view(
     personal: DataFrame, registry: DataFrame, applications: DataFrame, reports: DataFrame, tracker: DataFrame,
-    companies: DataFrame, max_open: int, order: str = "tracker_num", **options,
+    companies: DataFrame, max_open: int, order: str = "tracker_num",
 ) -> DataFrame:
     """The ranked queue: personal ⟕ registry ⟕ lifecycle ⟕ company state and cap."""
     cols = [c for c in registry.columns if c not in ("extracted", "key")]
     r = registry.select("key", *cols, F.col("extracted").isNotNull().alias("researched"), *[F.col(f"extracted.{f}").alias(f) for f in FACETS])
     rows = personal.join(r, "key", "left")
     by_url, by_id = lifecycle_tables(applications, reports, tracker, order)
-    rows = with_lifecycle(rows, by_url, by_id, **options)
+    rows = with_lifecycle(rows, by_url, by_id)
     open_counts = open_per_company(with_company_key(applications, registry))
     state = companies.select(
         F.col("key").alias("company_key"), F.col("decision").alias("company_decision"), F.col("fit").alias("company_fit")
     ).join(open_counts, "company_key", "full_outer")
-    rows = lookup(rows, state, "company_key", **options)
+    rows = lookup(rows, state, "company_key")
     applied = F.col("status").isNotNull() & (F.col("status") != "Evaluated")
     return rows.withColumns({
         "company_decision": or_else(F.col("company_decision"), F.lit("undecided")),
@@ -73,5 +73,5 @@ def ranked_view(
     }).withColumn("capped", F.col("open_count") >= max_open)
 
 
-def cap_flags(listings: DataFrame, applications: DataFrame, max_open: int, **options) -> DataFrame:
-    return with_cap(listings, open_per_company(applications), max_open, **options)
+def cap_flags(listings: DataFrame, applications: DataFrame, max_open: int) -> DataFrame:
+    return with_cap(listings, open_per_company(applications), max_open)

@@ -97,7 +97,7 @@ def table_cells(column: str = "value") -> Column:
 def tracker_pairs(lines: DataFrame, column: str = "value") -> DataFrame:
     """(company, role) of tracker table lines, lower case, without the header."""
     cells = lines.where(F.col(column).startswith("|")).select(table_cells(column).alias("c")).where(F.size("c") >= 6)
-    pairs = cells.select(F.lower(F.col("c")[3]).alias("company_lc"), F.lower(F.col("c")[4]).alias("role_lc"))
+    pairs = cells.select(F.lower(F.get("c", F.lit(3))).alias("company_lc"), F.lower(F.get("c", F.lit(4))).alias("role_lc"))
     real = "company_lc <> '' AND role_lc <> '' AND company_lc <> 'company' AND NOT company_lc RLIKE '^:?-+:?$'"
     return pairs.where(real).distinct()
 
@@ -106,12 +106,12 @@ def tracker_applications(lines: DataFrame, known_numbers: DataFrame, column: str
     """Tracker table lines as application rows, without header, separators and known numbers."""
     usable = F.col(column).startswith("|") & ~F.col(column).contains("---") & ~F.col(column).rlike(r"\b#\b.*Date.*Company")
     cells = lines.where(usable).select(table_cells(column).alias("c")).where(F.size("c") >= 10)
-    number = F.regexp_extract(F.col("c")[1], r"^[+-]?\d+", 0).try_cast("int")
+    number = F.regexp_extract(F.get("c", F.lit(1)), r"^[+-]?\d+", 0).try_cast("int")
     rows = cells.select(
-        number.alias("tracker_num"), F.col("c")[2].alias("date_applied"), F.col("c")[3].alias("company"),
-        F.col("c")[4].alias("title"), F.nullif(F.nullif(F.col("c")[5], F.lit("—")), F.lit("")).alias("score"),
-        canonical_status(or_else(F.col("c")[6], F.lit("Evaluated"))).alias("status"),
-        F.col("c")[7].alias("pdf"), F.col("c")[8].alias("report"), F.col("c")[9].alias("notes"),
+        number.alias("tracker_num"), F.get("c", F.lit(2)).alias("date_applied"), F.get("c", F.lit(3)).alias("company"),
+        F.get("c", F.lit(4)).alias("title"), F.nullif(F.nullif(F.get("c", F.lit(5)), F.lit("—")), F.lit("")).alias("score"),
+        canonical_status(or_else(F.get("c", F.lit(6)), F.lit("Evaluated"))).alias("status"),
+        F.get("c", F.lit(7)).alias("pdf"), F.get("c", F.lit(8)).alias("report"), F.get("c", F.lit(9)).alias("notes"),
     ).where("coalesce(tracker_num, 0) <> 0")
     first = rows.groupBy("tracker_num").agg(*[F.first(c).alias(c) for c in rows.columns if c != "tracker_num"])
     return first.join(known_numbers.select("tracker_num").distinct(), "tracker_num", "left_anti")
@@ -122,7 +122,7 @@ def tracker_status_by_number(lines: DataFrame, column: str = "value") -> DataFra
     cells = lines.select(table_cells(column).alias("c")).where(F.size("c") >= 8)
     link = F.filter("c", lambda x: x.rlike(r"\]\(.*reports/"))
     num = F.regexp_extract(F.try_element_at(link, F.lit(1)), r"(\d+)\]", 1)
-    return cells.select(num.alias("num"), F.col("c")[6].alias("status")).where("coalesce(num, '') <> ''")
+    return cells.select(num.alias("num"), F.get("c", F.lit(6)).alias("status")).where("coalesce(num, '') <> ''")
 
 
 def read_json_jobs(spark: SparkSession, path: str) -> DataFrame:

@@ -239,10 +239,10 @@ def workable(payloads: DataFrame) -> DataFrame:
     rows = lines.where(F.col("line").startswith("|") & F.col("line").contains("[View]")).withColumn(
         "c", F.transform(F.split("line", r"\|"), lambda x: strip(x))
     )
-    rows = rows.where((F.size("c") >= 8) & ~F.col("c")[1].isin("", "Title"))
+    rows = rows.where((F.size("c") >= 8) & ~F.get("c", F.lit(1)).isin("", "Title"))
     link = F.regexp_replace(F.regexp_extract("line", r"\[View\]\(([^)]+)\)", 1), r"\.md$", "")
     rows = rows.withColumn("link", link).where(https_on_host(F.col("link"), r"apply\.workable\.com"))
-    return _jobs(rows, title=F.col("c")[1], url=_href(F.col("link")), location=F.col("c")[3])
+    return _jobs(rows, title=F.get("c", F.lit(1)), url=_href(F.col("link")), location=F.get("c", F.lit(3)))
 
 
 @provider("workday")
