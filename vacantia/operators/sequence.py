@@ -47,15 +47,20 @@ def far_from_previous(
 
 
 def map_groups(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType
+    df: DataFrame, keys: Sequence[str], order: Sequence[str],
+    fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: T.StructType,
 ) -> DataFrame:
-    """Apply ``fn`` to each group's ordered rows, many small groups per Arrow batch.
+    """Apply ``fn`` to ordered groups, all complete groups of an Arrow batch in one call.
 
-    Rows are partitioned and sorted by Spark; a task walks its sorted batches and keeps only the group
-    that is still open, so a group must fit into memory but a partition need not.
+    Rows are partitioned and sorted by Spark; ``fn`` gets a frame of whole groups and the offsets at
+    which they start and end. A task keeps only the group that is still open, so a group must fit into
+    memory but a partition need not.
     """
     keys = list(keys)
 
+    def differs(a: pd.Series, b: pd.Series) -> np.ndarray:
+        return ((a.to_numpy() != b.to_numpy()) & ~(a.isna().to_numpy() & b.isna().to_numpy()))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pending: list[pd.DataFrame] = []
         for batch in batches:
@@ -63,25 +68,23 @@ def map_groups(
                 continue
             changed = np.zeros(len(batch), dtype=bool)
             for k in keys:
-                column, before = batch[k], batch[k].shift()
-                changed |= ((column != before) & ~(column.isna() & before.isna())).to_numpy()
-            changed[0] = bool(pending) and any(
-                batch[k].iloc[0] != pending[-1][k].iloc[-1] and not (pd.isna(batch[k].iloc[0]) and pd.isna(pending[-1][k].iloc[-1]))
-                for k in keys
-            )
+                changed[1:] |= differs(batch[k].iloc[1:], batch[k].iloc[:-1])
+                if pending:
+                    changed[0] |= bool(differs(batch[k].iloc[:1], pending[-1][k].iloc[-1:])[0])
             cuts = np.flatnonzero(changed)
-            out, start = [], 0
-            for cut in cuts:
-                pending.append(batch.iloc[start:cut])
-                done = pd.concat(pending) if len(pending) > 1 else pending[0]
-                if len(done):
-                    out.append(fn(done))
-                pending, start = [], cut
-            pending.append(batch.iloc[start:])
-            if out:
-                yield pd.concat(out)
+            if not len(cuts):
+                pending.append(batch)
+                continue
+            pending.append(batch.iloc[: cuts[-1]])
+            whole = pd.concat(pending, ignore_index=True)
+            carried = len(whole) - int(cuts[-1])
+            offsets = np.unique(np.concatenate([[0], cuts + carried]))
+            if len(whole):
+                yield fn(whole, offsets)
+            pending = [batch.iloc[cuts[-1]:]]
         if pending:
-            yield fn(pd.concat(pending))
+            whole = pd.concat(pending, ignore_index=True)
+            yield fn(whole, np.asarray([0, len(whole)]))
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
@@ -135,19 +138,21 @@ def far_from_accepted(
     key_fields = [events.schema[k] for k in keys]
     chunk_field = T.StructField("__chunk", T.LongType())
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        firsts, lasts = _exits(pdf["__us"].to_numpy(dtype=np.int64), int(pdf["__chunk"].iloc[0]) * span, gap)
-        out = pdf[[*keys, "__chunk"]].iloc[:1].copy()
-        out["firsts"], out["lasts"] = [firsts], [lasts]
+    def exits(pdf: pd.DataFrame, offsets: np.ndarray) -> pd.DataFrame:
+        at, chunk = pdf["__us"].to_numpy(dtype=np.int64), pdf["__chunk"].to_numpy(dtype=np.int64)
+        found = [_exits(at[i:j], int(chunk[i]) * span, gap) for i, j in zip(offsets[:-1], offsets[1:])]
+        out = pdf[[*keys, "__chunk"]].iloc[offsets[:-1]].copy()
+        out["firsts"], out["lasts"] = [f for f, _ in found], [x for _, x in found]
         return out
 
     times = T.ArrayType(T.LongType())
     exit_schema = T.StructType([*key_fields, chunk_field, T.StructField("firsts", times), T.StructField("lasts", times)])
     chunks = map_groups(base.select(*keys, "__chunk", "__us"), [*keys, "__chunk"], ["__us"], exits, exit_schema)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, entry = None, []
-        for firsts, lasts in zip(pdf["firsts"], pdf["lasts"]):
+    def fold(pdf: pd.DataFrame, offsets: np.ndarray) -> pd.DataFrame:
+        starts, entry, last = set(offsets.tolist()), [], None
+        for row, (firsts, lasts) in enumerate(zip(pdf["firsts"], pdf["lasts"])):
+            last = None if row in starts else last
             entry.append(last)
             floor = -(2**62) if last is None else last + gap
             # The entry whose range of starts holds the first event at or after the floor.
@@ -162,11 +167,13 @@ def far_from_accepted(
     entries = map_groups(chunks, keys, ["__chunk"], fold, fold_schema)
     columns = list(events.columns)
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf["__us"].to_numpy(dtype=np.int64)
-        last = pdf["__entry"].iloc[0]
-        start = 0 if pd.isna(last) else int(np.searchsorted(at, int(last) + gap, side="left"))
-        return pdf.iloc[_accepted(at, start, gap)][columns]
+    def mark(pdf: pd.DataFrame, offsets: np.ndarray) -> pd.DataFrame:
+        at, entry = pdf["__us"].to_numpy(dtype=np.int64), pdf["__entry"].astype("Int64")
+        unknown, before, rows = entry.isna().to_numpy(), entry.fillna(0).to_numpy(dtype=np.int64), []
+        for i, j in zip(offsets[:-1], offsets[1:]):
+            start = 0 if unknown[i] else int(np.searchsorted(at[i:j], before[i] + gap, side="left"))
+            rows.append(i + _accepted(at[i:j], start, gap))
+        return pdf.iloc[np.concatenate(rows)][columns]
 
     joined = base.join(entries, [*keys, "__chunk"])
     return map_groups(joined, [*keys, "__chunk"], ["__us", tie], mark, T.StructType(list(events.schema.fields)))
