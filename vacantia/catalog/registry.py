@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("text", "urls", "rules", "scoring", "history", "applications", "queues", "feeds")
+_MODULES = ("text", "urls", "rules", "scoring", "history", "applications", "queues", "feeds", "sources", "streams")
 
 
 def query(name: str, sql: str | None = None):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import contains_any, norm_label, strip
+from .text import let, norm_label, strip
 
 # Label keywords per profile key; earlier entries win.
 PROFILE_LABELS = (
@@ -44,30 +46,34 @@ def field_kind(label: Column, kind_of_input: Column, maxlength: Column, mapped_k
 
     ``mapped_key`` is the profile key the user assigned to this label (from a join), if any.
     """
-    name = norm_label(label)
     control = F.lower(F.coalesce(kind_of_input, F.lit("")))
     mapped_key = F.lit(None).cast("string") if mapped_key is None else mapped_key
+    long_text = F.coalesce(maxlength > LONG_TEXT, F.lit(False))
 
     def result(kind: str, key) -> Column:
         return F.struct(F.lit(kind).alias("kind"), (key if isinstance(key, Column) else F.lit(key).cast("string")).alias("profile_key"))
 
-    upload_words = F.concat_ws(" ", name, control).rlike("upload|attach|file")
-    rules = (
-        F.when((control == "file") | ((name != "") & contains_any(name, list(FILE)) & upload_words), result("file", "resume"))
-        .when(name == "", result("unmapped", None))
-        .when(mapped_key.isNotNull(), result("standard", mapped_key))
-        .when(contains_any(name, list(SALARY)), result("salary", None))
-        .when(contains_any(name, list(DEMOGRAPHIC)), result("demographic", None))
-    )
-    for key, exact, keywords in PROFILE_LABELS:
-        hit = contains_any(name, list(keywords))
-        if exact:
-            hit = name.isin(*exact) | hit
-        rules = rules.when(hit, result("standard", key))
-    long_text = F.coalesce(maxlength > LONG_TEXT, F.lit(False))
-    return rules.when((control == "textarea") | contains_any(name, list(FREE_TEXT)) | long_text, result("free_text", None)).otherwise(
-        result("unmapped", None)
-    )
+    def rules(name: Column) -> Column:
+        upload_words = F.concat_ws(" ", name, control).rlike("upload|attach|file")
+        chain = (
+            F.when((control == "file") | ((name != "") & _holds(name, FILE) & upload_words), result("file", "resume"))
+            .when(name == "", result("unmapped", None))
+            .when(mapped_key.isNotNull(), result("standard", mapped_key))
+            .when(_holds(name, SALARY), result("salary", None))
+            .when(_holds(name, DEMOGRAPHIC), result("demographic", None))
+        )
+        for key, exact, keywords in PROFILE_LABELS:
+            hit = _holds(name, keywords)
+            chain = chain.when(name.isin(*exact) | hit if exact else hit, result("standard", key))
+        free_text = (control == "textarea") | _holds(name, FREE_TEXT) | long_text
+        return chain.when(free_text, result("free_text", None)).otherwise(result("unmapped", None))
+
+    return let(norm_label(label), rules)
+
+
+def _holds(name: Column, keywords) -> Column:
+    """One alternation per rule keeps the compiled rule chain small."""
+    return name.rlike("|".join(re.escape(k) for k in keywords))
 
 
 def learnable(kind: Column, value: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -211,8 +210,3 @@ def _remove_first(text: Column, piece: Column) -> Column:
         return F.when((piece != "") & (at > 0), rest).otherwise(t)
 
     return let(text, without)
-
-
-def contains_any(c: Column, needles: list[str]) -> Column:
-    """True when the lower-cased text holds one of the (already lower-case) needles."""
-    return reduce(lambda a, b: a | b, [c.contains(n) for n in needles], F.lit(False))

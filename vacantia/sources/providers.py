@@ -263,9 +263,9 @@ def workday(payloads: DataFrame) -> DataFrame:
 @provider("rippling")
 def rippling(payloads: DataFrame) -> DataFrame:
     schema = (
-        "props struct<pageProps:struct<dehydratedState:struct<queries:array<struct<state:struct<data:struct<items:"
-        "array<struct<name:string,url:string,locations:array<struct<city:string,state:string,country:string,workplaceType:string>>>>"
-        ">>>>>>"
+        "struct<props:struct<pageProps:struct<dehydratedState:struct<queries:array<struct<`state`:struct<data:struct<items:"
+        "array<struct<name:string,url:string,locations:array<struct<city:string,`state`:string,country:string,workplaceType:string>>>>"
+        ">>>>>>>>"
     )
     script = F.regexp_extract("payload", r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
     queries = F.from_json(script, schema)["props"]["pageProps"]["dehydratedState"]["queries"]
