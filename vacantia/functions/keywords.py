@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 # Beyond this many keywords one alternation is cheaper than a chain of contains().
 CHAIN_LIMIT = 50
@@ -31,9 +31,12 @@ def clean_exclusions(value) -> list[str]:
 
 def matches_any(text: Column, keywords: Sequence[str], word: bool = False) -> Column:
     """Does ``text`` (any case) hold one of the keywords?  Null text gives null."""
+    return let(F.lower(text), lambda lowered: _any_in(lowered, keywords, word))
+
+
+def _any_in(lowered: Column, keywords: Sequence[str], word: bool = False) -> Column:
     if not keywords:
         return F.lit(False)
-    lowered = F.lower(text)
     if word or len(keywords) > CHAIN_LIMIT:
         body = "|".join(re.escape(k) for k in keywords)
         return lowered.rlike(rf"\b(?:{body})\b" if word else body)
@@ -42,41 +45,51 @@ def matches_any(text: Column, keywords: Sequence[str], word: bool = False) -> Co
 
 def title_passes(title: Column, positive=(), negative=()) -> Column:
     """At least one positive keyword (if any are configured) and no negative one."""
-    title = F.coalesce(title, F.lit(""))
     pos = [k.lower() for k in positive or ()]
     neg = [k.lower() for k in negative or ()]
-    wanted = matches_any(title, pos) if pos else F.lit(True)
-    return wanted & ~matches_any(title, neg)
+
+    def passes(lowered: Column) -> Column:
+        wanted = _any_in(lowered, pos) if pos else F.lit(True)
+        return wanted & ~_any_in(lowered, neg)
+
+    return let(F.lower(F.coalesce(title, F.lit(""))), passes)
 
 
 def location_passes(location: Column, always_allow=None, allow=None, block=None) -> Column:
     """Tiered rule: blank passes, then always_allow, block, allow; no allow list passes."""
     always_kw, allow_kw, block_kw = clean_keywords(always_allow), clean_keywords(allow), clean_keywords(block)
-    return (
-        F.when(location.isNull() | (strip(location) == ""), True)
-        .when(matches_any(location, always_kw), True)
-        .when(matches_any(location, block_kw), False)
-        .when(matches_any(location, allow_kw), True)
-        .otherwise(F.lit(not allow_kw))
-    )
+
+    def passes(lowered: Column) -> Column:
+        return (
+            F.when(lowered == "", True)
+            .when(_any_in(lowered, always_kw), True)
+            .when(_any_in(lowered, block_kw), False)
+            .when(_any_in(lowered, allow_kw), True)
+            .otherwise(F.lit(not allow_kw))
+        )
+
+    return let(strip(F.lower(F.coalesce(location, F.lit("")))), passes)
 
 
 def _holds(needle: str):
-    return lambda t: F.lower(t).contains(needle)
+    return lambda t: t.contains(needle)
 
 
 def first_exclusion(keywords: Sequence[str], *texts: Column, tags: Column | None = None) -> Column:
     """The first configured keyword found in any text or tag, else null."""
-    hits = []
-    for keyword in keywords:
-        needle = keyword.lower().strip()
-        if not needle:
-            continue
-        found = reduce(lambda a, b: a | b, [F.coalesce(F.lower(t).contains(needle), F.lit(False)) for t in texts])
-        if tags is not None:
-            found = found | F.coalesce(F.exists(tags, _holds(needle)), F.lit(False))
-        hits.append(F.when(found, F.lit(keyword)))
-    return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+    def first(lowered: Column) -> Column:
+        hits = []
+        for keyword in keywords:
+            needle = keyword.lower().strip()
+            if needle:
+                hits.append(F.when(F.exists(lowered, _holds(needle)), F.lit(keyword)))
+        return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+
+    everything = F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in texts])
+    if tags is not None:
+        listed = F.transform(F.filter(tags, lambda t: t.isNotNull()), lambda t: F.lower(t))
+        everything = F.concat(everything, F.coalesce(listed, F.array().cast("array<string>")))
+    return let(everything, first)
 
 
 def boost(text: Column, keywords: Sequence[str], amount: float) -> Column:
@@ -86,14 +99,16 @@ def boost(text: Column, keywords: Sequence[str], amount: float) -> Column:
 
 def keyword_counts(text: Column, classes: dict[str, Sequence[str]]) -> Column:
     """Array of struct(n, tag) with the number of a class's keywords present in the text."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.array(*[
-        F.struct(
-            reduce(lambda a, b: a + b, [lowered.contains(k.lower()).cast("int") for k in words]).alias("n"),
-            F.lit(tag).alias("tag"),
-        )
-        for tag, words in classes.items()
-    ])
+    def counted(lowered: Column) -> Column:
+        return F.array(*[
+            F.struct(
+                reduce(lambda a, b: a + b, [lowered.contains(k.lower()).cast("int") for k in words]).alias("n"),
+                F.lit(tag).alias("tag"),
+            )
+            for tag, words in classes.items()
+        ])
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), counted)
 
 
 def top_classes(counts: Column, keep: int = 2) -> Column:

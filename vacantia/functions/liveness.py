@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 # Wording of closed listings, of result lists and of apply controls.
 CLOSED_PATTERNS = (
@@ -25,6 +27,8 @@ CLOSED_PATTERNS = (
     r"diese stelle (ist )?(nicht mehr|bereits) besetzt",
     r"offre (expirée|n'est plus disponible)",
 )
+# Each closed pattern holds one of these words, which are cheap to look for.
+CLOSED_ANCHORS = ("no longer", "filled", "expired", "closed", "not found", "exist", "besetzt", "offre ")
 LIST_PATTERNS = (r"\d+\s+jobs?\s+found", r"search for jobs page is loaded")
 ERROR_URL = r"[?&]error=true"
 APPLY_PATTERNS = (
@@ -38,6 +42,10 @@ def _either(patterns) -> str:
     return "(?iu)" + "|".join(f"(?:{p})" for p in patterns)
 
 
+def _has_anchor(text: Column) -> Column:
+    return let(F.lower(text), lambda t: reduce(lambda a, b: a | b, [t.contains(a) for a in CLOSED_ANCHORS]))
+
+
 def _first_pattern(text: Column, patterns) -> Column:
     return F.coalesce(*[F.when(text.rlike(f"(?iu){p}"), F.lit(p)) for p in patterns])
 
@@ -56,7 +64,7 @@ def liveness(http_status: Column, final_url: Column, body: Column, controls: Col
     return (
         F.when(http_status.isin(404, 410), verdict("expired", "http_gone", F.concat(F.lit("HTTP "), http_status.cast("string"))))
         .when(url.rlike(f"(?i){ERROR_URL}"), verdict("expired", "expired_url", F.concat(F.lit("redirect to "), url)))
-        .when(text.rlike(_either(CLOSED_PATTERNS)),
+        .when(_has_anchor(text) & text.rlike(_either(CLOSED_PATTERNS)),
               verdict("expired", "expired_body", F.concat(F.lit("pattern matched: "), _first_pattern(text, CLOSED_PATTERNS))))
         .when(can_apply, verdict("active", "apply_control_visible", F.lit("visible apply control detected")))
         .when(text.rlike(_either(LIST_PATTERNS)),

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spark's trim() removes blanks only and its default \s misses the no-break space.
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# All white space, as trim() alone removes blanks only.
+_SPACE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,8 +21,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Remove all whitespace from both ends."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    """Remove all white space from both ends; only the ends of a long text are looked at."""
+    return F.btrim(c, F.lit(_SPACE))
 
 
 def lower_strip(c: Column) -> Column:

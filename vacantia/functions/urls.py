@@ -46,11 +46,6 @@ def segments(url: Column) -> Column:
     return F.filter(F.split(path(url), "/"), lambda s: s != "")
 
 
-def query_param(url: Column, name: str) -> Column:
-    """First value of a query parameter; '' when absent."""
-    return F.regexp_extract(_part(F.coalesce(url, F.lit("")), 5), rf"[?&]{name}=([^&]*)", 1)
-
-
 # Tracking parameters that never identify a listing.
 _TRACKING = r"(?i)(?<=[?&])(?:utm_[^=&]*|gh_src|gh_jid_src|src|ref|source)(?:=[^&]*)?(?:&|$)"
 # Pages of an application form below a listing.
@@ -58,6 +53,8 @@ _FORM_PAGE = r"/+(?:apply|application)/*$"
 # The embedded application form and the page it stands for.
 _EMBED_HOST, _EMBED_PATH = r"(?i)greenhouse\.io$", r"(?i)/embed/job_app"
 _EMBED_TARGET = "https://job-boards.greenhouse.io/%s/jobs/%s"
+# URLs that are canonical as they stand: most keys of a registry.
+_PLAIN = r"^https?://(?!www\.)[a-z0-9.-]+(?:/(?!(?:apply|application)$)[^?#\s/\\]+)*$"
 # Parts of a URL come from one match, joined by a control character and split again.
 _CUT = "\u0001"
 
@@ -108,16 +105,30 @@ def canonical_url(raw: Column) -> Column:
 
     def from_text(text: Column) -> Column:
         web = let(_web_parts(text), lambda p: F.coalesce(_embedded(p), let(_clean_parts(p), joined)))
-        return F.when(text.rlike(_WEB), web).otherwise(text)
+        return F.when(text.rlike(_PLAIN), text).when(text.rlike(_WEB), web).otherwise(text)
 
     return let(strip(F.coalesce(raw, F.lit(""))), from_text)
 
 
+# What an id can come from; anything else has none, which one pattern decides.
+_ID_SOURCE = r"[?&](?:token|gh_jid)=\d|/(?:jobs|roles)/\d"
+
+
 def listing_id(url: Column) -> Column:
-    """Numeric id shared by all URL shapes of one listing; '' when there is none."""
-    q = or_else(query_param(url, "token"), query_param(url, "gh_jid"))
-    in_path = F.regexp_extract(path(F.coalesce(url, F.lit(""))), r"/(?:jobs|roles)/(\d+)", 1)
-    return F.when(q.rlike(r"^\d+$"), q).otherwise(in_path)
+    """Numeric id shared by all URL shapes of one listing; '' when there is none.
+
+    The query parameter ``token`` (or, when that is blank, ``gh_jid``) if it is a number, else the
+    number after ``/jobs/`` or ``/roles/`` in the path.
+    """
+    param = lambda t, name: F.regexp_extract(t, rf"^[^#?]*\?(?:[^#]*?&)??{name}=([^&#]*)", 1)
+
+    def found(text: Column) -> Column:
+        given = let(or_else(param(text, "token"), param(text, "gh_jid")), lambda q: F.when(q.rlike(r"^\d+$"), q))
+        in_path = F.regexp_extract(text, r"(?i)^https?://[^/?#]+[^?#]*?/(?-i:jobs|roles)/(\d+)", 1)
+        return F.when(text.rlike(_WEB), F.coalesce(given, in_path)).otherwise("")
+
+    text = F.coalesce(url, F.lit(""))
+    return F.when(text.rlike(_ID_SOURCE), let(strip(text), found)).otherwise("")
 
 
 # Where each board keeps the company slug in its URLs, in matching order.

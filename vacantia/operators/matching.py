@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import or_else, report_file, strip
+from ..functions.text import let, or_else, report_file, strip
 from ..functions.urls import board_and_slug, canonical_url, https_on_host, listing_id, slug_candidates, workday_parts
 from .skew import lookup
 
@@ -18,31 +18,27 @@ def lifecycle_tables(
     """Two lookup tables, by canonical URL and by listing id, each with one (status, report) per key.
 
     ``applications``: key, status, report and the order column; ``reports``: file, num, url and the
-    order column; ``tracker``: num, status. An application decides its URL; a report counts only for
-    URLs without an application, with the status the tracker has for its number. Within a source the
-    last row wins; for ids reports come after applications.
+    order column; ``tracker``: num, status. An application (the last one of a URL) decides its URL; a
+    report (the first one of a URL) counts only where there is none, with the status the tracker has
+    for its number. Among the URLs of one id, reports come after applications and the last one wins.
     """
     apps = applications.where("coalesce(key, '') <> ''").select(
-        canonical_url(F.col("key")).alias("url"), listing_id(F.col("key")).alias("id"),
+        canonical_url(F.col("key")).alias("url"),
         F.struct(F.nullif("status", F.lit("")).alias("status"), report_file(F.col("report")).alias("report")).alias("value"),
-        F.lit(0).alias("source"), F.col(order).alias("ord"),
+        F.lit(1).alias("is_app"), F.col(order).alias("ord"), F.col(order).alias("rank"),
     )
     by_number = tracker.where("coalesce(num, '') <> ''").groupBy("num").agg(F.max("status").alias("tracker_status"))
-    noted = (
-        reports.where("coalesce(url, '') <> ''")
-        .select(canonical_url(F.col("url")).alias("url"), F.col("file"), F.col("num"), F.col(order).alias("ord"))
-        .join(apps.select("url").distinct(), "url", "left_anti")
-        .join(by_number, "num", "left")
-        .select(
-            "url", listing_id(F.col("url")).alias("id"),
-            F.struct(or_else(F.col("tracker_status"), F.lit("Evaluated")).alias("status"), F.col("file").alias("report")).alias("value"),
-            F.lit(1).alias("source"), "ord",
-        )
+    noted = reports.where("coalesce(url, '') <> ''").join(by_number, "num", "left").select(
+        canonical_url(F.col("url")).alias("url"),
+        F.struct(or_else(F.col("tracker_status"), F.lit("Evaluated")).alias("status"), F.col("file").alias("report")).alias("value"),
+        F.lit(0).alias("is_app"), F.col(order).alias("ord"), (-F.col(order)).alias("rank"),
     )
-    both = apps.unionByName(noted)
-    last = F.max_by("value", F.struct("source", "ord"))
-    by_url = both.groupBy("url").agg(last.alias("by_url"))
-    by_id = both.where("id <> ''").groupBy("id").agg(last.alias("by_id"))
+    best = F.max_by(F.struct("value", "is_app", "ord"), F.struct("is_app", "rank"))
+    # Both tables start from the same aggregation, so its shuffle is done once.
+    per_url = apps.unionByName(noted).groupBy("url").agg(best.alias("best"))
+    by_url = per_url.select("url", F.col("best.value").alias("by_url"))
+    last = F.max_by("best.value", F.struct(-F.col("best.is_app"), F.col("best.ord")))
+    by_id = per_url.withColumn("id", listing_id(F.col("url"))).where("id <> ''").groupBy("id").agg(last.alias("by_id"))
     return by_url, by_id
 
 
@@ -55,12 +51,6 @@ def with_lifecycle(listings: DataFrame, by_url: DataFrame, by_id: DataFrame, key
     return found.select(*listings.columns, value["status"].alias("status"), value["report"].alias("report"))
 
 
-def _match_keys(kinds: dict[str, Column]) -> Column:
-    """Array of the distinct non-empty (kind, value) pairs a row can be found by."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])
-    return F.array_distinct(F.filter(pairs, lambda p: F.coalesce(p["value"], F.lit("")) != ""))
-
-
 def match_submissions(submissions: DataFrame, listings: DataFrame, order: str, submission_id: str) -> DataFrame:
     """The first listing (in ``order``) a submission belongs to, by any of four keys.
 
@@ -69,23 +59,21 @@ def match_submissions(submissions: DataFrame, listings: DataFrame, order: str, s
     compare all pairs; instead every listing is indexed once per key value (earliest listing only)
     and every submission looks up its few values.
     """
-    def index(kind: str, *values: Column) -> DataFrame:
-        rows = listings.select(F.col("key"), F.col(order).alias("__ord"), F.explode(F.array_distinct(F.array(*values))).alias("value"))
-        return rows.where("coalesce(value, '') <> ''").select(F.lit(kind).alias("kind"), "value", "key", "__ord")
-
-    entries = (
-        index("key", F.col("key"))
-        .unionByName(index("url", F.col("url")))
-        .unionByName(index("apply", canonical_url(F.col("apply_url"))))
-        .unionByName(index("id", *[listing_id(F.col(c)) for c in ("key", "url", "apply_url")]))
-    )
+    def pairs(kinds: dict[str, Column]) -> Column:
+        """Distinct (kind, value) pairs a row can be found by, blank values left out."""
+        made = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])
+        return F.array_distinct(F.filter(made, lambda p: F.coalesce(p["value"], F.lit("")) != ""))
+
+    ids = {f"id{i}": listing_id(F.col(c)) for i, c in enumerate(("key", "url", "apply_url"))}
+    entries = listings.select(
+        "key", F.col(order).alias("__ord"),
+        F.explode(pairs({"key": F.col("key"), "url": F.col("url"), "apply": canonical_url(F.col("apply_url")), **ids})).alias("__k"),
+    ).select("key", "__ord", F.regexp_replace("__k.kind", "^id.$", "id").alias("kind"), "__k.value")
     table = entries.groupBy("kind", "value").agg(F.min_by(F.struct("__ord", "key"), "__ord").alias("found"))
-    canonical = canonical_url(F.col("apply_url"))
+    raw = F.col("apply_url")
     wanted = submissions.select(
         F.col(submission_id),
-        F.explode(_match_keys({
-            "key": canonical, "url": F.col("apply_url"), "apply": canonical, "id": listing_id(F.col("apply_url")),
-        })).alias("__k"),
+        F.explode(let(canonical_url(raw), lambda c: pairs({"key": c, "url": raw, "apply": c, "id": listing_id(raw)}))).alias("__k"),
     ).select(submission_id, "__k.kind", "__k.value")
     hits = lookup(wanted, table, ["kind", "value"]).where("found IS NOT NULL")
     best = hits.groupBy(submission_id).agg(F.min("found").alias("__best"))

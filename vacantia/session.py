@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No Python stack capture per expression: it makes building a wide plan several times slower.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
