@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.keywords import title_passes
-from ..operators.applications import open_per_company
 from ..session import shared_dir
-from ..sinks.tables import VersionedTable
-from ..streaming.ingest import ingest, open_counts_stream, scan_stream
+from ..sinks.tables import BatchTable
+from ..streaming.ingest import ingest, open_counts, scan_stream, status_stream
 from ..streaming.submissions import accepted_submissions, status_change_stream
 from .registry import query, table
 from .standins import STATUS_SQL, event_status
@@ -43,7 +42,7 @@ def stream_ingest(spark, sf):
         "event_id", F.concat(F.lit("u"), F.floor(F.col("event_id") / 2).cast("string")).alias("url"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("company"),
         F.concat_ws(" ", "event_type", F.floor("value").cast("int").cast("string")).alias("role"),
     )
-    history = VersionedTable(spark, f"{root}/history")
+    history = BatchTable(spark, f"{root}/history")
     roles = spark.createDataFrame([], "company_lc string, role_lc string")
     ingest(
         events, history, roles, title_passes(F.col("role"), [], ["error"]), F.lit(True), "url", "company", "role", "event_id", f"{root}/checkpoint"
@@ -82,6 +81,6 @@ def stream_open_counts(spark, sf):
     events = _event_stream(spark, sf).select(
         "user_id", F.concat(F.lit("g"), (F.col("user_id") % 7).cast("string")).alias("company_key"), event_status().alias("status"), "ts", "event_id"
     )
-    statuses = VersionedTable(spark, f"{root}/statuses")
-    open_counts_stream(events, statuses, "user_id", "company_key", ["ts", "event_id"], f"{root}/checkpoint").awaitTermination()
-    return open_per_company(statuses.read())
+    statuses, order = BatchTable(spark, f"{root}/statuses"), ["ts", "event_id"]
+    status_stream(events, statuses, "user_id", "company_key", order, f"{root}/checkpoint").awaitTermination()
+    return open_counts(statuses, "user_id", "company_key", order)

@@ -31,7 +31,7 @@ def timeline_events(events: DataFrame, applications: DataFrame, ts: str, tie: st
     # A first event without a status opens a new application as Applied; other events
     # without one keep the status and are no change.
     opened = (
-        stated.join(first, "key").join(prior.select("key", F.lit(1).alias("__known")), "key", "left")
+        lookup(lookup(stated, first, "key"), prior.select("key", F.lit(1).alias("__known")), "key")
         .withColumn(
             "status",
             F.when(F.col("status").isNull() & F.col("__known").isNull() & (F.struct(ts, tie) == F.col("__first")), "Applied")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lower_strip
 from ..session import cut_lineage
-from .skew import first_per_key, in_group
+from .skew import exclude, first_per_key, in_group
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -39,10 +39,8 @@ def seen_roles(applications: DataFrame, company: str = "company", role: str = "t
 def unseen(listings: DataFrame, urls: DataFrame, roles: DataFrame, url: str, company: str, role: str) -> DataFrame:
     """Listings whose URL and whose (company, role) are both new."""
     tagged = listings.withColumns({"__c": F.lower(F.col(company)), "__r": F.lower(F.col(role))})
-    fresh = tagged.join(urls.select(F.col("url").alias("__u")), F.col(url) == F.col("__u"), "left_anti")
-    known = roles.select(F.col("company_lc").alias("__kc"), F.col("role_lc").alias("__kr"))
-    same_role = (F.col("__c") == F.col("__kc")) & (F.col("__r") == F.col("__kr"))
-    return fresh.join(known, same_role, "left_anti").drop("__c", "__r")
+    fresh = exclude(tagged, urls, {url: "url"})
+    return exclude(fresh, roles, {"__c": "company_lc", "__r": "role_lc"}).drop("__c", "__r")
 
 
 def first_wins_two_keys(

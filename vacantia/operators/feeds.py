@@ -12,7 +12,7 @@ from ..functions.fields import PROFILE_KEYS
 from ..functions.keywords import first_exclusion, location_passes, title_passes
 from ..functions.text import lower_strip, norm_name
 from ..functions.urls import platform
-from .skew import first_per_key, lookup, top_per_key
+from .skew import exclude, first_per_key, lookup, top_per_key
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:
@@ -21,14 +21,14 @@ def union_feeds(*feeds: DataFrame) -> DataFrame:
 
 def new_companies(found: DataFrame, existing: DataFrame, name: str = "name") -> DataFrame:
     """Companies whose name (any case) is not in the list yet."""
-    known = existing.select(norm_name(F.col(name)).alias("__n")).distinct()
-    return found.withColumn("__n", norm_name(F.col(name))).join(known, "__n", "left_anti").drop("__n")
+    known = existing.select(norm_name(F.col(name)).alias("known")).distinct()
+    return exclude(found.withColumn("__n", norm_name(F.col(name))), known, {"__n": "known"}).drop("__n")
 
 
 def drop_skipped(found: DataFrame, decisions: DataFrame, name: str = "name") -> DataFrame:
     """Companies nobody has decided to skip."""
-    skipped = decisions.where("decision = 'skip'").select(norm_name(F.col(name)).alias("__n")).distinct()
-    return found.withColumn("__n", norm_name(F.col(name))).join(skipped, "__n", "left_anti").drop("__n")
+    skipped = decisions.where("decision = 'skip'").select(norm_name(F.col(name)).alias("known")).distinct()
+    return exclude(found.withColumn("__n", norm_name(F.col(name))), skipped, {"__n": "known"}).drop("__n")
 
 
 def candidate_jobs(
@@ -62,7 +62,7 @@ def group_companies(jobs: DataFrame, order: str, keep_jobs: int = 2) -> tuple[Da
 def log_exclusions(log: DataFrame, excluded: DataFrame, order: str, day: Column) -> DataFrame:
     """New rows of the exclusion log: the first hit per company not in the log yet."""
     keyed = excluded.where("exclusion_matched IS NOT NULL").withColumn("__n", F.lower("company_name"))
-    fresh = keyed.join(log.select(F.lower("name").alias("__n")).distinct(), "__n", "left_anti")
+    fresh = exclude(keyed, log.select(F.lower("name").alias("known")).distinct(), {"__n": "known"})
     first = first_per_key(fresh, ["__n"], [order])
     return first.select(F.col("company_name").alias("name"), "exclusion_matched", day.alias("date_added"))
 
@@ -90,8 +90,8 @@ def company_entries(resolved: DataFrame, existing: DataFrame, min_fit: float = 0
 
 def uncovered_hits(hits: DataFrame, parsed: DataFrame, company: str = "company") -> DataFrame:
     """Search hits of companies no parser has already covered."""
-    done = parsed.select(lower_strip(F.col("name")).alias("__n")).distinct()
-    return hits.withColumn("__n", lower_strip(F.col(company))).join(done, "__n", "left_anti").drop("__n")
+    done = parsed.select(lower_strip(F.col("name")).alias("known")).distinct()
+    return exclude(hits.withColumn("__n", lower_strip(F.col(company))), done, {"__n": "known"}).drop("__n")
 
 
 # ── batches of work ──────────────────────────────────────────────────

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .skew import micros, time_chunk, with_previous
+from .skew import lookup, micros, time_chunk, with_previous
 
 DAY = 86_400
 
@@ -28,7 +28,7 @@ def status_changes(
     )
     if prior is not None:
         start = prior.select(F.col(key), F.col(status).alias("__start"), F.lit(1).alias("__known"))
-        tagged = tagged.join(start, key, "left")
+        tagged = lookup(tagged, start, key)
         first = F.col("__row").isNull()
         changed = F.when(first & F.col("__known").isNotNull(), ~F.col("__start").eqNullSafe(F.col(status)))
         changed = changed.when(first, True).otherwise(~F.col("__before").eqNullSafe(F.col(status)))

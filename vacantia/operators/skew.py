@@ -25,6 +25,20 @@ def lookup(facts: DataFrame, table: DataFrame, on: str | Sequence[str]) -> DataF
     return left.join(right, condition, "left").drop("__fh", "__kh", *[f"__k{i}" for i in range(len(keys))])
 
 
+def exclude(facts: DataFrame, keys_table: DataFrame, on: dict[str, str]) -> DataFrame:
+    """Rows whose key does not occur in the table (``on``: row column → table column).
+
+    The same additional join key as in :func:`lookup` lets hot keys of the rows be split.
+    """
+    known = keys_table.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(on.values())], F.xxhash64(*on.values()).alias("__kh")
+    )
+    condition = F.xxhash64(*on) == F.col("__kh")
+    for i, c in enumerate(on):
+        condition = condition & (F.col(c) == F.col(f"__k{i}"))
+    return facts.join(known, condition, "left_anti")
+
+
 def in_group(facts: DataFrame, keys_table: DataFrame, on: str | Sequence[str], flag: str) -> DataFrame:
     """Add a boolean: does the row's key occur in the table?"""
     keys = [on] if isinstance(on, str) else list(on)

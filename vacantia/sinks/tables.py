@@ -45,6 +45,26 @@ class VersionedTable:
         return number
 
 
+class BatchTable:
+    """A table that only grows: one folder per micro-batch, replaced when a batch runs again."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """All rows, or those of earlier batches; null when there are none yet."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        batches = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+        wanted = [f"{self.root}/batch={b}" for b in sorted(batches) if before is None or b < before]
+        return self.spark.read.option("basePath", self.root).parquet(*wanted) if wanted else None
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Whole table as JSON lines in a new folder."""
     df.write.mode("errorifexists").json(path)

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from ..operators.applications import open_per_company
 from ..operators.dedup import scan_outcomes
 from ..operators.registry import refresh_listings
-from ..sinks.tables import VersionedTable
+from ..sinks.tables import BatchTable, VersionedTable
 
 
 def scan_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "json", files_per_trigger: int | None = None, **options) -> DataFrame:
@@ -29,24 +29,21 @@ def passing(listings: DataFrame, title_ok: Column, location_ok: Column) -> DataF
 
 
 def ingest(
-    listings: DataFrame, history: VersionedTable, roles: DataFrame, title_ok: Column, location_ok: Column,
+    listings: DataFrame, history: BatchTable, roles: DataFrame, title_ok: Column, location_ok: Column,
     url: str, company: str, role: str, order: str, checkpoint: str,
 ) -> StreamingQuery:
-    """Tag every new listing with its outcome and add it to the history, one version per micro-batch.
+    """Tag every new listing with its outcome and add it to the history.
 
-    A batch writes version ``batch id`` of the history from the version before it, so a batch that is
-    run again after a failure produces the same version again.
+    A batch looks only at the history of the batches before it and writes its own folder, so a batch
+    that is run again after a failure replaces itself with the same rows.
     """
     spark = listings.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        earlier = [v for v in history.versions() if v < batch_id]
-        known = history.read(earlier[-1]) if earlier else None
-        urls = known.select(F.col(url).alias("url")) if known is not None else spark.createDataFrame([], "url string")
+        known = history.read(before=batch_id)
+        urls = spark.createDataFrame([], "url string") if known is None else known.select(F.col(url).alias("url"))
         seen = urls.where("url IS NOT NULL").distinct()
-        tagged = scan_outcomes(batch, title_ok, location_ok, seen, roles, url, company, role, order)
-        rows = tagged if known is None else known.unionByName(tagged)
-        history.write(rows, batch_id)
+        history.write(scan_outcomes(batch, title_ok, location_ok, seen, roles, url, company, role, order), batch_id)
 
     return (
         listings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -68,25 +65,23 @@ def refresh_stream(
     return scans.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def open_counts_stream(
-    changes: DataFrame, statuses: VersionedTable, key: str, group: str, ts: Sequence[str], checkpoint: str
+def status_stream(
+    changes: DataFrame, statuses: BatchTable, key: str, group: str, ts: Sequence[str], checkpoint: str
 ) -> StreamingQuery:
-    """Last status per application and from it the open count per company, per micro-batch.
-
-    A closed application frees its slot, so counts are taken from the current statuses and not added
-    up from the stream.
-    """
+    """Per micro-batch the last status of every application it touches."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        earlier = [v for v in statuses.versions() if v < batch_id]
-        rows = batch.select(key, group, "status", *ts)
-        if earlier:
-            rows = rows.unionByName(statuses.read(earlier[-1]))
-        last = rows.groupBy(key).agg(F.max_by(F.struct(group, "status", *ts), F.struct(*ts)).alias("r"))
+        last = batch.groupBy(key).agg(F.max_by(F.struct(group, "status", *ts), F.struct(*ts)).alias("r"))
         statuses.write(last.select(key, "r.*"), batch_id)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def open_counts(statuses: VersionedTable, group: str) -> DataFrame:
-    return open_per_company(statuses.read(), group)
+def open_counts(statuses: BatchTable, key: str, group: str, ts: Sequence[str]) -> DataFrame:
+    """Open applications per company now.
+
+    A closed application frees its slot, so counts come from the current status of each application
+    and are not added up from the stream.
+    """
+    now = statuses.read().groupBy(key).agg(F.max_by(F.struct(group, "status"), F.struct(*ts)).alias("r"))
+    return open_per_company(now.select(key, "r.*"), group)
