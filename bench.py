@@ -16,12 +16,11 @@ from vacantia.catalog.registry import QUERIES, load_all
 from vacantia.session import local_session
 
 HEADLINE = (
-    "ranked_parts", "rubric_score", "weight_sweep", "live_reweight", "best_per_dimension", "canonical_url", "url_dedup_latest",
-    "html_to_text", "tiered_keyword_filter", "exclusion_first_hit", "archetype_tags", "contact_parse", "liveness_rules",
-    "field_classify", "seen_filter", "scan_outcomes", "two_key_dedup", "snapshot_merge", "registry_refresh", "personal_refresh",
-    "company_merge", "patch_merge", "application_upsert", "status_timeline", "duplicate_gap_accepted", "repost_signal",
-    "lifecycle_join", "priority_match", "first_provider_hit", "cap_flags", "ranked_queue_view", "funnel", "triage_queue",
-    "watchlist", "titles_per_group", "feed_candidates", "pending_selection", "provider_lever", "provider_workday", "stream_timeline",
+    "ranked_parts", "rubric_score", "weight_sweep", "canonical_url", "url_dedup_latest", "html_to_text", "tiered_keyword_filter",
+    "contact_parse", "liveness_rules", "field_classify", "scan_outcomes", "snapshot_merge", "registry_refresh", "company_merge",
+    "application_upsert", "status_timeline", "duplicate_gap_accepted", "repost_signal", "lifecycle_join", "priority_match",
+    "cap_flags", "ranked_queue_view", "funnel", "triage_queue", "watchlist", "titles_per_group", "feed_candidates",
+    "pending_selection", "provider_workday", "stream_timeline",
 )
 
 

@@ -189,12 +189,13 @@ def labelled_line(text: Column, label: str) -> Column:
 def contact_parts(text: Column) -> Column:
     """``Name <mail>, +1 555…`` → struct(name, email, phone)."""
     def parts(source: Column) -> Column:
-        email = F.regexp_extract(source, r"[\w.+-]+@[\w.-]+\.\w+", 0)
+        # Most texts hold no address, which a substring test finds out faster than the pattern.
+        email = F.when(source.contains("@"), F.regexp_extract(source, r"[\w.+-]+@[\w.-]+\.\w+", 0)).otherwise("")
         phone = strip(F.regexp_extract(source, r"\+?[\d][\d\s().-]{6,}", 0))
         return F.struct(source.alias("source"), email.alias("email"), phone.alias("phone"))
 
     def named(p: Column) -> Column:
-        bare = F.regexp_replace(p["source"], "<[^>]*>", "")
+        bare = F.when(p["source"].contains("<"), F.regexp_replace(p["source"], "<[^>]*>", "")).otherwise(p["source"])
         rest = _remove_first(_remove_first(bare, p["email"]), p["phone"])
         name = strip(F.regexp_replace(rest, "[,;]", " "))
         return F.struct(name.alias("name"), p["email"].alias("email"), p["phone"].alias("phone"))
