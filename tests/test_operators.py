@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vacantia.operators import queues
 from vacantia.operators.dedup import first_wins_two_keys
+from vacantia.operators.matching import lifecycle_tables, with_lifecycle
 from vacantia.operators.patches import COMPANY_DECISIONS, check_edits
 from vacantia.operators.registry import NEW, PRIOR, merge_snapshot
 from vacantia.operators.sequence import far_from_accepted, far_from_previous, status_changes
@@ -240,3 +241,24 @@ def test_watchlist_cap_counts_before_unusable_entries(spark):
     )
     assert {r.key for r in queues.watchlist(rows, True, 1, 1).collect()} == {"c"}
     assert {r.key for r in queues.watchlist(rows, True, 1, -1).collect()} == {"b", "c"}
+
+
+def test_lifecycle_order_of_sources(spark):
+    apps = spark.createDataFrame(
+        [("https://x.org/a", "Applied", None, 1), ("https://x.org/a", "Offer", "[1](reports/1-a.md)", 2), ("https://y.org/?gh_jid=7", None, None, 3)],
+        "key string, status string, report string, ord int",
+    )
+    reports = spark.createDataFrame(
+        [("1-a.md", "1", "https://x.org/a", 1), ("2-b.md", "2", "https://x.org/b", 2), ("3-b.md", "3", "https://x.org/b", 3), ("4-c.md", "4", "https://z.org/jobs/9", 4)],
+        "file string, num string, url string, ord int",
+    )
+    tracker = spark.createDataFrame([("2", "Rejected"), ("3", "Offer")], "num string, status string")
+    listings = spark.createDataFrame([("https://x.org/a",), ("https://x.org/b",), ("https://other.org/jobs/7",), ("https://other.org/roles/9",), ("https://none.org",)], "key string")
+    got = {r.key: (r.status, r.report, r.tracked) for r in with_lifecycle(listings, *lifecycle_tables(apps, reports, tracker, "ord")).collect()}
+    assert got == {
+        "https://x.org/a": ("Offer", "1-a.md", True),  # an application beats a report; its last row counts
+        "https://x.org/b": ("Rejected", "2-b.md", True),  # the first report of a URL counts
+        "https://other.org/jobs/7": (None, None, True),
+        "https://other.org/roles/9": ("Evaluated", "4-c.md", True),
+        "https://none.org": (None, None, False),
+    }

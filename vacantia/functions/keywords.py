@@ -47,12 +47,10 @@ def title_passes(title: Column, positive=(), negative=()) -> Column:
     """At least one positive keyword (if any are configured) and no negative one."""
     pos = [k.lower() for k in positive or ()]
     neg = [k.lower() for k in negative or ()]
-
-    def passes(lowered: Column) -> Column:
-        wanted = _any_in(lowered, pos) if pos else F.lit(True)
-        return wanted & ~_any_in(lowered, neg)
-
-    return let(F.lower(F.coalesce(title, F.lit(""))), passes)
+    # Titles are short: lower() per keyword costs less than leaving generated code for a lambda.
+    lowered = F.lower(F.coalesce(title, F.lit("")))
+    wanted = _any_in(lowered, pos) if pos else F.lit(True)
+    return wanted & ~_any_in(lowered, neg)
 
 
 def location_passes(location: Column, always_allow=None, allow=None, block=None) -> Column:

@@ -43,12 +43,15 @@ def lifecycle_tables(
 
 
 def with_lifecycle(listings: DataFrame, by_url: DataFrame, by_id: DataFrame, key: str = "key") -> DataFrame:
-    """Add status and report of the application behind each listing: by URL, else by id."""
+    """Add status, report and ``tracked`` of the application behind each listing: by URL, else by id.
+
+    ``tracked`` tells an application without a status from no application at all.
+    """
     tagged = listings.withColumns({"__url": F.col(key), "__id": F.nullif(listing_id(F.col(key)), F.lit(""))})
     found = lookup(tagged, by_url.withColumnRenamed("url", "__url"), "__url")
     found = lookup(found, by_id.withColumnRenamed("id", "__id"), "__id")
     value = F.coalesce(F.col("by_url"), F.col("by_id"))
-    return found.select(*listings.columns, value["status"].alias("status"), value["report"].alias("report"))
+    return found.select(*listings.columns, value["status"].alias("status"), value["report"].alias("report"), value.isNotNull().alias("tracked"))
 
 
 def match_submissions(submissions: DataFrame, listings: DataFrame, order: str, submission_id: str) -> DataFrame:

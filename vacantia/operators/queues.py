@@ -252,7 +252,7 @@ def listing_detail(key: str, registry: DataFrame, personal: DataFrame, bodies: D
     one = lambda df: df.where(F.col("key") == key)
     rows = one(registry).join(one(personal), "key", "full_outer").join(one(bodies).select("key", "body"), "key", "left")
     seen = with_lifecycle(rows.withColumnRenamed("status", "__status") if "status" in rows.columns else rows, by_url, by_id)
-    applied = F.col("status").isNotNull() & (F.col("status") != "Evaluated")
+    applied = F.col("tracked") & (F.coalesce("status", F.lit("")) != "Evaluated")
     return seen.withColumn(
         "decision", F.when(applied, "applied").otherwise(or_else(F.col("decision"), F.lit("undecided")))
     )

@@ -59,7 +59,7 @@ def ranked_view(
         F.col("key").alias("company_key"), F.col("decision").alias("company_decision"), F.col("fit").alias("company_fit")
     ).join(open_counts, "company_key", "full_outer")
     rows = lookup(rows, state, "company_key")
-    applied = F.col("status").isNotNull() & (F.col("status") != "Evaluated")
+    applied = F.col("tracked") & (F.coalesce("status", F.lit("")) != "Evaluated")
     return rows.withColumns({
         "company_decision": or_else(F.col("company_decision"), F.lit("undecided")),
         "open_count": F.coalesce("open_count", F.lit(0)).cast("long"),
