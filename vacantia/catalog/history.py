@@ -185,7 +185,11 @@ _COMP = "struct<min:double,max:double,currency:string,equity:boolean>"
 
 
 def _registry_inputs(spark, sf):
-    rows = facets(spark, sf)
+    return registry_inputs_of(facets(spark, sf))
+
+
+def registry_inputs_of(rows):
+    """Prior registry and scanned listings made from parts with facets."""
     number, size, brand = F.col("p_partkey").cast("string"), F.col("p_size"), F.col("company_key")
     url = F.concat(F.lit("https://x.example.org/"), number)
     pay = lambda v: F.struct(v.alias("min"), F.lit(None).cast("double").alias("max"), F.lit("CAD").alias("currency"), F.lit(None).cast("boolean").alias("equity"))
@@ -215,7 +219,10 @@ def _registry_inputs(spark, sf):
 _DAY = "1998-06-01"
 
 
-@query("registry_refresh", f"WITH {_REG_SQL} SELECT key, company_key, title, apply_url, date_posted, pay, has_body, live, first_seen, last_seen FROM reg")
+REFRESH_SQL = f"WITH {_REG_SQL} SELECT key, company_key, title, apply_url, date_posted, pay, has_body, live, first_seen, last_seen FROM reg"
+
+
+@query("registry_refresh", REFRESH_SQL)
 def registry_refresh(spark, sf):
     prior, listings = _registry_inputs(spark, sf)
     merged = refresh_listings(listings, prior, F.lit(_DAY).cast("date"))

@@ -45,6 +45,10 @@ FACETS_SQL = (
 
 def facets(spark, sf):
     """Parts as listings with extracted facets."""
+    return facets_of(table(spark, sf, "part"))
+
+
+def facets_of(parts):
     size, kind, brand, price = F.col("p_size"), F.col("p_type"), F.col("p_brand"), F.col("p_retailprice")
 
     def by_brand(groups):
@@ -53,7 +57,7 @@ def facets(spark, sf):
             rules = rules.when(brand.isin(*brands), value)
         return rules
 
-    return table(spark, sf, "part").select(
+    return parts.select(
         "p_partkey", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), brand.alias("company_key"),
         F.col("p_name").alias("title"), brand.alias("company"), "p_type", "p_size", "p_retailprice",
         F.when(kind == "SMALL", "Junior").when(kind == "MEDIUM", "mid").when(kind == "STANDARD", "mid-senior")

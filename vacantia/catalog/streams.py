@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.keywords import title_passes
 from ..session import shared_dir
-from ..sinks.tables import BatchTable
-from ..streaming.ingest import ingest, open_counts, scan_stream, status_stream
+from ..sinks.tables import BatchTable, VersionedTable
+from ..streaming.ingest import ingest, open_counts, refresh_stream, scan_stream, status_stream
 from ..streaming.submissions import accepted_submissions, status_change_stream
+from .history import REFRESH_SQL, registry_inputs_of
 from .registry import query, table
-from .standins import STATUS_SQL, event_status
+from .standins import STATUS_SQL, event_status, facets, facets_of
 
 
 def _event_stream(spark, sf):
@@ -84,3 +85,18 @@ def stream_open_counts(spark, sf):
     statuses, order = BatchTable(spark, f"{root}/statuses"), ["ts", "event_id"]
     status_stream(events, statuses, "user_id", "company_key", order, f"{root}/checkpoint").awaitTermination()
     return open_counts(statuses, "user_id", "company_key", order)
+
+
+@query("stream_registry_refresh", REFRESH_SQL)
+def stream_registry_refresh(spark, sf):
+    """A scan that arrives as a file is merged into the registry."""
+    root = shared_dir(spark, "registry")
+    registry = VersionedTable(spark, f"{root}/registry")
+    scans = scan_stream(spark, sf, table(spark, sf, "part").schema, "parquet", 1, pathGlobFilter="part.parquet")
+    prior = registry_inputs_of(facets(spark, sf))[0]
+    refresh_stream(
+        scans, registry, prior, lambda batch: registry_inputs_of(facets_of(batch))[1], F.lit("1998-06-01").cast("date"), f"{root}/checkpoint"
+    ).awaitTermination()
+    return registry.read().select(
+        "key", "company_key", "title", "apply_url", "date_posted", F.col("comp.min").alias("pay"), "has_body", "live", "first_seen", "last_seen"
+    )
