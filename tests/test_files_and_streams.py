@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from vacantia.functions.keywords import title_passes
 from vacantia.operators.registry import scan_to_listings
-from vacantia.sinks.tables import BatchTable, VersionedTable, append_history, history_rows, write_jsonl, write_tracker
+from vacantia.sinks.tables import BatchTable, VersionedTable, append_history, history_rows, write_jsonl, write_scan, write_tracker
 from vacantia.sources import documents, landed
 from vacantia.streaming.ingest import ingest, refresh_stream, scan_stream
 from vacantia.streaming.submissions import accepted_submissions
@@ -66,6 +66,9 @@ def test_sinks(spark, tmp_path):
     write_tracker(lines, str(tmp_path / "tracker"))
     parts = sorted((tmp_path / "tracker").glob("part-*"))
     assert "".join(p.read_text() for p in parts).split("\n")[:3] == ["| 1 |", "| 2 |", "| 10 |"]
+    write_scan(offers, spark.createDataFrame([("2024-01-01", True)], "scanned_at string, partial boolean"), str(tmp_path / "scan"))
+    assert spark.read.parquet(str(tmp_path / "scan" / "rows")).count() == 1
+    assert spark.read.json(str(tmp_path / "scan" / "meta")).first().partial is True
     write_jsonl(offers, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 1
 
