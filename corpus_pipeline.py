@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import decontaminate, quality
+from vacantia.llm import decontaminate, lines, mixing, quality
 from vacantia.llm.common import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,14 +20,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go, and documents of which nothing is left."""
+    return lines.without_repeated_lines(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn, up to twice each, to the sources' weights, and dealt among shuffled shards."""
+    return mixing.mixed(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
 ]
 
 # The learned rules, the near-duplicate components and the seeded draws have no plain SQL.
@@ -36,6 +48,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn, up to twice each, to the sources' weights, and dealt among shuffled shards."""
+    return mixing.mixed(docs)
+
+
+STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
     return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import decontaminate, licenses, quality
+from vacantia.llm import decontaminate, licenses, lines, mixing, quality
 from vacantia.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -42,6 +42,51 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op8_mixture")
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op9_line_dedup",
+    r"""
+    WITH raw AS (
+        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no
+        FROM documents
+    ),
+    l AS (SELECT doc_id, line_no, trim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS line FROM raw),
+    w AS (
+        SELECT doc_id, line_no, line, len(regexp_extract_all(line, '[^ 	-]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq
+        FROM l WHERE line <> ''
+    ),
+    c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY seq)::BIGINT AS upto, sum(words) OVER (PARTITION BY doc_id)::BIGINT AS all_words FROM w),
+    r AS (
+        SELECT doc_id, seq, upto - words AS before, upto, all_words,
+               count(*) OVER (PARTITION BY doc_id ORDER BY upto - words RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS ahead,
+               count(*) OVER (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 19 PRECEDING AND CURRENT ROW) AS back
+        FROM c
+    ),
+    runs AS (
+        SELECT doc_id, seq AS s, ahead AS n FROM r WHERE all_words - before >= 20
+        UNION SELECT doc_id, seq - back + 1, back FROM r WHERE upto >= 20
+    ),
+    a AS (SELECT doc_id, list(line ORDER BY seq) AS ls FROM w GROUP BY 1),
+    k AS (SELECT doc_id, s, n, array_to_string(ls[s:s + n - 1], chr(10)) AS x FROM runs JOIN a USING (doc_id)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS copy FROM k),
+    g AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS seq FROM f WHERE copy > 1),
+    m AS (SELECT doc_id, line_no, words FROM w JOIN g USING (doc_id, seq)),
+    o AS (
+        SELECT doc_id, count(m.words) AS n_removed_lines, coalesce(sum(m.words), 0)::BIGINT AS n_removed_words,
+               coalesce(string_agg(x, chr(10) ORDER BY line_no) FILTER (WHERE m.words IS NULL), '') AS kept
+        FROM raw LEFT JOIN m USING (doc_id, line_no) GROUP BY 1
+    )
+    SELECT doc_id, n_removed_lines, n_removed_words, length(kept)::BIGINT AS n_chars_kept, sha256(kept) AS kept_sha256 FROM o
+    """,
+)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 @query("op10_licenses")
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
