@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import decontaminate, lines, mixing, quality
+from vacantia.llm import decontaminate, lines, mixing, near, quality
 from vacantia.llm.common import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,6 +25,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.without_repeated_lines(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near.without_near_duplicates(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
@@ -38,6 +43,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("source_mixing", source_mixing),
 ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import decontaminate, licenses, lines, mixing, quality
+from vacantia.llm import decontaminate, licenses, lines, mixing, near, quality
 from vacantia.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -12,6 +12,11 @@ __all__ = ["ORACLES", "QUERIES"]
 FOLDED_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op5_decontaminate",
     f"""
@@ -56,7 +61,8 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
     l AS (SELECT doc_id, line_no, trim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS line FROM raw),
     w AS (
-        SELECT doc_id, line_no, line, len(regexp_extract_all(line, '[^ 	-]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq
+        SELECT doc_id, line_no, line, len(regexp_extract_all(line, '[^ 	-
+]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq
         FROM l WHERE line <> ''
     ),
     c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY seq)::BIGINT AS upto, sum(words) OVER (PARTITION BY doc_id)::BIGINT AS all_words FROM w),
