@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import decontaminate, html, licenses, lines, mixing, near, quality, toxicity
+from vacantia.llm import decontaminate, html, licenses, lines, mixing, near, quality, toxicity, warc
 from vacantia.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -22,6 +22,28 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op4_warc_audit",
+    """
+    WITH r AS (
+        SELECT page_id, ('0x' || md5(coalesce(page_id::VARCHAR, ''))[1:7])::BIGINT % greatest(1, ceil((SELECT count(*) FROM pages) / 512.0)::BIGINT) AS archive,
+               concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), coalesce('WARC-Target-URI: ' || url || chr(13) || chr(10), ''),
+                      'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS record
+        FROM pages
+    ),
+    p AS (
+        SELECT page_id, archive, strlen(record)::BIGINT AS record_length,
+               (sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id) - strlen(record))::BIGINT AS record_offset,
+               ('0x' || md5('fault ' || coalesce(page_id::VARCHAR, ''))[1:7])::BIGINT % 100 AS kind
+        FROM r
+    )
+    SELECT page_id, archive, record_offset, record_length, CASE WHEN kind = 2 THEN 'missing' ELSE 'changed' END AS fault FROM p WHERE kind < 3
+    """,
+)
+def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.replica_faults(table(spark, sf_dir, "pages"))
+
+
 @query(
     "op5_decontaminate",
     f"""
