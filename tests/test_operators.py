@@ -262,3 +262,37 @@ def test_lifecycle_order_of_sources(spark):
         "https://other.org/roles/9": ("Evaluated", "4-c.md", True),
         "https://none.org": (None, None, False),
     }
+
+
+def test_null_keys_and_times_are_kept(spark):
+    import datetime as dt
+
+    from vacantia.operators.dedup import first_wins_two_keys
+    from vacantia.operators.sequence import far_from_accepted, far_from_previous
+    from vacantia.operators.skew import number_in_order
+
+    day = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = spark.createDataFrame([(1, None), (2, day(3)), (3, day(1)), (4, day(1))], "id long, ts timestamp")
+    got = {r.id: r.n for r in number_rows(rows, ["ts", "id"], time_chunk(F.col("ts"), 3600), "n").collect()}
+    assert got == {1: 1, 3: 2, 4: 3, 2: 4}
+    assert {r.id: r.n for r in number_in_order(rows, ["ts", "id"], "n").collect()} == got
+    events = spark.createDataFrame([(1, "a", day(1)), (2, None, day(1)), (3, None, day(2)), (4, None, day(9)), (5, "a", None)], "id long, k string, ts timestamp")
+    assert sorted(r.id for r in far_from_accepted(events, ["k"], "ts", "id", 4 * 3600).collect()) == [1, 2, 4]
+    assert sorted(r.id for r in far_from_previous(events.where("ts IS NOT NULL"), ["k"], "ts", "id", 4 * 3600).collect()) == [1, 2, 4]
+    two = spark.createDataFrame(
+        [(1, None, None), (2, None, None), (3, None, "r"), (4, None, "r"), (5, "u", None), (6, "u", "s"), (7, "v", "r"), (8, "w", "s")], "o long, u string, r string"
+    )
+    assert sorted(r.o for r in first_wins_two_keys(two, "u", ["r"], "o").collect()) == [1, 2, 3, 5, 8]
+
+
+def test_one_day_is_numbered_by_several_tasks(spark):
+    from vacantia.operators.skew import number_in_order
+
+    rows = spark.range(0, 4000, 1, 4).select(F.format_string("k%05d", "id").alias("key"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = number_in_order(rows, ["ts", "key"], "n").withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [r.n for r in sorted(got, key=lambda r: r.key)] == list(range(1, 4001))
+    assert len({r.p for r in got}) > 1

@@ -7,17 +7,25 @@ from pyspark.sql import functions as F
 from ..functions.keywords import title_passes
 from ..session import shared_dir
 from ..sinks.tables import BatchTable, VersionedTable
-from ..streaming.ingest import ingest, open_counts, refresh_stream, scan_stream, status_stream
+from ..streaming.ingest import ingest, latest_counts, open_count_stream, open_counts, refresh_stream, scan_stream, status_stream
 from ..streaming.submissions import accepted_submissions, status_change_stream
 from .history import REFRESH_SQL, registry_inputs_of
 from .registry import query, table
 from .standins import STATUS_SQL, event_status, facets, facets_of
 
 
+def _stream_of(spark, sf, name):
+    """A table as a stream of its files, whether it is one file or a folder of them.
+
+    Reading the schema fails when there is no such table. The last letter as a pattern makes Spark
+    resolve the path, which may then be a file.
+    """
+    schema = table(spark, sf, name).schema
+    return scan_stream(spark, f"{sf}/{name}.parque[t]", schema, "parquet", 1)
+
+
 def _event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    rows = scan_stream(spark, sf, schema, "parquet", 1, pathGlobFilter="events.parquet")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _stream_of(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _run(rows, spark, purpose, mode="append"):
@@ -33,23 +41,24 @@ def _run(rows, spark, purpose, mode="append"):
 
 @query(
     "stream_ingest",
-    """WITH e AS (SELECT event_id, 'u' || (event_id // 2) AS url, 'U' || user_id AS company, event_type || ' ' || CAST(floor(value) AS INT) AS role FROM events),
-r AS (SELECT *, event_type_ok FROM (SELECT e.*, NOT contains(role, 'error') AS event_type_ok FROM e))
-SELECT CASE WHEN event_type_ok THEN 'passed' ELSE 'skipped_title' END AS outcome, count(*) AS n FROM r GROUP BY 1""",
+    """WITH e AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 'u' || (event_id // 2) END AS url, NOT contains(event_type, 'error') AS ok FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY url, ok ORDER BY event_id) AS copy FROM e)
+SELECT CASE WHEN NOT ok THEN 'skipped_title' WHEN url IS NOT NULL AND copy > 1 THEN 'skipped_dup' ELSE 'added' END AS outcome, count(*) AS n FROM r GROUP BY 1""",
 )
 def stream_ingest(spark, sf):
     root = shared_dir(spark, "ingest")
     events = _event_stream(spark, sf).select(
-        "event_id", F.concat(F.lit("u"), F.floor(F.col("event_id") / 2).cast("string")).alias("url"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("company"),
-        F.concat_ws(" ", "event_type", F.floor("value").cast("int").cast("string")).alias("role"),
+        "event_id", F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("u"), F.floor(F.col("event_id") / 2).cast("string"))).alias("url"),
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("company"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("role"),
     )
-    history = BatchTable(spark, f"{root}/history")
+    history, pending = BatchTable(spark, f"{root}/history"), BatchTable(spark, f"{root}/pending")
     roles = spark.createDataFrame([], "company_lc string, role_lc string")
     ingest(
-        events, history, roles, title_passes(F.col("role"), [], ["error"]), F.lit(True), "url", "company", "role", "event_id", f"{root}/checkpoint"
+        events, history, roles, title_passes(F.col("role"), [], ["error"]), F.lit(True), "url", "company", "role", "event_id", f"{root}/checkpoint", pending
     ).awaitTermination()
-    passed = F.when(F.col("outcome") == "skipped_title", F.col("outcome")).otherwise("passed")
-    return history.read().groupBy(passed.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    # What was added is counted in the table of pending work.
+    others = history.read().where("outcome <> 'added'").select("outcome")
+    return others.unionByName(pending.read().select(F.lit("added").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -87,15 +96,31 @@ def stream_open_counts(spark, sf):
     return open_counts(statuses, "user_id", "company_key", order)
 
 
+@query(
+    "stream_open_counts_touched",
+    f"SELECT company_key, count(*) AS open_count FROM (SELECT user_id, 'g' || (user_id % 7) AS company_key, arg_max({STATUS_SQL}, (ts, event_id)) AS status FROM events GROUP BY 1, 2) WHERE status <> 'Rejected' GROUP BY 1",
+)
+def stream_open_counts_touched(spark, sf):
+    root = shared_dir(spark, "open-counts")
+    events = _event_stream(spark, sf).select(
+        "user_id", F.concat(F.lit("g"), (F.col("user_id") % 7).cast("string")).alias("company_key"), event_status().alias("status"), "ts", "event_id"
+    )
+    counts = BatchTable(spark, f"{root}/counts")
+    open_count_stream(events, BatchTable(spark, f"{root}/statuses"), counts, "user_id", "company_key", ["ts", "event_id"], f"{root}/checkpoint").awaitTermination()
+    return latest_counts(counts, "company_key")
+
+
 @query("stream_registry_refresh", REFRESH_SQL)
 def stream_registry_refresh(spark, sf):
-    """A scan that arrives as a file is merged into the registry."""
+    """A scan that arrives in any number of files is merged into the registry once it is complete."""
     root = shared_dir(spark, "registry")
     registry = VersionedTable(spark, f"{root}/registry")
-    scans = scan_stream(spark, sf, table(spark, sf, "part").schema, "parquet", 1, pathGlobFilter="part.parquet")
+    scans = _stream_of(spark, sf, "part").withColumn("scan", F.lit("1998-06-01"))
+    meta = table(spark, sf, "part").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("1998-06-01").alias("scan"), "n_rows")
     prior = registry_inputs_of(facets(spark, sf))[0]
     refresh_stream(
-        scans, registry, prior, lambda batch: registry_inputs_of(facets_of(batch))[1], F.lit("1998-06-01").cast("date"), f"{root}/checkpoint"
+        scans, "scan", meta, BatchTable(spark, f"{root}/arrived"), registry, prior, lambda rows: registry_inputs_of(facets_of(rows))[1],
+        F.lit("1998-06-01").cast("date"), f"{root}/checkpoint",
     ).awaitTermination()
     return registry.read().select(
         "key", "company_key", "title", "apply_url", "date_posted", F.col("comp.min").alias("pay"), "has_body", "live", "first_seen", "last_seen"

@@ -10,7 +10,7 @@ from ..functions.text import or_else, relative_report_link, report_file, strip,
 from ..functions.urls import company_key, listing_id
 from .patches import latest_values, merge_structs
 from .sequence import DAY, status_changes
-from .skew import lookup, number_rows, time_chunk
+from .skew import lookup, number_in_order
 
 RECRUITER = ("name", "email", "phone", "notes")
 # Columns an event may set; a later value replaces an earlier one, a missing value never does.
@@ -68,7 +68,7 @@ def upsert_applications(
     )
     start = applications.select(F.coalesce(F.max("tracker_num"), F.lit(0)).alias("__max"))
     fresh = folded.join(applications.select("key"), "key", "left_anti").select("key", "__first_ts")
-    numbered = number_rows(fresh, ["__first_ts", "key"], time_chunk(F.col("__first_ts"), DAY), "__num")
+    numbered = number_in_order(fresh, ["__first_ts", "key"], "__num")
     # One-row scalar: the highest number so far.
     numbered = numbered.withColumn("__num", F.col("__num") + start.scalar()).select("key", "__num")
 

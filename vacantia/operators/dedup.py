@@ -52,21 +52,26 @@ def first_wins_two_keys(
     rounds: a row that is the earliest open one of both its keys is kept, all open rows sharing a
     key with a kept row are dropped. A round costs a fixed number of aggregations and joins; the
     number of rounds is the length of the longest chain of rows that decide each other, usually
-    below five. Open rows are checkpointed per round, so a lost executor costs one round.
+    below five. A key that is null (a null url, a role with a null part) equals nothing: it never
+    makes a row a duplicate, and a row without either key is kept. Open rows are checkpointed per round, so a lost executor costs one round.
     """
     keys = ["__u", *[f"__r{i}" for i in range(len(role))]]
     roles = keys[1:]
     slim = df.select(
         F.col(url).alias("__u"), *[F.col(c).alias(f"__r{i}") for i, c in enumerate(role)], F.col(order).alias("__o")
     )
-    # Of rows equal in both keys only the earliest can be kept.
-    open_rows = cut_lineage(slim.groupBy(*keys).agg(F.min("__o").alias("__o")))
-    kept, rounds = [], 0
+    no_role = reduce(lambda a, b: a | b, [F.col(r).isNull() for r in roles])
+    no_url = F.col("__u").isNull()
+    kept, rounds = [slim.where(no_url & no_role).select("__o")], 0
+    # Of rows equal in both keys only the earliest can be kept; a row with a null key is equal to none.
+    alone = F.when(no_url | no_role, F.col("__o"))
+    some = slim.where(~(no_url & no_role))
+    open_rows = cut_lineage(some.groupBy(*keys, alone.alias("__alone")).agg(F.min("__o").alias("__o")).drop("__alone"))
     while not open_rows.isEmpty():
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError("first_wins_two_keys: more rounds needed than allowed")
-        by_url = open_rows.groupBy("__u").agg(F.min("__o").alias("__mu"))
-        by_role = open_rows.groupBy(*roles).agg(F.min("__o").alias("__mr"))
+        by_url = open_rows.groupBy("__u", F.when(no_url, F.col("__o"))).agg(F.min("__o").alias("__mu"))
+        by_role = open_rows.groupBy(*roles, F.when(no_role, F.col("__o"))).agg(F.min("__o").alias("__mr"))
         first = by_url.join(by_role, F.col("__mu") == F.col("__mr")).select(F.col("__mu").alias("__o"))
         winners = cut_lineage(open_rows.join(first, "__o", "left_semi"))
         kept.append(winners.select("__o"))
@@ -74,8 +79,6 @@ def first_wins_two_keys(
         flagged = in_group(flagged, winners, roles, "__taken_role")
         open_rows = cut_lineage(flagged.where("NOT __taken_url AND NOT __taken_role").select(*keys, "__o"))
         rounds += 1
-    if not kept:
-        return df.limit(0)
     winners = reduce(DataFrame.unionByName, kept).withColumnRenamed("__o", order)
     return df.join(winners, order, "left_semi")
 

@@ -155,6 +155,11 @@ def form_verdicts(fields: DataFrame, form: str) -> DataFrame:
     )
 
 
+def unresolved_required(fields: DataFrame) -> DataFrame:
+    """The required fields that the profile can't fill, as rows."""
+    return fields.where(F.coalesce("required", F.lit(False)) & (F.coalesce("kind", F.lit("unmapped")) != "standard"))
+
+
 def answer_plan(fields: DataFrame, profile: DataFrame, memory: DataFrame) -> DataFrame:
     """What to fill in: the profile's value, else a remembered answer, else nothing.
 

@@ -29,8 +29,14 @@ def triage_queue(rows: DataFrame, n: int, offset: int = 0) -> DataFrame:
 
 
 def with_excerpt(queue: DataFrame, bodies: DataFrame, max_chars: int = 600) -> DataFrame:
-    """Queue rows with the start of the listing text (a queue is small; bodies are joined by key)."""
-    return queue.join(bodies.select("key", excerpt(F.col("body"), max_chars, 2).alias("excerpt")), "key", "left")
+    """Queue rows with the start of the listing text.
+
+    A queue has at most its ``n`` rows, so its keys are broadcast to the bodies, and only the bodies of
+    queued listings are cut.
+    """
+    wanted = bodies.select("key", "body").join(F.broadcast(queue.select("key")), "key", "left_semi")
+    # A column used twice stays below as it is; the text is cut above the join.
+    return queue.join(wanted, "key", "left").withColumn("excerpt", excerpt(F.col("body"), max_chars, 2)).drop("body")
 
 
 def research_queue(rows: DataFrame, n: int, include_extracted: bool = False) -> DataFrame:
@@ -82,6 +88,11 @@ def company_registry_order(companies: DataFrame) -> DataFrame:
     return companies.orderBy(F.asc(F.coalesce("excluded_by_type", F.lit(False))), F.desc("relevance_score"), "key")
 
 
+def company_openings_order(companies: DataFrame) -> DataFrame:
+    """The research registry's order: most remote openings first."""
+    return companies.orderBy(F.desc(F.coalesce("remote_relevant", F.lit(0))), "key")
+
+
 def sort_by(rows: DataFrame, column: str, descending: bool = False, numeric: bool = False) -> DataFrame:
     """Order a person chose: missing numbers count as -1, missing texts as ''."""
     if numeric:

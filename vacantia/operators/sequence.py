@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -128,13 +129,13 @@ def far_from_accepted(
     accepted time before it, and only events in the chunk's first ``gap_seconds`` can differ. So
     each chunk first reports, for each possible start, the last time it would accept; a fold over
     one small row per chunk then fixes the start of every chunk, and the chunks are marked in
-    parallel.
+    parallel. Events with a null key are a key of their own; events without a time are never accepted.
     """
     if chunk_seconds < gap_seconds:
         raise ValueError("chunk_seconds must not be shorter than the gap")
     gap, span = int(gap_seconds * 1_000_000), int(chunk_seconds * 1_000_000)
     keys = list(keys)
-    base = events.withColumns({"__us": micros(F.col(ts)), "__chunk": time_chunk(F.col(ts), chunk_seconds)})
+    base = events.where(F.col(ts).isNotNull()).withColumns({"__us": micros(F.col(ts)), "__chunk": time_chunk(F.col(ts), chunk_seconds)})
     key_fields = [events.schema[k] for k in keys]
     chunk_field = T.StructField("__chunk", T.LongType())
 
@@ -175,7 +176,10 @@ def far_from_accepted(
             rows.append(i + _accepted(at[i:j], start, gap))
         return pdf.iloc[np.concatenate(rows)][columns]
 
-    joined = base.join(entries, [*keys, "__chunk"])
+    names = {k: f"__e{i}" for i, k in enumerate([*keys, "__chunk"])}
+    entries = entries.select(*[F.col(k).alias(c) for k, c in names.items()], "__entry")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(c)) for k, c in names.items()])
+    joined = base.join(entries, same).drop(*names.values())
     return map_groups(joined, [*keys, "__chunk"], ["__us", tie], mark, T.StructType(list(events.schema.fields)))
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+
 def lookup(facts: DataFrame, table: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Left join of many rows with a table that has one row per key.
 
@@ -63,7 +67,8 @@ def with_previous(
 
     ``chunk`` must not decrease along the order (a time span of the first order column). A key is
     split at the chunk borders, so a key with a third of all rows becomes many small groups; the
-    last value of each chunk is carried over by a table with one row per key and chunk.
+    last value of each chunk is carried over by a table with one row per key and chunk. Rows with a
+    null key are a key of their own, rows without a chunk its first one.
     """
     picked = F.struct(*[c.alias(n) for n, c in values.items()])
     base = df.withColumns({"__chunk": chunk, "__cur": picked})
@@ -71,8 +76,10 @@ def with_previous(
     rows = base.withColumns({"__lag": F.lag("__cur").over(inside), "__first": F.row_number().over(inside) == 1})
     last = base.groupBy(*keys, "__chunk").agg(F.max_by("__cur", F.struct(*order)).alias("__last"))
     across = Window.partitionBy(*keys).orderBy("__chunk")
-    carried = last.select(*keys, "__chunk", F.lag("__last").over(across).alias("__carried"))
-    joined = rows.join(carried, [*keys, "__chunk"], "left")
+    names = {k: f"__c{i}" for i, k in enumerate([*keys, "__chunk"])}
+    carried = last.select(*[F.col(k).alias(c) for k, c in names.items()], F.lag("__last").over(across).alias("__carried"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(c)) for k, c in names.items()])
+    joined = rows.join(carried, same, "left")
     previous = F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__lag"))
     return joined.select(*df.columns, *[previous[n].alias(n) for n in values])
 
@@ -80,18 +87,30 @@ def with_previous(
 def number_rows(df: DataFrame, order: Sequence[str], chunk: Column, out: str, start: int | Column = 1) -> DataFrame:
     """Consecutive numbers in the given order without gathering all rows in one task.
 
-    Rows are numbered inside each chunk; an offset table with one row per chunk is added.
+    Rows are numbered inside each chunk; an offset table with one row per chunk is added. ``chunk`` must
+    not decrease along the order; rows without one (a null first order column) are a chunk of their own
+    and come first, as nulls do in the order.
     """
     base = df.withColumn("__chunk", chunk)
     inside = Window.partitionBy("__chunk").orderBy(*order)
     sizes = base.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    offsets = sizes.select(F.col("__chunk").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     first = start if isinstance(start, Column) else F.lit(start)
-    numbered = base.withColumn("__rn", F.row_number().over(inside)).join(offsets, "__chunk")
+    numbered = base.withColumn("__rn", F.row_number().over(inside)).join(offsets, F.col("__chunk").eqNullSafe(F.col("__of")))
     return numbered.select(*df.columns, (F.col("__offset") + F.col("__rn") - 1 + first).alias(out))
 
 
+def number_in_order(df: DataFrame, order: Sequence[str], out: str, start: int | Column = 1) -> DataFrame:
+    """Consecutive numbers in the given order where any time span may hold all the rows.
+
+    The chunks are ranges of the whole order with sampled borders, fixed by a checkpoint, so that rows of
+    one moment are still several tasks' work.
+    """
+    ranges = cut_lineage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    return number_rows(ranges, order, F.col("__range"), out, start).drop("__range")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row per key. Spark cuts each map task's groups to one row before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,60 +13,126 @@ from ..functions.fields import field_kind
 from ..functions.text import join_present, strip
 
 
-class VersionedTable:
-    """A table rewritten as a whole: every version is a new folder, a pointer names the last one.
+class FolderLog:
+    """Numbered folders of a table and the log that says which of them count.
 
-    Readers never see a half-written version, and a failed job leaves the pointer as it was. There
-    must be one writer at a time.
+    Data is written to a folder of its own; then the next log entry, a small file with all folders that
+    count from now on, is put in place by a rename. Readers use the last entry: they never see half-written
+    data, also when a number is written again, and a failed job changes nothing. There must be one writer
+    at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def _entries(self) -> list[str]:
+        return [n for n in self._names(f"{self.root}/_log") if n.isdigit()]
+
+    def folders(self) -> dict[int, str]:
+        """Number → folder name, as of the last entry."""
+        entries = self._entries()
+        if not entries:
+            return {}
+        stream = self._fs.open(self._path(f"{self.root}/_log/{entries[-1]}"))
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return {int(k): v for k, v in json.loads(text).items()}
+
+    def commit(self, folders: dict[int, str]) -> None:
+        entries = self._entries()
+        name = f"{int(entries[-1]) + 1 if entries else 0:010d}"
+        draft = self._path(f"{self.root}/_log/_draft-{uuid.uuid4().hex}")
+        out = self._fs.create(draft, True)
+        try:
+            out.write(bytearray(json.dumps(folders).encode()))
+        finally:
+            out.close()
+        if not self._fs.rename(draft, self._path(f"{self.root}/_log/{name}")):
+            raise RuntimeError(f"another writer changed {self.root}")
+
+    def put(self, df: DataFrame, number: int, drop: Sequence[int] = ()) -> None:
+        """Write rows as a number's new content; ``drop`` numbers stop counting with the same entry."""
+        folder = f"part={number}.{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        self.commit({k: v for k, v in self.folders().items() if k not in drop} | {number: folder})
+
+    def read(self, numbers: Sequence[int]) -> DataFrame:
+        folders = self.folders()
+        return self.spark.read.parquet(*[f"{self.root}/{folders[n]}" for n in numbers])
+
+    def vacuum(self, keep: Sequence[int] | None = None) -> None:
+        """Remove folders and entries no longer in use; with ``keep``, other numbers stop counting first.
+
+        To be run when no reader still uses an earlier entry.
+        """
+        folders = self.folders()
+        if keep is not None and set(folders) - set(keep):
+            folders = {k: v for k, v in folders.items() if k in set(keep)}
+            self.commit(folders)
+        for name in self._names(self.root):
+            if name.startswith("part=") and name not in folders.values():
+                self._fs.delete(self._path(f"{self.root}/{name}"), True)
+        for name in self._names(f"{self.root}/_log")[:-1]:
+            self._fs.delete(self._path(f"{self.root}/_log/{name}"), False)
+
+
+class VersionedTable:
+    """A table rewritten as a whole: every version is a new folder, the log names the last one."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.log = FolderLog(spark, root)
+        self.root = self.log.root
+
     def versions(self) -> list[int]:
-        if not self._fs.exists(self._path(f"{self.root}/_versions")):
-            return []
-        found = self._fs.listStatus(self._path(f"{self.root}/_versions"))
-        return sorted(int(f.getPath().getName()) for f in found)
+        return sorted(self.log.folders())
 
     def read(self, version: int | None = None) -> DataFrame:
         known = self.versions()
         if not known:
             raise FileNotFoundError(f"no version of {self.root} yet")
-        return self.spark.read.parquet(f"{self.root}/v={version if version is not None else known[-1]}")
+        return self.log.read([version if version is not None else known[-1]])
 
     def write(self, df: DataFrame, version: int | None = None) -> int:
         """Write the next version (or a given one, so a repeated batch replaces itself)."""
         known = self.versions()
         number = version if version is not None else (known[-1] + 1 if known else 0)
-        df.write.mode("overwrite").parquet(f"{self.root}/v={number}")
-        # An empty marker file per finished version is the pointer: creating it is atomic.
-        self._fs.mkdirs(self._path(f"{self.root}/_versions"))
-        self._fs.create(self._path(f"{self.root}/_versions/{number}"), True).close()
+        self.log.put(df, number)
         return number
 
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove all but the last versions and what failed jobs left behind."""
+        self.log.vacuum(self.versions()[-keep:])
+
 
 class BatchTable:
     """A table that only grows: one folder per micro-batch, replaced when a batch runs again."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.log = FolderLog(spark, root)
+        self.root = self.log.root
 
     def write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
+        self.log.put(rows, batch)
 
     def read(self, before: int | None = None) -> DataFrame | None:
         """All rows, or those of earlier batches; null when there are none yet."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
-        batches = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
-        wanted = [f"{self.root}/batch={b}" for b in sorted(batches) if before is None or b < before]
-        return self.spark.read.option("basePath", self.root).parquet(*wanted) if wanted else None
+        wanted = [b for b in sorted(self.log.folders()) if before is None or b < before]
+        return self.log.read(wanted) if wanted else None
+
+    def compact(self, before: int) -> None:
+        """Put the many small folders of finished batches into one, under the number of the last of them."""
+        done = [b for b in sorted(self.log.folders()) if b < before]
+        if len(done) > 1:
+            self.log.put(self.log.read(done), done[-1], drop=done[:-1])
+            self.log.vacuum()
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

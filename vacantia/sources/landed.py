@@ -103,17 +103,22 @@ def tracker_pairs(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def tracker_applications(lines: DataFrame, known_numbers: DataFrame, column: str = "value") -> DataFrame:
-    """Tracker table lines as application rows, without header, separators and known numbers."""
+    """Tracker table lines as application rows, without header, separators and known numbers.
+
+    Of lines with the same number the first one counts, as a whole.
+    """
     usable = F.col(column).startswith("|") & ~F.col(column).contains("---") & ~F.col(column).rlike(r"\b#\b.*Date.*Company")
-    cells = lines.where(usable).select(table_cells(column).alias("c")).where(F.size("c") >= 10)
+    placed = lines.withColumn("__at", F.monotonically_increasing_id())
+    cells = placed.where(usable).select("__at", table_cells(column).alias("c")).where(F.size("c") >= 10)
     number = F.regexp_extract(F.get("c", F.lit(1)), r"^[+-]?\d+", 0).try_cast("int")
     rows = cells.select(
-        number.alias("tracker_num"), F.get("c", F.lit(2)).alias("date_applied"), F.get("c", F.lit(3)).alias("company"),
+        "__at", number.alias("tracker_num"), F.get("c", F.lit(2)).alias("date_applied"), F.get("c", F.lit(3)).alias("company"),
         F.get("c", F.lit(4)).alias("title"), F.nullif(F.nullif(F.get("c", F.lit(5)), F.lit("—")), F.lit("")).alias("score"),
         canonical_status(or_else(F.get("c", F.lit(6)), F.lit("Evaluated"))).alias("status"),
         F.get("c", F.lit(7)).alias("pdf"), F.get("c", F.lit(8)).alias("report"), F.get("c", F.lit(9)).alias("notes"),
     ).where("coalesce(tracker_num, 0) <> 0")
-    first = rows.groupBy("tracker_num").agg(*[F.first(c).alias(c) for c in rows.columns if c != "tracker_num"])
+    values = [c for c in rows.columns if c not in ("__at", "tracker_num")]
+    first = rows.groupBy("tracker_num").agg(F.min_by(F.struct(*values), "__at").alias("r")).select("tracker_num", "r.*")
     return first.join(known_numbers.select("tracker_num").distinct(), "tracker_num", "left_anti")
 
 

@@ -28,45 +28,72 @@ def passing(listings: DataFrame, title_ok: Column, location_ok: Column) -> DataF
     return listings.where(F.coalesce(title_ok, F.lit(False)) & F.coalesce(location_ok, F.lit(False)))
 
 
+def run_batches(rows: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Start a stream of micro-batches. ``trigger`` as in ``writeStream.trigger``; by default all that is there, then stop."""
+    writer = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def ingest(
     listings: DataFrame, history: BatchTable, roles: DataFrame, title_ok: Column, location_ok: Column,
-    url: str, company: str, role: str, order: str, checkpoint: str,
+    url: str, company: str, role: str, order: str, checkpoint: str, pending: BatchTable | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Tag every new listing with its outcome and add it to the history.
+    """Tag every new listing with its outcome and add it to the history; what was added is also pending work.
 
     A batch looks only at the history of the batches before it and writes its own folder, so a batch
-    that is run again after a failure replaces itself with the same rows.
+    that is run again after a failure replaces itself with the same rows. Of the history only the URLs
+    that the batch brings are looked at.
     """
     spark = listings.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
         known = history.read(before=batch_id)
         urls = spark.createDataFrame([], "url string") if known is None else known.select(F.col(url).alias("url"))
-        seen = urls.where("url IS NOT NULL").distinct()
+        asked = batch.select(F.col(url).alias("url")).where("url IS NOT NULL").distinct()
+        seen = urls.join(asked, "url", "left_semi").distinct()
         history.write(scan_outcomes(batch, title_ok, location_ok, seen, roles, url, company, role, order), batch_id)
+        if pending is not None:
+            pending.write(history.log.read([batch_id]).where("outcome = 'added'").select(url, company, role), batch_id)
 
-    return (
-        listings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    return run_batches(listings, step, checkpoint, trigger)
 
 
 def refresh_stream(
-    scans: DataFrame, registry: VersionedTable, prior: DataFrame, to_listings: Callable[[DataFrame], DataFrame],
-    scan_date: Column, checkpoint: str, scanned_groups: Callable[[DataFrame], DataFrame] | None = None,
+    scans: DataFrame, scan: str, meta: DataFrame, arrived: BatchTable, registry: VersionedTable, prior: DataFrame,
+    to_listings: Callable[[DataFrame], DataFrame], scan_date: Column, checkpoint: str,
+    scanned_groups: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Merge every micro-batch (one scan) into the registry, one version per batch."""
+    """Merge scans into the registry, one version per scan, each as soon as all of it is there.
+
+    A scan may be many files in many micro-batches, and a micro-batch may hold parts of several scans.
+    ``scan`` names the column with the scan's id; ``meta`` (scan, n_rows) is what each scan's own record
+    states. Rows wait in ``arrived`` until their scan is complete, so nothing expires because a file is
+    still missing. The ids of the scans that a batch completes are few: they go through the driver.
+    """
+
+    def complete(before: int) -> set:
+        rows = arrived.read(before)
+        if rows is None:
+            return set()
+        have = rows.groupBy(scan).agg(F.count(F.lit(1)).alias("__have"))
+        full = have.join(meta.select(F.col("scan").alias(scan), "n_rows"), scan).where(F.col("__have") >= F.col("n_rows"))
+        return {r[0] for r in full.select(scan).collect()}
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        earlier = [v for v in registry.versions() if v < batch_id]
-        before = registry.read(earlier[-1]) if earlier else prior
-        groups = scanned_groups(batch) if scanned_groups else None
-        registry.write(refresh_listings(to_listings(batch), before, scan_date, groups), batch_id)
+        arrived.write(batch, batch_id)
+        for k, done in enumerate(sorted(complete(batch_id + 1) - complete(batch_id))):
+            version = batch_id * 1_000_000 + k
+            earlier = [v for v in registry.versions() if v < version]
+            before = registry.read(earlier[-1]) if earlier else prior
+            rows = arrived.read(batch_id + 1).where(F.col(scan) == F.lit(done)).drop(scan)
+            groups = scanned_groups(rows) if scanned_groups else None
+            registry.write(refresh_listings(to_listings(rows), before, scan_date, groups), version)
 
-    return scans.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return run_batches(scans, step, checkpoint, trigger)
 
 
 def status_stream(
-    changes: DataFrame, statuses: BatchTable, key: str, group: str, ts: Sequence[str], checkpoint: str
+    changes: DataFrame, statuses: BatchTable, key: str, group: str, ts: Sequence[str], checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Per micro-batch the last status of every application it touches."""
 
@@ -74,7 +101,37 @@ def status_stream(
         last = batch.groupBy(key).agg(F.max_by(F.struct(group, "status", *ts), F.struct(*ts)).alias("r"))
         statuses.write(last.select(key, "r.*"), batch_id)
 
-    return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return run_batches(changes, step, checkpoint, trigger)
+
+
+def open_count_stream(
+    changes: DataFrame, statuses: BatchTable, counts: BatchTable, key: str, group: str, ts: Sequence[str], checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """As :func:`status_stream`, and per micro-batch the new open counts of the groups it touches.
+
+    A group is touched when one of its applications is in the batch, or was in it before the batch moved
+    it elsewhere. ``counts`` gets a row per touched group and batch; the last one is the group's count.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        position = F.struct(*ts)
+        last = batch.groupBy(key).agg(F.max_by(F.struct(group, "status", *ts), position).alias("r")).select(key, "r.*")
+        statuses.write(last, batch_id)
+        rows = statuses.read(batch_id + 1)
+        own = rows.join(batch.select(key).distinct(), key, "left_semi").select(group).distinct()
+        candidates = rows.join(own, group, "left_semi").select(key).distinct()
+        now = rows.join(candidates, key, "left_semi").groupBy(key).agg(F.max_by(F.struct(group, "status"), position).alias("r")).select(key, "r.*")
+        fresh = open_per_company(now, group)
+        touched = own.join(fresh, group, "left").select(group, F.coalesce("open_count", F.lit(0)).cast("long").alias("open_count"), F.lit(batch_id).alias("batch"))
+        counts.write(touched, batch_id)
+
+    return run_batches(changes, step, checkpoint, trigger)
+
+
+def latest_counts(counts: BatchTable, group: str) -> DataFrame:
+    """The open counts of all groups that have any, from the rows of :func:`open_count_stream`."""
+    last = counts.read().groupBy(group).agg(F.max_by("open_count", "batch").alias("open_count"))
+    return last.where("open_count > 0")
 
 
 def open_counts(statuses: BatchTable, key: str, group: str, ts: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -14,14 +15,20 @@ _ACCEPTED = StructType([StructField("last_us", LongType())])
 
 
 def accepted_submissions(events: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, late: str, keep_state: str) -> DataFrame:
-    """Submissions at least a gap after the key's last accepted one, exactly as on the whole table.
+    """Submissions at least a gap after the key's last accepted one.
 
-    ``late`` is the watermark: a key's state is dropped once it can no longer suppress anything.
-    Within a micro-batch a key's events are put in time order first; the trigger size bounds them.
+    Equal to the rule on the whole table as long as a key's events arrive in time order between
+    micro-batches. Events behind the watermark (``late``) or older than the key's last accepted event
+    are dropped: what they would have changed has been written already. A key's state is dropped after
+    ``keep_state``, which must cover the gap. Within a micro-batch a key's events are put in time order
+    first; the trigger size bounds them. Events without a time are never accepted.
     """
     gap = int(gap_seconds * 1_000_000)
     columns = list(events.columns)
     hold_ms = int(pd.Timedelta(keep_state).total_seconds() * 1000)
+    if hold_ms * 1000 < gap:
+        raise ValueError("keep_state must not be shorter than the gap")
+    events = events.where(F.col(ts).isNotNull())
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -51,7 +58,7 @@ _LAST_STATUS = StructType([StructField("status", StringType()), StructField("las
 
 
 def status_change_stream(events: DataFrame, key: str, ts: str, tie: str, status: str, late: str) -> DataFrame:
-    """Events at which a key's status changes. The state is one status per key.
+    """Events at which a key's status changes; null is a status like any other. The state is one status per key.
 
     An event older than the last one already handled is dropped as late for its key.
     """
@@ -64,10 +71,11 @@ def status_change_stream(events: DataFrame, key: str, ts: str, tie: str, status:
         pdf = pdf[times >= last]
         if pdf.empty:
             return
-        previous = pdf[status].shift()
-        previous.iloc[0] = before
-        changed = pdf[status] != previous
-        state.update((str(pdf[status].iloc[-1]), int(times.max())))
+        now = [None if pd.isna(x) else x for x in pdf[status]]
+        known = [state.exists, *[True] * (len(now) - 1)]
+        previous = [before, *now[:-1]]
+        changed = [not k or a != b for k, a, b in zip(known, now, previous, strict=True)]
+        state.update((now[-1], int(times.max())))
         yield pdf[changed][columns]
 
     return (
