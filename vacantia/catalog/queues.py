@@ -8,7 +8,7 @@ from ..functions.facets import display_score
 from ..operators import queues as q
 from ..operators.applications import open_per_company
 from ..plans.rubric import Dimension, HardFilter, Rubric
-from ..plans.views import ranked_view, score_registry
+from ..plans.views import patch_listings, ranked_view, score_registry
 from ..sinks.tables import watchlist_json
 from .registry import query, table
 from .standins import APPS_SQL, COMPANIES_SQL, FACETS_SQL, apps, companies, facets
@@ -81,6 +81,11 @@ def registry_order(spark, sf):
     return q.registry_order(_work(spark, sf)).select("key", "live", "relevance_score")
 
 
+@query("registry_order_top", f"WITH {_WORK_SQL} SELECT key, live, relevance_score FROM work ORDER BY live DESC, coalesce(relevance_score, 0) DESC, key LIMIT 120")
+def registry_order_top(spark, sf):
+    return q.registry_order(_work(spark, sf)).limit(120).select("key", "live", "relevance_score")
+
+
 @query("tiered_order", f"WITH {COMPANIES_SQL} SELECT key, CASE WHEN fit IS NOT NULL THEN 2 WHEN rank IS NOT NULL THEN 1 ELSE 0 END AS tier, coalesce(fit, rank) AS score FROM companies WHERE NOT excluded_by_type")
 def tiered_order(spark, sf):
     return q.company_order(companies(spark, sf).where("NOT excluded_by_type")).select("key", "tier", "score")
@@ -99,6 +104,11 @@ def company_registry_order(spark, sf):
     return q.company_registry_order(companies(spark, sf)).limit(100).select("key", "excluded_by_type", "relevance_score")
 
 
+@query("company_openings_order", f"WITH {COMPANIES_SQL} SELECT key, remote_relevant FROM companies ORDER BY coalesce(remote_relevant, 0) DESC, key LIMIT 100")
+def company_openings_order(spark, sf):
+    return q.company_openings_order(companies(spark, sf)).limit(100).select("key", "remote_relevant")
+
+
 @query("chosen_sort_number", f"WITH {COMPANIES_SQL} SELECT key, fit FROM companies ORDER BY coalesce(fit, -1), key LIMIT 700")
 def chosen_sort_number(spark, sf):
     return q.sort_by(companies(spark, sf), "fit", numeric=True).limit(700).select("key", "fit")
@@ -246,8 +256,6 @@ def _ranked_inputs(spark, sf):
         F.concat(F.lit("https://www.jobs.example.org/"), F.col("user_id").cast("string"), F.lit("?ref=x")).alias("url"), "status", null.alias("report"),
         F.col("user_id").alias("tracker_num"), null.alias("company_key"), null.alias("apply_url"),
     ).withColumn("key", F.regexp_replace(F.regexp_replace("url", r"www\.", ""), r"\?ref=x", "")).drop("url")
-    # Only users whose number is a part have a listing to apply to.
-    applications = applications.join(registry.select("key"), "key", "left_semi")
     reports = applications.select(null.alias("file"), null.alias("num"), null.alias("url"), "tracker_num").where("url IS NOT NULL")
     tracker = applications.select(null.alias("num"), "status").where("num IS NOT NULL")
     return personal, registry, applications, reports, tracker, state
@@ -285,7 +293,7 @@ def facet_search(spark, sf):
     "funnel",
     f"""WITH {_RANKED_SQL} SELECT 'live' AS metric, count(*) FILTER (WHERE live) AS n FROM rv
  UNION ALL SELECT 'actionable', count(*) FILTER (WHERE live AND NOT hard_excluded AND NOT capped AND NOT applied AND coalesce(display_score, -1) >= 2.5) FROM rv
- UNION ALL SELECT 'open_apps', CAST(coalesce(sum(open_count), 0) AS BIGINT) FROM oc UNION ALL SELECT 'capped_companies', count(*) FROM oc WHERE open_count >= 6
+ UNION ALL SELECT 'open_apps', count(*) FROM apps WHERE status IN ('Applied', 'Responded', 'Interview', 'Offer') UNION ALL SELECT 'capped_companies', count(*) FROM oc WHERE open_count >= 6
  UNION ALL SELECT 'companies_kept_unscanned', count(*) FROM bfit WHERE company_decision = 'keep' AND company_key NOT IN (SELECT company_key FROM rv WHERE live)
  UNION ALL SELECT 'companies_to_research', count(*) FROM bfit WHERE company_decision = 'undecided' AND fit IS NOT NULL
  UNION ALL SELECT 'companies_pending_vet', count(DISTINCT company_key) FROM rv WHERE decision = 'shortlist' AND live AND company_key IN (SELECT company_key FROM bfit WHERE company_decision = 'undecided')""",
@@ -297,12 +305,43 @@ def funnel(spark, sf):
     return q.funnel(view, applications, open_per_company(keyed), registry, state, floor=2.5, max_open=6)
 
 
-@query("listing_detail", f"WITH {_RANKED_SQL} SELECT 'https://jobs.example.org/42' AS key, title, decision, status, 'body of ' || p_partkey AS body FROM rv WHERE p_partkey = 42")
+@query("listing_detail", f"WITH {_RANKED_SQL} SELECT 'https://jobs.example.org/42' AS key, title, decision, status, 'body of ' || p_partkey AS body, 'fit of ' || p_partkey AS fit_verdict FROM rv WHERE p_partkey = 42")
 def listing_detail(spark, sf):
     from ..operators.matching import lifecycle_tables
 
     personal, registry, applications, reports, tracker, _ = _ranked_inputs(spark, sf)
     bodies = personal.select("key", F.concat(F.lit("body of "), F.col("p_partkey").cast("string")).alias("body"))
     by_url, by_id = lifecycle_tables(applications, reports, tracker, "tracker_num")
-    detail = q.listing_detail("https://jobs.example.org/42", registry, personal.drop("decision").join(personal.select("key", "decision"), "key"), bodies, by_url, by_id)
-    return detail.select("key", "title", "decision", "status", "body")
+    verdicts = personal.select("key", F.concat(F.lit("fit of "), F.col("p_partkey").cast("string")).alias("fit_verdict"))
+    detail = q.listing_detail("https://jobs.example.org/42", registry, personal, bodies, by_url, by_id, verdicts)
+    return detail.select("key", "title", "decision", "status", "body", "fit_verdict")
+
+
+@query(
+    "listing_patch",
+    f"""WITH {_RANKED_SQL}, pd AS (SELECT *, p_partkey % 10 = 3 AS hit, CASE WHEN p_partkey % 10 = 3 THEN 1e0 ELSE d_scope END AS ps, CASE WHEN researched THEN d_st END AS pt FROM sd)
+SELECT p_partkey, CASE WHEN hit THEN 4.5e0 ELSE rank END AS rank, CASE WHEN hit THEN 'llm' END AS last_reviewed, hit AND researched AND coalesce(geo_eligibility = 'us_only', false) AS hard_excluded,
+ CASE WHEN hit THEN (50e0 * ps + CASE WHEN pt IS NULL THEN 0e0 ELSE 30e0 * pt END + CASE WHEN d_fit IS NULL THEN 0e0 ELSE 20e0 * d_fit END) / (50e0 + CASE WHEN pt IS NULL THEN 0e0 ELSE 30e0 END + CASE WHEN d_fit IS NULL THEN 0e0 ELSE 20e0 END) END AS computed_score FROM pd""",
+)
+def listing_patch(spark, sf):
+    personal, registry, _, _, _, state = _ranked_inputs(spark, sf)
+    patch = personal.where("p_partkey % 10 = 3").select("key", F.lit(4.5).alias("rank"), F.struct(F.lit("low").alias("autonomy")).alias("extracted"))
+    patched, _ = patch_listings(personal.withColumn("last_reviewed", F.lit(None).cast("string")), registry, state, patch, _RUBRIC)
+    return patched.select("p_partkey", "rank", "last_reviewed", "hard_excluded", "computed_score")
+
+
+@query(
+    "ranked_view_pay",
+    f"WITH {_RANKED_SQL} SELECT p_partkey, coalesce(CASE WHEN researched AND rv.p_partkey % 3 = 0 THEN 1000e0 + p_partkey END, CASE WHEN p_partkey % 2 = 0 THEN 1e0 * p_partkey END) AS pay, CASE WHEN p_partkey % 4 = 0 THEN 'apply' ELSE 'https://jobs.example.org/' || p_partkey END AS apply_url FROM rv",
+)
+def ranked_view_pay(spark, sf):
+    """Pay read from the text, else the feed's; the link to apply, else the listing's."""
+    personal, registry, applications, reports, tracker, state = _ranked_inputs(spark, sf)
+    number = F.regexp_extract("key", r"(\d+)$", 1).cast("double")
+    pay = lambda when, value: F.when(when, F.struct(value.alias("min")))
+    registry = registry.withColumns({
+        "extracted": F.col("extracted").withField("comp", pay(number % 3 == 0, number + 1000)), "comp": pay(number % 2 == 0, number),
+        "apply_url": F.when(number % 4 == 0, "apply").otherwise(""),
+    })
+    view = ranked_view(personal, registry, applications, reports, tracker, state, max_open=6)
+    return view.select("p_partkey", F.col("comp.min").alias("pay"), "apply_url")

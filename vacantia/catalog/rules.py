@@ -11,7 +11,7 @@ from ..functions.liveness import history_status, liveness, route
 from ..functions.status import canonical_status, is_open, stage_chip
 from ..functions.text import norm_label
 from ..functions.urls import url_guard
-from ..operators.feeds import answer_plan, counts_by, form_verdicts
+from ..operators.feeds import answer_plan, counts_by, form_verdicts, unresolved_required
 from ..operators.patches import remember_answers
 from .registry import query, table
 from .standins import STATUS_SQL, event_status
@@ -205,6 +205,11 @@ def form_verdict(spark, sf):
     return form_verdicts(form_fields(spark, sf), "l_orderkey")
 
 
+@query("required_unresolved", f"WITH {_FIELDS_SQL} SELECT l_orderkey, l_linenumber, label, kind FROM fields WHERE required AND kind <> 'standard'")
+def required_unresolved(spark, sf):
+    return unresolved_required(form_fields(spark, sf)).select("l_orderkey", "l_linenumber", "label", "kind")
+
+
 @query("learnable_answers", f"WITH {_FIELDS_SQL} SELECT l_orderkey, l_linenumber, value FROM fields WHERE trim(value) <> '' AND kind IN ('unmapped', 'demographic', 'free_text')")
 def learnable_answers(spark, sf):
     return form_fields(spark, sf).where(learnable(F.col("kind"), F.col("value"))).select("l_orderkey", "l_linenumber", "value")

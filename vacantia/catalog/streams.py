@@ -8,7 +8,7 @@ from ..functions.keywords import title_passes
 from ..session import shared_dir
 from ..sinks.tables import BatchTable, VersionedTable
 from ..streaming.ingest import ingest, latest_counts, open_count_stream, open_counts, refresh_stream, scan_stream, status_stream
-from ..streaming.submissions import accepted_submissions, status_change_stream
+from ..streaming.submissions import accepted_submissions, status_change_stream, upsert_stream
 from .history import REFRESH_SQL, registry_inputs_of
 from .registry import query, table
 from .standins import STATUS_SQL, event_status, facets, facets_of
@@ -73,6 +73,34 @@ def stream_submissions(spark, sf):
     return _run(accepted_submissions(events, "user_id", "ts", "event_id", 4 * 3600, "1 hour", "4 hours"), spark, "submissions").select("event_id")
 
 
+@query(
+    "stream_submission_upsert",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+nxt AS (SELECT a.user_id, a.event_id, a.rn, a.ts, a.t, min(b.rn) AS next_rn FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.t >= a.t + 14400000000 GROUP BY ALL),
+walk AS (SELECT user_id, event_id, ts, next_rn FROM nxt WHERE rn = 1 UNION ALL SELECT n.user_id, n.event_id, n.ts, n.next_rn FROM walk w JOIN nxt n ON n.user_id = w.user_id AND n.rn = w.next_rn),
+f AS (SELECT 'u' || user_id AS key, min(ts) AS first_ts, arg_max(event_id, (ts, event_id)) AS last_event FROM walk GROUP BY 1)
+SELECT key, CAST(row_number() OVER (ORDER BY first_ts, key) AS INT) AS tracker_num, 'Applied' AS status, 'event ' || last_event AS title, CAST(first_ts AS DATE) AS date_applied FROM f""",
+)
+def stream_submission_upsert(spark, sf):
+    """Accepted submissions become applications, each counted once."""
+    root = shared_dir(spark, "submission-upsert")
+    events = _event_stream(spark, sf).select("event_id", "user_id", "ts")
+    accepted = accepted_submissions(events, "user_id", "ts", "event_id", 4 * 3600, "1 hour", "4 hours")
+    applications = VersionedTable(spark, f"{root}/applications")
+    prior = spark.createDataFrame([], "key string, tracker_num int, title string, status string, date_applied date, recruiter struct<name:string,email:string,phone:string,notes:string>, last_updated date")
+    null = F.lit(None).cast("string")
+
+    def to_events(rows):
+        return rows.select(
+            F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), "event_id", "ts", F.lit("Applied").alias("status"), F.lit(None).cast("date").alias("date"),
+            F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("title"), null.alias("note"),
+            F.struct(null.alias("name"), null.alias("email"), null.alias("phone"), null.alias("notes")).alias("recruiter"),
+        )
+
+    upsert_stream(accepted, applications, prior, to_events, "ts", "event_id", F.lit("2024-02-01").cast("date"), f"{root}/checkpoint").awaitTermination()
+    return applications.read().select("key", "tracker_num", "status", "title", "date_applied")
+
+
 @query(
     "stream_timeline",
     f"SELECT event_id, status FROM (SELECT event_id, {STATUS_SQL} AS status, lag({STATUS_SQL}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM status",

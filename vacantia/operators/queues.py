@@ -36,7 +36,8 @@ def with_excerpt(queue: DataFrame, bodies: DataFrame, max_chars: int = 600) -> D
     """
     wanted = bodies.select("key", "body").join(F.broadcast(queue.select("key")), "key", "left_semi")
     # A column used twice stays below as it is; the text is cut above the join.
-    return queue.join(wanted, "key", "left").withColumn("excerpt", excerpt(F.col("body"), max_chars, 2)).drop("body")
+    both = queue.join(wanted.withColumn("__found", F.lit(True)), "key", "left")
+    return both.withColumn("excerpt", F.when(F.col("__found"), excerpt(F.col("body"), max_chars, 2))).drop("body", "__found")
 
 
 def research_queue(rows: DataFrame, n: int, include_extracted: bool = False) -> DataFrame:
@@ -223,45 +224,49 @@ def funnel(
     view: DataFrame, applications: DataFrame, open_counts: DataFrame, registry: DataFrame, companies: DataFrame,
     floor: float, max_open: int,
 ) -> DataFrame:
-    """What is left to do, as rows (metric, n): each metric is one small aggregate."""
+    """What is left to do, as rows (metric, n).
+
+    The view is reduced once, to one row per company; every metric but the number of open applications
+    comes from that table beside the companies' own state.
+    """
+    from ..functions.status import is_open
+
     actionable = (
         F.col("live") & ~F.col("hard_excluded") & ~F.col("capped") & ~F.col("applied")
         & (F.coalesce(F.col("display_score"), F.lit(-1.0)) >= floor)
     )
-    from ..functions.status import is_open
-
-    def metrics(df: DataFrame, **conditions: Column) -> DataFrame:
-        counts = df.agg(*[F.count_if(c).alias(k) for k, c in conditions.items()])
-        rows = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("n")) for k in conditions])
-        return counts.select(F.inline(rows))
-
-    live_groups = registry.where(is_live()).select(F.col("company_key").alias("key")).distinct()
-    kept = companies.where("decision = 'keep'").join(live_groups, "key", "left_anti")
-    undecided = companies.where("decision = 'undecided'").select(F.col("key").alias("company_key"))
-    vet = (
-        view.where((F.col("decision") == "shortlist") & F.col("live")).select("company_key").distinct()
-        .join(undecided, "company_key", "left_semi")
-    )
-    to_research = (
-        (F.col("decision") == "undecided") & F.col("fit").isNotNull() & ~F.coalesce("excluded_by_type", F.lit(False))
+    shortlisted = (F.col("decision") == "shortlist") & F.col("live")
+    per_company = view.groupBy("company_key").agg(
+        F.count_if("live").alias("n_live"), F.count_if(actionable).alias("n_actionable"), F.coalesce(F.bool_or(shortlisted), F.lit(False)).alias("wanted"),
     )
-    parts = [
-        metrics(view, live=F.col("live"), actionable=actionable),
-        metrics(applications, open_apps=is_open(F.col("status"))),
-        metrics(open_counts, capped_companies=F.col("open_count") >= max_open),
-        metrics(kept, companies_kept_unscanned=F.lit(True)),
-        metrics(companies, companies_to_research=to_research),
-        metrics(vet, companies_pending_vet=F.lit(True)),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def listing_detail(key: str, registry: DataFrame, personal: DataFrame, bodies: DataFrame, by_url: DataFrame, by_id: DataFrame) -> DataFrame:
-    """Everything about one listing; the key filter reaches every table's scan."""
+    scanned = registry.where(is_live()).select("company_key", F.lit(True).alias("scanned")).distinct()
+    state = companies.select(F.col("key").alias("company_key"), F.col("decision").alias("state"), "fit", F.coalesce("excluded_by_type", F.lit(False)).alias("excluded"))
+    rows = per_company.join(state, "company_key", "full").join(open_counts.select("company_key", "open_count"), "company_key", "full").join(scanned, "company_key", "left")
+    undecided = F.col("state") == "undecided"
+    metrics = {
+        "live": F.sum("n_live"), "actionable": F.sum("n_actionable"), "capped_companies": F.count_if(F.col("open_count") >= max_open),
+        "companies_kept_unscanned": F.count_if((F.col("state") == "keep") & F.col("scanned").isNull()),
+        "companies_to_research": F.count_if(undecided & F.col("fit").isNotNull() & ~F.col("excluded")),
+        "companies_pending_vet": F.count_if(F.col("wanted") & undecided),
+    }
+
+    def as_rows(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        counts = df.agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in columns.items()])
+        return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("n")) for k in columns])))
+
+    return as_rows(rows, metrics).unionByName(as_rows(applications, {"open_apps": F.count_if(is_open(F.col("status")))}))
+
+
+def listing_detail(
+    key: str, registry: DataFrame, personal: DataFrame, bodies: DataFrame, by_url: DataFrame, by_id: DataFrame, verdicts: DataFrame | None = None
+) -> DataFrame:
+    """Everything about one listing, with its text and (key, fit_verdict); the key filter reaches every table's scan."""
     from .matching import with_lifecycle
 
     one = lambda df: df.where(F.col("key") == key)
     rows = one(registry).join(one(personal), "key", "full_outer").join(one(bodies).select("key", "body"), "key", "left")
+    if verdicts is not None:
+        rows = rows.join(one(verdicts).select("key", "fit_verdict"), "key", "left")
     seen = with_lifecycle(rows.withColumnRenamed("status", "__status") if "status" in rows.columns else rows, by_url, by_id)
     applied = F.col("tracked") & (F.coalesce("status", F.lit("")) != "Evaluated")
     return seen.withColumn(

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..operators.applications import upsert_applications
+from ..sinks.tables import VersionedTable
+from .ingest import run_batches
+
 _ACCEPTED = StructType([StructField("last_us", LongType())])
 
 
@@ -54,6 +59,29 @@ def accepted_submissions(events: DataFrame, key: str, ts: str, tie: str, gap_sec
     )
 
 
+def upsert_stream(
+    accepted: DataFrame, applications: VersionedTable, prior: DataFrame, to_events: Callable[[DataFrame], DataFrame],
+    ts: str, tie: str, today: Column, checkpoint: str, trigger: dict | None = None,
+) -> StreamingQuery:
+    """Fold accepted submissions into the applications, a version per micro-batch.
+
+    A batch starts from the version before it and writes its own number, so a batch that runs again
+    replaces itself: every submission counts exactly once.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        earlier = [v for v in applications.versions() if v < batch_id]
+        before = applications.read(earlier[-1]) if earlier else prior
+        # The batch comes from a stateful operator: it is read more than once here, so it is kept for the step.
+        rows = batch.persist()
+        try:
+            applications.write(upsert_applications(before, to_events(rows), ts, tie, today), batch_id)
+        finally:
+            rows.unpersist()
+
+    return run_batches(accepted, step, checkpoint, trigger)
+
+
 _LAST_STATUS = StructType([StructField("status", StringType()), StructField("last_us", LongType())])
 
 
