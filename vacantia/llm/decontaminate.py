@@ -84,7 +84,7 @@ def scan(text: str | None, built: tuple, before: dict | None = None) -> dict:
         spans += zip(before["first_words"], before["end_words"], strict=True)
         items.update(before["items"])
     joined = f" {b' '.join(words).decode('latin-1')} "
-    hits = list(automaton.iter(joined))
+    hits = list(automaton.iter(joined)) if lengths else []
     if hits:
         ends = np.flatnonzero(np.frombuffer(joined.encode("latin-1"), np.uint8) == 32)
         for at, v in hits:

@@ -11,6 +11,7 @@ repeated labels count as often as they are given. Without labels of both kinds t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import log2
 
@@ -148,17 +149,17 @@ def _counts(rows: DataFrame, names: list[str], bounds: dict[str, list[float]]) -
 
 
 def learn_rules(
-    stats: DataFrame, max_rules: int = 8, max_tests: int = 3, n_bounds: int = 24, precision: float = 0.9, least: float = 0.02
+    stats: DataFrame, max_rules: int = 8, max_tests: int = 3, n_bounds: int = 24, precision: float = 0.95, least: float = 0.02
 ) -> list[Rule]:
-    """Rules for bad rows from ``stats`` (a struct) and ``bad`` (0 or 1), one row per label.
+    """Rules for bad rows from ``doc_id``, ``stats`` (a struct) and ``bad`` (0 or 1), one row per label.
 
     ``least`` is the share of all bad rows that a rule must cover on the rows it is pruned on, ``precision`` what it
-    must reach there. Two thirds of the rows, chosen by hash, grow rules; the rest prune them.
+    must reach there. Two thirds of the documents, chosen by hash of the id, grow rules; the rest prune them.
     """
     values = feature_columns()
     names = list(values)
     rows = staged(
-        stats.select("bad", F.struct(*[c.alias(n) for n, c in values.items()]).alias("x"), (F.pmod(F.xxhash64("stats"), F.lit(3)) > 0).alias("grow")), "labelled-stats"
+        stats.select("bad", F.struct(*[c.alias(n) for n, c in values.items()]).alias("x"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("grow")), "labelled-stats"
     )
     totals = rows.agg(
         F.sum("bad").alias("bad"), F.count("*").alias("n"), F.sum(F.when(~F.col("grow"), F.col("bad"))).alias("held"),
@@ -170,45 +171,61 @@ def learn_rules(
     bounds = {f: sorted({*(totals[f"all_{f}"] or ()), *(totals[f"bad_{f}"] or ())}) for f in names}
     rules: list[Rule] = []
     x = {n: F.col(f"x.{n}") for n in names}
-    for _ in range(max_rules):
+    while len(rules) < max_rules:
         left = rows
         for r in rules:
             left = left.where(~r.column(x))
-        tests: list[Test] = []
-        within = left.where("grow")
-        start = within.agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).first()
-        bad, good = start["bad"] or 0, start["n"] - (start["bad"] or 0)
-        while bad and good and len(tests) < max_tests:
-            best, gain, counts = None, 0.0, (0, 0)
-            for t, (p, q) in _counts(within, names, bounds).items():
-                if p and (g := p * (log2(p / (p + q)) - log2(bad / (bad + good)))) > gain:
-                    best, gain, counts = t, g, (p, q)
-            if best is None:
+        # By information gained over the rows covered; where that ends in a rule that is not precise, by precision.
+        found = None
+        for gain in (_information, _precision):
+            tests = _grow(left.where("grow"), names, bounds, x, max_tests, gain)
+            found = _pruned(tests, left.where(~F.col("grow")), x, precision, least * (totals["held"] or 0)) if tests else None
+            if found is not None:
                 break
-            tests.append(best)
-            within = within.where(best.column(x))
-            bad, good = counts
-        if not tests:
+        if found is None:
             break
-        # A bound in the middle of the gap to what the test covers, so that rows near the good side stay.
-        edges = within.where("bad = 1").agg(*[(F.min if t.above else F.max)(f"x.{t.feature}").alias(f"e{k}") for k, t in enumerate(tests)]).first()
-        tests = [Test(t.feature, t.above, (t.bound + edges[f"e{k}"]) / 2 if t.above else t.bound) for k, t in enumerate(tests)]
-        # Prune: of all beginnings of the conjunction, the one with the best net cover on the held rows.
-        held = left.where(~F.col("grow"))
-        ways = [Rule(tuple(tests[:k])) for k in range(1, len(tests) + 1)]
-        got = held.agg(
-            *[a for k, w in enumerate(ways) for a in (F.sum(F.when(w.column(x), F.col("bad"))).alias(f"p{k}"), F.count(F.when(w.column(x), 1)).alias(f"n{k}"))]
-        )
-        seen = got.first()
-        score = [((2 * (seen[f"p{k}"] or 0) - seen[f"n{k}"]) / max(seen[f"n{k}"], 1), seen[f"p{k}"] or 0, -k) for k in range(len(ways))]
-        k = max(range(len(ways)), key=lambda j: score[j])
-        p, n = seen[f"p{k}"] or 0, seen[f"n{k}"]
-        if n == 0 or p < precision * n or p < least * (totals["held"] or 0):
-            break
-        rules.append(ways[k])
+        rules.append(found)
     return rules
 
 
+def _information(p: int, q: int, bad: int, good: int) -> float:
+    return p * (log2(p / (p + q)) - log2(bad / (bad + good)))
+
+
+def _precision(p: int, q: int, bad: int, good: int) -> float:
+    return (p + 1) / (p + q + 2) - (bad + 1) / (bad + good + 2)
+
+
+def _grow(within: DataFrame, names: list[str], bounds: dict[str, list[float]], x: dict[str, Column], max_tests: int, gain: Callable) -> list[Test]:
+    """Tests added one by one, each the one that gains most, until no good row is covered."""
+    tests: list[Test] = []
+    start = within.agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).first()
+    bad, good = start["bad"] or 0, start["n"] - (start["bad"] or 0)
+    while bad and good and len(tests) < max_tests:
+        ways = [(gain(p, q, bad, good), p, t, (p, q)) for t, (p, q) in _counts(within, names, bounds).items() if p]
+        best = max(ways, key=lambda w: w[:2], default=None)
+        if best is None or best[0] <= 0:
+            break
+        tests.append(best[2])
+        within = within.where(best[2].column(x))
+        bad, good = best[3]
+    if not tests:
+        return []
+    # A bound in the middle of the gap to what the test covers, so that rows near the good side stay.
+    edges = within.where("bad = 1").agg(*[(F.min if t.above else F.max)(f"x.{t.feature}").alias(f"e{k}") for k, t in enumerate(tests)]).first()
+    return [Test(t.feature, t.above, (t.bound + edges[f"e{k}"]) / 2 if t.above else t.bound) for k, t in enumerate(tests)]
+
+
+def _pruned(tests: list[Test], held: DataFrame, x: dict[str, Column], precision: float, least: float) -> Rule | None:
+    """Of all beginnings of the conjunction the one with the best net cover on the held rows, if it is precise enough."""
+    ways = [Rule(tuple(tests[:k])) for k in range(1, len(tests) + 1)]
+    got = held.agg(*[a for k, w in enumerate(ways) for a in (F.sum(F.when(w.column(x), F.col("bad"))).alias(f"p{k}"), F.count(F.when(w.column(x), 1)).alias(f"n{k}"))]).first()
+    seen = [(got[f"p{k}"] or 0, got[f"n{k}"]) for k in range(len(ways))]
+    k = max(range(len(ways)), key=lambda j: ((2 * seen[j][0] - seen[j][1]) / max(seen[j][1], 1), seen[j][0], -j))
+    p, n = seen[k]
+    return ways[k] if n and p >= precision * n and p >= least else None
+
+
 def decision(rules: list[Rule], stats: str = "stats") -> Column:
     """The first rule that rejects a row as its number from 1, else 0."""
     values = feature_columns(stats)
@@ -221,7 +238,7 @@ def decision(rules: list[Rule], stats: str = "stats") -> Column:
 def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics of the labelled documents with ``bad``."""
     given = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("__id"), (1 - F.col("quality")).alias("bad"))
-    return stats.join(given, stats["doc_id"] == given["__id"]).select("stats", "bad")
+    return stats.join(given, stats["doc_id"] == given["__id"]).select("doc_id", "stats", "bad")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:

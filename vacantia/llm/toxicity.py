@@ -169,9 +169,10 @@ def label_model(votes: np.ndarray, rounds: int = 50) -> np.ndarray:
     """
     n, m = votes.shape
     given = votes[:, -1]
-    post = np.where(given == 1, 0.95, np.where(given == 0, 0.05, 0.5)).astype(float)
-    share = np.ones(m)
     yes, no = votes == 1, votes == 0
+    share_of_yes = yes.sum(1) / np.maximum((yes | no).sum(1), 1)
+    post = np.where(given == 1, 0.95, np.where(given == 0, 0.05, 0.1 + 0.8 * share_of_yes)).astype(float)
+    share = np.ones(m)
     for _ in range(rounds):
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         rates = []
