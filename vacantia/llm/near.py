@@ -8,10 +8,12 @@ Copies are one class from the start (equal digests of the word sequence), so a g
 every later shuffle. Links between classes come in two steps, which together confirm or refute every pair of classes
 that shares a bucket, without listing the pairs of a group:
 
-1. In each bucket, every class is compared with one centre (another one in each band). Confirmed links join components.
+1. In each bucket, every class is compared with one centre, the class that shares its buckets with most others: of
+   copies with edits, one with few of them. Confirmed links join components.
 2. A pair left to compare lies in different components. Two sets of similarity t share one of their first
    n - ceil(t n) + 1 shingles in any order of all shingles; with the rarest first, these meet rarely, also inside a
-   large group of copies with edits. Pairs that meet across components are compared, and their links join components.
+   large group of copies with edits. Where two sets meet first, enough of both must still follow for the shingles they
+   need in common. Pairs that meet so across components are compared, and their links join components.
 
 A shingle is known by a 64-bit hash of its word hashes; equal hashes of different shingles are left aside (2^-64 a pair).
 Null and empty texts and texts without words have no shingles and no links. Null ids come after all others, equal ids
@@ -144,25 +146,28 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def rare_first(sets: DataFrame) -> DataFrame:
-    """The prefix shingles of each set in the order of rarity, without those of one set only."""
+    """The prefix shingles of each set in the order of rarity, without those of one set only, and how many are left from there on."""
     tokens = sets.select("cid", F.size("set").alias("n"), F.explode("set").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ranked = tokens.join(counts, "token").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))  # a set's own shingles
     length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1
-    return ranked.select("cid", "n", F.explode(F.filter(F.slice("order", F.lit(1), length), lambda x: x["df"] > 1)).alias("t")).select("cid", "n", "t.token")
+    first = ranked.select("cid", "n", F.posexplode(F.slice("order", F.lit(1), length)).alias("i", "t")).where("t.df > 1")
+    return first.select("cid", "n", (F.col("n") - F.col("i")).alias("rest"), "t.token")
 
 
 def linked_classes(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     """``cid, component`` of classes with a link to another class."""
     keys = classes.select("cid", "n", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.count("*").alias("members"), F.min_by("cid", F.xxhash64("cid", "band")).alias("centre")).where("members > 1")
-    members = staged(keys.join(shared, ["band", "key"]).select("band", "key", "cid", "n", "centre"), "near-buckets")
+    shared = keys.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    members = staged(keys.join(shared, ["band", "key"]).select("band", "key", "cid", "n", "size"), "near-buckets")
     need = members.select("cid").distinct().join(classes, "cid").select("cid", F.col("rep.__row").alias("__row"))
     texts = keyed.join(need, "__row").select("cid", filled("text").alias("text"))
     sets = staged(texts.mapInArrow(_class_sets, "cid long, set array<long>"), "near-sets")
 
     sizes = classes.select(F.col("cid").alias("centre"), F.col("n").alias("m"))
-    stars = members.where("cid <> centre").select("cid", "n", "centre").distinct().join(sizes, "centre").where(fits(F.col("n"), F.col("m")))
+    company = members.groupBy("cid").agg(F.sum("size").alias("company"))
+    centres = members.join(company, "cid").groupBy("band", "key").agg(F.max_by("cid", F.struct("company", -F.col("cid"))).alias("centre"))
+    stars = members.join(centres, ["band", "key"]).where("cid <> centre").select("cid", "n", "centre").distinct().join(sizes, "centre").where(fits(F.col("n"), F.col("m")))
     first = staged(confirmed(stars.select(F.least("cid", "centre").alias("u"), F.greatest("cid", "centre").alias("v")).distinct(), sets), "near-links-1")
     found = staged(components(first, "near-parts-1"), "near-components-1")
 
@@ -173,9 +178,10 @@ def linked_classes(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     prefix = rare_first(sets.join(rest, "cid", "left_semi")).join(rest, "cid")
     several = prefix.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
     meets = staged(prefix.join(several, "token"), "near-prefixes")
-    a = meets.select("token", F.col("cid").alias("u"), F.col("part").alias("pu"), F.col("n").alias("nu"))
-    b = meets.select("token", F.col("cid").alias("v"), F.col("part").alias("pv"), F.col("n").alias("nv"))
-    pairs = a.join(b, "token").where((F.col("u") < F.col("v")) & (F.col("pu") != F.col("pv")) & fits(F.col("nu"), F.col("nv"))).select("u", "v").distinct()
+    a = meets.select("token", F.col("cid").alias("u"), F.col("part").alias("pu"), F.col("n").alias("nu"), F.col("rest").alias("ru"))
+    b = meets.select("token", F.col("cid").alias("v"), F.col("part").alias("pv"), F.col("n").alias("nv"), F.col("rest").alias("rv"))
+    enough = (100 + PERCENT) * F.least("ru", "rv") >= PERCENT * (F.col("nu") + F.col("nv"))
+    pairs = a.join(b, "token").where((F.col("u") < F.col("v")) & (F.col("pu") != F.col("pv")) & enough & fits(F.col("nu"), F.col("nv"))).select("u", "v").distinct()
     second = staged(confirmed(pairs, sets), "near-links-2")
     links = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second)
     return components(links, "near-parts-2").withColumnRenamed("node", "cid")
