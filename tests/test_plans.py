@@ -33,3 +33,12 @@ def test_detail_filter_reaches_the_scan(spark, sf):
 
 def test_watchlist_filters_are_pushed(spark, sf):
     assert "EqualTo(o_orderstatus,O)" in plan_of(QUERIES["watchlist"](spark, sf))
+
+
+def test_excerpts_are_cut_above_the_join(spark, sf):
+    """No expression on the bodies below the join with the queue."""
+    plan = QUERIES["triage_queue_excerpts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    cut = next(i for i, x in enumerate(lines) if "regexp_replace" in x)
+    join = next(i for i, x in enumerate(lines) if "Join LeftSemi" in x)
+    assert cut < join and not any("regexp_replace" in x for x in lines[join:])
