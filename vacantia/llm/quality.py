@@ -135,12 +135,11 @@ class Rule:
 
 
 def _counts(rows: DataFrame, names: list[str], bounds: dict[str, list[float]]) -> dict[Test, tuple[int, int]]:
-    """For each possible test the bad and good rows that pass it; one aggregation of the rows."""
-    bins = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), sum((F.col(f"x.{f}") > b).cast("int") for b in bounds[f]).alias("b")) for f in names if bounds[f]]))
-    got = rows.select("bad", bins.alias("v")).groupBy("v.f", "v.b").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).collect()
+    """For each possible test the bad and good rows that pass it; one aggregation of the rows by feature and bin."""
+    got = rows.select("bad", F.posexplode("bins").alias("f", "b")).groupBy("f", "b").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).collect()
     out: dict[Test, tuple[int, int]] = {}
-    for f in names:
-        cells = {r["b"]: (r["bad"], r["n"] - r["bad"]) for r in got if r["f"] == f}
+    for i, f in enumerate(names):
+        cells = {r["b"]: (r["bad"], r["n"] - r["bad"]) for r in got if r["f"] == i}
         for k, bound in enumerate(bounds[f]):
             for above in (True, False):
                 inside = [c for b, c in cells.items() if (b > k) == above]
@@ -169,8 +168,10 @@ def learn_rules(
     if not totals["bad"] or totals["bad"] == totals["n"]:
         return []
     bounds = {f: sorted({*(totals[f"all_{f}"] or ()), *(totals[f"bad_{f}"] or ())}) for f in names}
-    rules: list[Rule] = []
     x = {n: F.col(f"x.{n}") for n in names}
+    # The bin of each value, once for all steps: how many bounds of its feature it exceeds.
+    rows = staged(rows.withColumn("bins", F.array(*[_bin(x[f], bounds[f]) for f in names])), "binned-stats")
+    rules: list[Rule] = []
     while len(rules) < max_rules:
         left = rows
         for r in rules:
@@ -188,6 +189,10 @@ def learn_rules(
     return rules
 
 
+def _bin(value: Column, bounds: list[float]) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < value)) if bounds else F.lit(0)
+
+
 def _information(p: int, q: int, bad: int, good: int) -> float:
     return p * (log2(p / (p + q)) - log2(bad / (bad + good)))
 
@@ -251,9 +256,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, all columns as they were."""
+    """The documents that pass, all columns as they were.
+
+    Documents are written beside their statistics: these are needed to learn the rules and to apply them, and a
+    filter on columns that aren't written would be computed again inside every use.
+    """
     names = docs.columns
     packed = docs.select(F.struct(*keep_cols(names)).alias("__doc"), F.col("doc_id"), F.col("text"))
-    stats = text_stats(packed, ["__doc", "doc_id"])
+    stats = staged(text_stats(packed, ["__doc", "doc_id"]), "quality-documents")
     rules = learn_rules(labelled(stats.select("doc_id", "stats"), labels))
     return stats.where(~base_failed() & (decision(rules) == 0)).select("__doc.*")
