@@ -100,22 +100,38 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = staged(keyed, "keyed-runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"), F.col("start").alias("start"))
     firsts = keyed.groupBy("n", "a", "z").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    firsts = staged(firsts, "first-runs")  # a table of its own, so that the join with a very common run can be split
     return keyed.join(firsts, ["n", "a", "z"]).where((F.col("first.row") != F.col("__row")) | (F.col("first.start") != F.col("start"))).select("__row", "start", "n")
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per row that loses lines: the places of these in its text and the words they held. A document's own lines bound the list."""
+    """Per row that loses lines: the places of these in its text, the words they held, and how many lines are left.
+
+    A document's own lines bound the list.
+    """
     lines = staged(worded_lines(docs), "lines")
     spans = repeated_runs(lines, min_words).select("__row", F.explode(F.sequence(F.col("start"), (F.col("start") + F.col("n") - 1).cast("int"))).alias("seq")).distinct()
-    return lines.join(spans, ["__row", "seq"]).groupBy("__row").agg(F.collect_list("line_no").alias("__gone"), F.sum("words").alias("__gone_words"))
+    marked = lines.join(spans.withColumn("hit", F.lit(True)), ["__row", "seq"], "left")
+    each = marked.groupBy("__row").agg(
+        F.collect_list(F.when(F.col("hit"), F.col("line_no"))).alias("__gone"), F.sum(F.when(F.col("hit"), F.col("words"))).alias("__gone_words"),
+        F.count(F.when(F.col("hit").isNull(), 1)).alias("__n_left"),
+    )
+    return each.where(F.size("__gone") > 0)
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with a row key and the text without later copies: ``__row``, ``__kept``, ``__n_gone``, ``__gone_words``."""
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, emptied: bool = True) -> DataFrame:
+    """``docs`` with a row key and the text without later copies: ``__row``, ``__kept``, ``__n_gone``, ``__gone_words``.
+
+    Without ``emptied``, rows that lose all their lines are left out. This is told before the text is put together: a filter
+    on the text itself would make Spark compute its expression inside the filter again.
+    """
     keyed = with_row_key(docs, "line-dedup")
     names = keyed.columns
     gone = dropped_lines(keyed, min_words)
-    both = keyed.join(gone, "__row", "left").select(*keep_cols(names), F.split(filled("text"), "\n").alias("__lines"), F.coalesce("__gone", F.array().cast("array<int>")).alias("__gone"), "__gone_words")
+    joined = keyed.join(gone, "__row", "left")
+    if not emptied:
+        joined = joined.where(F.coalesce(F.col("__n_left"), F.lit(1)) > 0)
+    both = joined.select(*keep_cols(names), F.split(filled("text"), "\n").alias("__lines"), F.coalesce("__gone", F.array().cast("array<int>")).alias("__gone"), "__gone_words")
     lines, lost = F.col("__lines"), F.col("__gone")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
     kept = both.select(*keep_cols(names), lines.alias("__lines"), places.alias("__places"), F.size(lost).cast("long").alias("__n_gone"), F.coalesce("__gone_words", F.lit(0)).cast("long").alias("__gone_words"))
@@ -135,8 +151,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents with the shortened text; those that lost lines and have no word left go. Same columns, ``n_chars`` renewed."""
     names = docs.columns
-    out = deduplicated(docs, min_words)
-    stays = (F.col("__n_gone") == 0) | (F.btrim(F.col("__kept"), F.lit(SPACES)) != "")
+    out = deduplicated(docs, min_words, emptied=False)
     cols = []
     for c in names:
         if c == "text":
@@ -145,4 +160,4 @@ def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataF
             cols.append(F.when(F.col("__n_gone") == 0, F.col(c)).otherwise(F.length("__kept")).cast(docs.schema[c].dataType).alias(c))
         else:
             cols.append(F.col(f"`{c}`"))
-    return out.where(stays).select(*cols)
+    return out.select(*cols)
