@@ -257,15 +257,18 @@ def fold_words(text):
 
 def brute_hits(text, items):
     w = fold_words(text)
-    hit, found = set(), set()
+    windows = collections.defaultdict(set)
     for key, t in items:
         v = fold_words(t)
         n = min(10, len(v))
         for k in range(len(v) - n + 1) if v else ():
-            for i in range(len(w) - n + 1):
-                if w[i : i + n] == v[k : k + n]:
-                    hit.update(range(i, i + n))
-                    found.add(str(key))
+            windows[tuple(v[k : k + n])].add(str(key))
+    hit, found = set(), set()
+    for n in {len(x) for x in windows}:
+        for i in range(len(w) - n + 1):
+            if (x := tuple(w[i : i + n])) in windows:
+                hit.update(range(i, i + n))
+                found |= windows[x]
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
