@@ -416,12 +416,10 @@ def rejected_edits(spark, sf):
 
 @query(
     "upsert_last_write",
-    "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2",
+    "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2",
 )
 def upsert_last_write(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(
-        F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("event_id").alias("event_id")
-    )
+    return latest_values(table(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"], ["value", "event_id"])
 
 
 # ── ordered rules ────────────────────────────────────────────────────

@@ -202,9 +202,9 @@ def top_titles(titles: DataFrame, group: str, title: str, order: str, n: int = 1
     return top_per_key(distinct, [group], ["__first", title], n).select(group, title, "rank")
 
 
-def titles_or_samples(companies: DataFrame, titles: DataFrame) -> DataFrame:
-    """Titles per company (at most 12, so a list is safe), else the survey's own samples."""
-    lists = titles.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("__t"))
+def titles_or_samples(companies: DataFrame, titles: DataFrame, n: int = 12) -> DataFrame:
+    """The first ``n`` titles per company by their rank, so a list is safe, else the survey's own samples."""
+    lists = titles.where(F.col("rank") <= n).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("__t"))
     names = F.transform(F.col("__t"), lambda x: x["title"])
     return companies.join(lists, "key", "left").withColumn(
         "titles", F.coalesce(names, F.col("sample_titles"), F.array().cast("array<string>"))
