@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,13 +57,36 @@ def folded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD)
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """Write to the cluster's shared folder and read again: a fixed point that survives lost executors."""
+_OPEN: list[list[str]] = []
+
+
+def staged(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
+    """Write to the cluster's shared folder and read again: a fixed point that survives lost executors.
+
+    Inside ``scratch`` the table goes when that ends, unless it is kept.
+    """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables staged inside once the results that stay have been written with ``keep``."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def with_row_key(df: DataFrame, purpose: str, key: str = "__row") -> DataFrame:
     """A unique number per row, fixed by writing the table once; repeated and null ids are told apart by it."""
-    return staged(df.withColumn(key, F.monotonically_increasing_id()), purpose)
+    return staged(df.withColumn(key, F.monotonically_increasing_id()), purpose, keep=True)

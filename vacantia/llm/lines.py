@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import SPACES, filled, plain_words, staged, with_row_key
+from vacantia.llm.common import SPACES, filled, plain_words, scratch, staged, with_row_key
 
 MIN_WORDS = 20
 
@@ -127,7 +127,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, emptied: bool = Tr
     """
     keyed = with_row_key(docs, "line-dedup")
     names = keyed.columns
-    gone = dropped_lines(keyed, min_words)
+    with scratch(docs.sparkSession):
+        gone = staged(dropped_lines(keyed, min_words), "dropped-lines", keep=True)
     joined = keyed.join(gone, "__row", "left")
     if not emptied:
         joined = joined.where(F.coalesce(F.col("__n_left"), F.lit(1)) > 0)

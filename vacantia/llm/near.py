@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import filled, staged, with_row_key
+from vacantia.llm.common import filled, scratch, staged, with_row_key
 from vacantia.llm.graph import components
 
 SHINGLE = 5
@@ -190,6 +190,11 @@ def linked_classes(keyed: DataFrame, classes: DataFrame) -> DataFrame:
 def near_groups(keyed: DataFrame) -> DataFrame:
     """Of a table with ``__row``, ``doc_id`` and ``text``: ``__row``, ``doc_id``, the size of the set, and ``first``, the first row of its component."""
     texts = keyed.select("__row", "doc_id", filled("text").alias("text"))
+    with scratch(keyed.sparkSession):
+        return staged(_groups(keyed, texts), "near-groups", keep=True)
+
+
+def _groups(keyed: DataFrame, texts: DataFrame) -> DataFrame:
     rows = staged(texts.mapInArrow(_signatures, f"__row long, doc_id {keyed.schema['doc_id'].dataType.simpleString()}, n long, digest binary, bands array<long>"), "near-signatures")
     classes = classes_of(rows)
     found = staged(linked_classes(keyed, classes), "near-components-2")

@@ -18,7 +18,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import SPACES, filled, plain_words, staged
+from vacantia.llm.common import SPACES, filled, plain_words, scratch, staged
 
 REPEAT_WINDOW = 8
 STAT_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -94,7 +94,8 @@ def text_stats(docs: DataFrame, keep: list[str], text: str = "text", window: int
         dropped(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
         dropped(t, ".,;:!?").alias("n_stops"),
     )
-    return hashes.select(*keep_cols(keep), stats.alias("stats"))
+    # Passed through a generator of one row: a filter on it can't be moved below, where it would compute all of this again.
+    return hashes.select(*keep_cols(keep), F.explode(F.array(stats)).alias("stats"))
 
 
 def keep_cols(names: list[str]) -> list[Column]:
@@ -256,13 +257,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, all columns as they were.
-
-    Documents are written beside their statistics: these are needed to learn the rules and to apply them, and a
-    filter on columns that aren't written would be computed again inside every use.
-    """
+    """The documents that pass, all columns as they were. Statistics are computed twice, so that no text is written here."""
     names = docs.columns
     packed = docs.select(F.struct(*keep_cols(names)).alias("__doc"), F.col("doc_id"), F.col("text"))
-    stats = staged(text_stats(packed, ["__doc", "doc_id"]), "quality-documents")
-    rules = learn_rules(labelled(stats.select("doc_id", "stats"), labels))
+    with scratch(docs.sparkSession):
+        rules = learn_rules(labelled(text_stats(packed.select("doc_id", "text"), ["doc_id"]), labels))
+    stats = text_stats(packed, ["__doc"])
     return stats.where(~base_failed() & (decision(rules) == 0)).select("__doc.*")
