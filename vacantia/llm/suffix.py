@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import filled, staged
+from vacantia.llm.common import filled, scratch, staged
 
 LENGTH = 100
 DEPTH = 128  # the first of 8, 16, 32, ... not below LENGTH
 GRAM = 32
-SHARD_BYTES = 4 << 20
-ANCHORS_PER_BUCKET = 1 << 21
+SHARD_BYTES = 2 << 20
+ANCHORS_PER_BUCKET = 1 << 18
 
 _U = np.uint64
 _P = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
@@ -366,38 +366,40 @@ def merge_pieces(pieces: list[dict]) -> list[tuple[int, list[dict]]]:
 
     Each shard's strings are sorted by print; binary search in the sorted strings of all finds the first place of each.
     """
+    number = {o: k for k, o in enumerate(sorted({o for piece in pieces for o in piece["ords"]}))}
     shards = []
-    for k, piece in enumerate(pieces):
+    for piece in pieces:
         data = np.frombuffer(piece["text"], np.uint8)
         lens = np.asarray(piece["lens"], np.int64)
-        begin = np.cumsum(lens) - lens
         n = lens - LENGTH + 1
         which = np.repeat(np.arange(len(lens)), n)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        at = begin[which] + inside
+        at = (np.cumsum(lens) - lens)[which] + inside
         a, b = window_prints(data, LENGTH, 0)[at], window_prints(data, LENGTH, 1)[at]
-        order = np.lexsort((b, a))
-        shards.append({"k": k, "a": a[order], "b": b[order], "ord": np.asarray(piece["ords"], np.int64)[which][order], "off": (np.asarray(piece["offs"], np.int64)[which] + inside)[order], "place": (np.asarray(piece["places"], np.int64)[which] + inside)[order]})
-    a, b = np.concatenate([s["a"] for s in shards]), np.concatenate([s["b"] for s in shards])
-    ord_, off = np.concatenate([s["ord"] for s in shards]), np.concatenate([s["off"] for s in shards])
-    order = np.lexsort((off, ord_, b, a))
-    a, b, ord_, off = a[order], b[order], ord_[order], off[order]
-    firsts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    a, b, ord_, off = a[firsts], b[firsts], ord_[firsts], off[firsts]
+        # The order of all starts as one number: document, then offset.
+        start = (np.array([number[o] for o in piece["ords"]], np.int64)[which] << 32) + np.asarray(piece["offs"], np.int64)[which] + inside
+        order = np.argsort(a)
+        shards.append((a[order], b[order], start[order], (np.asarray(piece["places"], np.int64)[which] + inside)[order]))
+    a, b, start = (np.concatenate([s[k] for s in shards]) for k in range(3))
+    order = np.argsort(a)
+    a, b, start = a[order], b[order], start[order]
+    begins = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    if (b != np.repeat(b[begins], np.diff(np.append(begins, len(b))))).any():
+        order = np.lexsort((b, a))  # equal halves of different prints: hardly ever
+        a, b, start = a[order], b[order], start[order]
+        begins = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    first = np.minimum.reduceat(start, begins)
+    a, b = a[begins], b[begins]
     out = []
-    for s in shards:
-        at = np.searchsorted(a, s["a"])
-        while True:  # equal first halves of a print are next to each other
-            wrong = np.flatnonzero(b[at] != s["b"])
-            if not len(wrong):
-                break
+    for k, (own_a, own_b, own, place) in enumerate(shards):
+        at = np.searchsorted(a, own_a)
+        while len(wrong := np.flatnonzero(b[at] != own_b)):
             at[wrong] += 1
-        later = (ord_[at] != s["ord"]) | (off[at] != s["off"])
-        places = np.unique(s["place"][later])
+        places = np.sort(place[first[at] != own])
         if len(places):
             cut = np.flatnonzero(np.diff(places, prepend=-LENGTH * 2) > 1)
             ends = places[np.append(cut[1:], len(places)) - 1] + LENGTH
-            out.append((s["k"], _spans(places[cut], ends)))
+            out.append((k, _spans(places[cut], ends)))
     return out
 
 
@@ -436,14 +438,19 @@ def class_order(rows: DataFrame) -> DataFrame:
     classes = rows.groupBy("digest").agg(F.min(place).alias("p"), F.first("n_bytes").alias("n_bytes")).select("digest", "p.none", "p.doc_id", "n_bytes")
     ranges = staged(classes.repartitionByRange("none", "doc_id", "digest").withColumn("part", F.spark_partition_id().cast("long")), "text-classes")
     order = F.row_number().over(Window.partitionBy("part").orderBy("none", "doc_id", "digest"))
-    return staged(ranges.select("digest", "doc_id", "n_bytes", (F.col("part") * (1 << 36) + order).alias("ord")), "text-order")
+    return staged(ranges.select("digest", "doc_id", "n_bytes", (F.col("part") * (1 << 36) + order).alias("ord")), "text-order", keep=True)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: its bytes, those removed, their maximal runs, and a digest of what stays."""
+    with scratch(docs.sparkSession):
+        return _dedup(docs)
+
+
+def _dedup(docs: DataFrame) -> DataFrame:
     bytes_: Column = filled("text").cast("binary")
     hashed = docs.select("doc_id", bytes_.alias("bytes")).withColumn("digest", F.unhex(F.sha2("bytes", 256)))
-    rows = staged(hashed.groupBy("doc_id", "digest").agg(F.first(F.octet_length("bytes")).cast("long").alias("n_bytes"), F.count("*").alias("copies")), "text-digests")
+    rows = staged(hashed.groupBy("doc_id", "digest").agg(F.first(F.octet_length("bytes")).cast("long").alias("n_bytes"), F.count("*").alias("copies")), "text-digests", keep=True)
     order = class_order(rows)
     long_ = order.where(F.col("n_bytes") >= LENGTH).select(F.col("digest").alias("d"), F.col("doc_id").alias("first_id"), "ord")
     texts = hashed.join(long_, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("ord", "bytes")
@@ -458,7 +465,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     pieces = looked.where("bucket is not null").select("bucket", "shard", "ords", "offs", "places", "lens", "text")
     across = pieces.groupBy("bucket").applyInArrow(_merge, "shard long, gone array<struct<a:int,b:int>>")
     gone = looked.where("gone is not null").select("shard", "gone").unionByName(across).groupBy("shard").agg(F.collect_list("gone").alias("spans"))
-    found = staged(shards.join(gone, "shard", "left").mapInArrow(_finish, RESULT), "text-kept").dropDuplicates(["ord"])
+    found = staged(shards.join(gone, "shard", "left").mapInArrow(_finish, RESULT), "text-kept", keep=True).dropDuplicates(["ord"])
 
     named = order.join(found, "ord", "left").select(F.col("digest").alias("d"), F.col("doc_id").alias("first_id"), "n_removed", "n_spans", "kept_sha256")
     each = rows.join(named, F.col("digest") == F.col("d")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
