@@ -11,6 +11,7 @@ repeated labels count as often as they are given. Without labels of both kinds t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from math import log2
@@ -23,6 +24,9 @@ from vacantia.llm.common import SPACES, filled, plain_words, scratch, staged
 REPEAT_WINDOW = 8
 STAT_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
+DIGITS, CAPITALS, MARKS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?"
+# Runs of what none of these counts: without them little of a text is left to count in.
+COUNTED = rf"[^{re.escape(SYMBOLS)}0-9A-Z{re.escape(MARKS)}]+"
 
 # Shares and means the rules may test, from the statistics and further counts.
 FEATURES = {
@@ -74,25 +78,26 @@ def text_stats(docs: DataFrame, keep: list[str], text: str = "text", window: int
     words = body.select(
         *keep_cols(keep), F.col("__t"), plain_words(F.col("__t")).alias("__w"),
         F.filter(F.split(F.col("__t"), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("__l"),
+        F.regexp_replace("__t", COUNTED, "").alias("__o"),
     )
     n = F.size("__w")
     hashes = words.select(
-        *keep_cols(keep), "__t", "__l", n.alias("__n"), F.size(F.array_distinct("__w")).alias("__d"),
+        *keep_cols(keep), "__o", "__l", n.alias("__n"), F.length(F.array_join("__w", "")).cast("long").alias("__c"), F.size(F.array_distinct("__w")).alias("__d"),
         F.when(n >= window, F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice(F.col("__w"), i, window))))
         .otherwise(F.array().cast("array<bigint>")).alias("__h"),
     )
-    t, lines, h = F.col("__t"), F.col("__l"), F.col("__h")
+    odd, lines, h = F.col("__o"), F.col("__l"), F.col("__h")
     stats = F.struct(
         F.col("__n").cast("long").alias("n_words"),
-        (F.length(t) - dropped(t, SPACES)).cast("long").alias("word_chars"),
-        dropped(t, SYMBOLS).alias("n_symbols"),
+        F.col("__c").alias("word_chars"),
+        dropped(odd, SYMBOLS).alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct(h)) < F.size(h), repeated_words(h, window)).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
         F.col("__d").cast("long").alias("n_distinct"),
-        dropped(t, "0123456789").alias("n_digits"),
-        dropped(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        dropped(t, ".,;:!?").alias("n_stops"),
+        dropped(odd, DIGITS).alias("n_digits"),
+        dropped(odd, CAPITALS).alias("n_upper"),
+        dropped(odd, MARKS).alias("n_stops"),
     )
     # Passed through a generator of one row: a filter on it can't be moved below, where it would compute all of this again.
     return hashes.select(*keep_cols(keep), F.explode(F.array(stats)).alias("stats"))
