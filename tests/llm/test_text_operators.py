@@ -316,6 +316,12 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("empty", ["<svg/>", "<svg class='i' />", "<SVG viewBox='0 0 1 1'/>", "<math/>", "<svg><path d='M0 0'/></svg>", "<svg class=i/><path/></svg>"])
+def test_main_text_goes_on_after_empty_drawings(empty):
+    for more in ("", "<svg><text>no</text></svg>"):
+        assert html.main_text(f"<article><p>{LONG} {empty}{LONG}</p><p>{LONG}</p>{more}</article>") == f"{LONG} {LONG} {LONG}"
+
+
 def test_main_text_of_a_table(spark):
     pages = frame(spark, [(1, "u", f"<article><p>{LONG}</p></article>"), (2, None, None), (None, "u", "<p>é</p>"), (2, "v", "<p>" + "word " * 50_000)], "page_id long, url string, html string")
     got = sorted((r.page_id or 0, r.n_chars, len(r.text)) for r in html.extract_pages(pages.withColumn("text", F.lit("clash"))).collect())

@@ -77,6 +77,11 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
+def _closes_itself(raw: str) -> bool:
+    """Whether a tag ends in a slash that is not part of an unquoted value."""
+    return raw.endswith("/") and all(m.end() < len(raw) for m in _ATTRIBUTE.finditer(raw))
+
+
 def _off(tag: str, attrs: dict[str, str]) -> bool:
     """Whether an element never belongs to an article."""
     if tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN_STYLE.search(attrs.get("style", "")):
@@ -162,6 +167,8 @@ def parse(page: str) -> list[Block]:
                 close(*CLOSES[tag])
         if tag in VOID:
             continue
+        if tag in ("svg", "math") and _closes_itself(m[3]):
+            continue
         if tag in RAW and tag not in ("svg", "math", "template", "noscript") or tag in ("noscript", "svg", "math", "template"):
             end = re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
