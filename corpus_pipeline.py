@@ -13,6 +13,7 @@ from vacantia.llm import decontaminate, lines, mixing, near, quality
 from vacantia.llm.common import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+NEAR_PERCENT = 80  # of shingles in common; operator 3's own query links at 85
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return near.without_near_duplicates(docs)
+    return near.without_near_duplicates(docs, NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Registered text queries against their SQL, and the pipeline stage by stage against brute force."""
 
 import collections
+import random
 
 import pytest
 
 import corpus_pipeline
 from oracle_check import compare, connect
-from test_text_operators import brute_components, brute_hits, brute_lines, brute_stats
+from test_text_operators import brute_components, brute_hits, brute_lines, brute_stats, shingles
 from vacantia.llm import quality
+from vacantia.llm.near import without_near_duplicates
 from vacantia.llm.queries import ORACLES, QUERIES
 
 
@@ -51,3 +53,18 @@ def test_pipeline_stage_by_stage(spark, sf):
     taken = sum(len(r.text.split()) for r in mixed.collect())
     assert abs(taken - 1.5 * sum(len(r.text.split()) for r in clean.collect())) < 0.05 * taken
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, mixed.collect()))
+
+
+def test_pipeline_links_near_copies_from_080(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(270)]
+    far = [*base[:20], *(f"x{k}" if k % 40 == 0 else w for k, w in enumerate(base[20:]))]  # seven edits: under 0.8
+    near = [f"y{k}" if k in (30, 80, 130, 180, 230) else w for k, w in enumerate(base)]  # five edits: 241 of 291 shingles
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(base).upper())]
+    sets = [shingles(t) for _, t in rows]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert 0.80 <= alike(sets[0], sets[1]) < 0.85 and max(alike(sets[k], sets[2]) for k in (0, 1)) < 0.80
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 3]
+    assert sorted(r.doc_id for r in without_near_duplicates(docs).collect()) == [1, 2, 3]

@@ -2,7 +2,7 @@
 
 Two permutations make all coordinates of a signature: one spreads the shingles over the 32-bit ring, the other, shifted
 along the ring by k, gives coordinate k. ``BANDS`` bands of ``ROWS`` coordinates make a pair of similarity 0.85 share a
-bucket with probability 1 - 8e-7, a closer pair with more.
+bucket with probability 1 - 8e-7, one of 0.80 with 1 - 7e-5, a closer pair with more.
 
 Copies are one class from the start (equal digests of the word sequence), so a group of copies is one row per task in
 every later shuffle. Links between classes come in two steps, which together confirm or refute every pair of classes
@@ -34,7 +34,7 @@ from vacantia.llm.common import filled, scratch, staged, with_row_key
 from vacantia.llm.graph import components
 
 SHINGLE = 5
-PERCENT = 85
+PERCENT = 85  # similarity of a link, where the caller names no other
 BANDS, ROWS = 24, 5
 CHUNK = 4096  # shingles hashed at a time
 
@@ -125,17 +125,17 @@ def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["cid", "set"])
 
 
-def fits(a: Column, b: Column) -> Column:
+def fits(a: Column, b: Column, percent: int) -> Column:
     """Sizes that allow the similarity at all."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``u, v`` of which the full sets are similar enough."""
     a = sets.select(F.col("cid").alias("u"), F.col("set").alias("a"))
     b = sets.select(F.col("cid").alias("v"), F.col("set").alias("b"))
     both = pairs.join(a, "u").join(b, "v").withColumn("same", F.size(F.array_intersect("a", "b")))
-    return both.where(100 * F.col("same") >= PERCENT * (F.size("a") + F.size("b") - F.col("same"))).select("u", "v")
+    return both.where(100 * F.col("same") >= percent * (F.size("a") + F.size("b") - F.col("same"))).select("u", "v")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -145,17 +145,17 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return staged(some.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
 
 
-def rare_first(sets: DataFrame) -> DataFrame:
+def rare_first(sets: DataFrame, percent: int) -> DataFrame:
     """The prefix shingles of each set in the order of rarity, without those of one set only, and how many are left from there on."""
     tokens = sets.select("cid", F.size("set").alias("n"), F.explode("set").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ranked = tokens.join(counts, "token").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))  # a set's own shingles
-    length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     first = ranked.select("cid", "n", F.posexplode(F.slice("order", F.lit(1), length)).alias("i", "t")).where("t.df > 1")
     return first.select("cid", "n", (F.col("n") - F.col("i")).alias("rest"), "t.token")
 
 
-def linked_classes(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+def linked_classes(keyed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """``cid, component`` of classes with a link to another class."""
     keys = classes.select("cid", "n", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
@@ -167,45 +167,45 @@ def linked_classes(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     sizes = classes.select(F.col("cid").alias("centre"), F.col("n").alias("m"))
     company = members.groupBy("cid").agg(F.sum("size").alias("company"))
     centres = members.join(company, "cid").groupBy("band", "key").agg(F.max_by("cid", F.struct("company", -F.col("cid"))).alias("centre"))
-    stars = members.join(centres, ["band", "key"]).where("cid <> centre").select("cid", "n", "centre").distinct().join(sizes, "centre").where(fits(F.col("n"), F.col("m")))
-    first = staged(confirmed(stars.select(F.least("cid", "centre").alias("u"), F.greatest("cid", "centre").alias("v")).distinct(), sets), "near-links-1")
+    stars = members.join(centres, ["band", "key"]).where("cid <> centre").select("cid", "n", "centre").distinct().join(sizes, "centre").where(fits(F.col("n"), F.col("m"), percent))
+    first = staged(confirmed(stars.select(F.least("cid", "centre").alias("u"), F.greatest("cid", "centre").alias("v")).distinct(), sets, percent), "near-links-1")
     found = staged(components(first, "near-parts-1"), "near-components-1")
 
     labelled = members.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid"))
     mixed = labelled.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band", "key")
     open_ = labelled.join(mixed, ["band", "key"]).select("cid", "part").distinct()
     rest = staged(open_, "near-open")
-    prefix = rare_first(sets.join(rest, "cid", "left_semi")).join(rest, "cid")
+    prefix = rare_first(sets.join(rest, "cid", "left_semi"), percent).join(rest, "cid")
     several = prefix.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
     meets = staged(prefix.join(several, "token"), "near-prefixes")
     a = meets.select("token", F.col("cid").alias("u"), F.col("part").alias("pu"), F.col("n").alias("nu"), F.col("rest").alias("ru"))
     b = meets.select("token", F.col("cid").alias("v"), F.col("part").alias("pv"), F.col("n").alias("nv"), F.col("rest").alias("rv"))
-    enough = (100 + PERCENT) * F.least("ru", "rv") >= PERCENT * (F.col("nu") + F.col("nv"))
-    pairs = a.join(b, "token").where((F.col("u") < F.col("v")) & (F.col("pu") != F.col("pv")) & enough & fits(F.col("nu"), F.col("nv"))).select("u", "v").distinct()
-    second = staged(confirmed(pairs, sets), "near-links-2")
+    enough = (100 + percent) * F.least("ru", "rv") >= percent * (F.col("nu") + F.col("nv"))
+    pairs = a.join(b, "token").where((F.col("u") < F.col("v")) & (F.col("pu") != F.col("pv")) & enough & fits(F.col("nu"), F.col("nv"), percent)).select("u", "v").distinct()
+    second = staged(confirmed(pairs, sets, percent), "near-links-2")
     links = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second)
     return components(links, "near-parts-2").withColumnRenamed("node", "cid")
 
 
-def near_groups(keyed: DataFrame) -> DataFrame:
+def near_groups(keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of a table with ``__row``, ``doc_id`` and ``text``: ``__row``, ``doc_id``, the size of the set, and ``first``, the first row of its component."""
     texts = keyed.select("__row", "doc_id", filled("text").alias("text"))
     with scratch(keyed.sparkSession):
-        return staged(_groups(keyed, texts), "near-groups", keep=True)
+        return staged(_groups(keyed, texts, percent), "near-groups", keep=True)
 
 
-def _groups(keyed: DataFrame, texts: DataFrame) -> DataFrame:
+def _groups(keyed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     rows = staged(texts.mapInArrow(_signatures, f"__row long, doc_id {keyed.schema['doc_id'].dataType.simpleString()}, n long, digest binary, bands array<long>"), "near-signatures")
     classes = classes_of(rows)
-    found = staged(linked_classes(keyed, classes), "near-components-2")
+    found = staged(linked_classes(keyed, classes, percent), "near-components-2")
     parts = classes.select("cid", "digest", "rep").join(found, "cid", "left").withColumn("part", F.coalesce("component", "cid"))
     named = parts.join(parts.groupBy("part").agg(F.min("rep").alias("first")), "part").select("digest", "first")
     return rows.select("__row", "doc_id", "n", "digest").join(named, "digest", "left").select("__row", "doc_id", "n", "first")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: size of its set, smallest id of its component, and whether it is the one that stays."""
-    got = near_groups(with_row_key(docs.select("doc_id", "text"), "near-docs"))
+    got = near_groups(with_row_key(docs.select("doc_id", "text"), "near-docs"), percent)
     alone = F.col("first").isNull()
     return got.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
@@ -213,8 +213,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The first document of each group and all documents without words; columns as they were."""
     keyed = with_row_key(docs, "near-docs")
-    stays = near_groups(keyed).where(F.col("first").isNull() | (F.col("first.__row") == F.col("__row"))).select("__row")
+    stays = near_groups(keyed, percent).where(F.col("first").isNull() | (F.col("first.__row") == F.col("__row"))).select("__row")
     return keyed.join(stays, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
