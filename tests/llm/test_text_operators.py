@@ -316,6 +316,23 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        *((f"<div class='{name}'><article><p>{LONG}</p></article></div><div>&copy; us</div>", LONG) for name in (
+            "container has-sidebar", "content no-sidebar", "page-with-comments", "elementor-widget-container", "wp-widget", "search-result-page", "share-enabled", "sidebar-left", "site cookies-accepted")),
+        (f"<div class='sidebar-left'><div class=sidebar>Links, and more of them</div><p>{LONG}</p></div>", LONG),
+        ("".join(f"<div class='elementor-widget'><p>{k} {LONG}</p></div>" for k in range(5)), " ".join(f"{k} {LONG}" for k in range(5))),
+        (f"<article><div class='search-block'><p>{LONG} {LONG}</p></div><p>{LONG}</p></article>", f"{LONG} {LONG} {LONG}"),
+        (f"<div class=comments><p>{LONG}</p></div>", LONG),
+        (f"<div><p>{LONG}</p></div><div class=comments><article class=comment><p>{LONG} {LONG} {LONG}</p></article></div>", LONG),
+        (f"<article><p>{LONG}</p></article><div class='cookie-consent'><p>{LONG} {LONG} {LONG}</p></div><div class=sidebar><p>{LONG} {LONG}</p></div>", LONG),
+    ],
+)
+def test_main_text_below_names_of_the_layout(page, want):
+    assert html.main_text(page) == want
+
+
 @pytest.mark.parametrize("empty", ["<svg/>", "<svg class='i' />", "<SVG viewBox='0 0 1 1'/>", "<math/>", "<svg><path d='M0 0'/></svg>", "<svg class=i/><path/></svg>"])
 def test_main_text_goes_on_after_empty_drawings(empty):
     for more in ("", "<svg><text>no</text></svg>"):

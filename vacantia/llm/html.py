@@ -4,7 +4,7 @@ A page becomes a tree of elements with their blocks of text. Each paragraph-like
 its commas to its parent and half of them to its grandparent and above; a container's points are cut by the share of
 its text that stands in links. The best container and those siblings that score well beside it are the article. Menus,
 headers and footers of the page, sidebars, notices, adverts, forms, comments by readers, scripts, styles and hidden
-parts never count: by element, by role, or by words in class and id.
+parts never count: by element, by role, or by words in class and id, unless an element so named holds the article.
 
 White space inside a block becomes one space; blocks are joined by one space in page order. Character references are
 decoded, nothing else is dropped or cut. Null and empty pages, and pages without text, give an empty text; open and
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,7 +42,19 @@ CLOSES = {
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 
 # Words in class, id or role that mark what does not belong to an article.
-UNLIKELY = re.compile(
+_READERS = "comments?|commentlist|disqus|related|replies|respond"  # often longer than the article
+_NOTICES = "ads?|advert\\w*|alert|alertdialog|banner\\w*|consent|cookies?|gdpr|newsletter|notices?|popup|promo\\w*|sponsor\\w*|subscribe"  # with prose of their own
+_LAYOUT = (
+    "breadcrumbs?|dialog|footer|login|masthead|menu|modal|nav|navbar|navigation|pager|pagination|print-only|share\\w*|sharing|sidebar|signup|skip-?link|social|toolbar|"
+    "widget|complementary|contentinfo|search|hidden|sr-only"
+)
+UNLIKELY = re.compile(rf"(?:^|[-_])(?:(?P<readers>{_READERS})|(?P<notices>{_NOTICES})|(?:{_LAYOUT}))(?:$|[-_])", re.IGNORECASE)
+# Names that hold such a word and say something else: no-sidebar, page-with-comments, share-enabled, search-result-page, elementor-widget-container.
+_APART = re.compile(
+    r"(?:^|[-_])(?:no|not|non|has|have|with|without|show|hide|enable|disable)[-_].*|^.*[-_](?:enabled|disabled|open|opened|closed|active|layout|page|template)$|^(?:elementor|wp)[-_]widget",
+    re.IGNORECASE,
+)
+LIKELY = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|banner\w*|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|dialog|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|"
     r"newsletter|notices?|pager|pagination|popup|print-only|promo\w*|related|replies|respond|share\w*|sharing|sidebar|signup|skip-?link|social|sponsor\w*|subscribe|toolbar|"
     r"widget|complementary|contentinfo|search|alert|alertdialog|hidden|sr-only)(?:$|[-_\s])",
@@ -64,6 +78,8 @@ class Node:
     chars: int = 0
     linked: int = 0
     children: list = field(default_factory=list)
+    marks: tuple[tuple[str, str], ...] = ()
+    under: Node | None = None  # the element itself or the nearest around it that its name may switch off
 
 
 @dataclass(eq=False)
@@ -71,6 +87,7 @@ class Block:
     node: Node
     text: str
     linked: int
+    under: Node | None = None
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -83,11 +100,80 @@ def _closes_itself(raw: str) -> bool:
 
 
 def _off(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element never belongs to an article."""
-    if tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN_STYLE.search(attrs.get("style", "")):
-        return True
-    named = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-    return bool(named) and tag not in ("html", "body", "article", "main") and bool(UNLIKELY.search(named))
+    """Whether an element never belongs to an article, whatever its name."""
+    return tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN_STYLE.search(attrs.get("style", "")))
+
+
+@lru_cache(maxsize=4096)
+def _marks(named: str) -> tuple[tuple[str, str], ...]:
+    """The names that speak against an element, each with the kind of its word."""
+    found = ((x, UNLIKELY.search(_APART.sub("", x))) for x in dict.fromkeys(named.lower().split()))
+    return tuple((x, "readers" if m["readers"] else "notices" if m["notices"] else "layout") for x, m in found if m)
+
+
+def _points(b: Block) -> float:
+    size = len(b.text)
+    points = 0.0 if size < SHORT else 1.0 + b.text.count(",") + b.text.count("،") + b.text.count("、") + min(size / 100, 3.0)
+    return points * (0.3 if b.node.tag in ("li", "dd", "dt", "td", "th") and b.linked * 2 > size else 1.0)
+
+
+def _above(node: Node | None) -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _named(b: Block) -> Iterator[Node]:
+    """The elements around a block that their names may switch off."""
+    node = b.under
+    while node is not None:
+        yield node
+        node = node.parent.under if node.parent else None
+
+
+def _without_named(blocks: list[Block]) -> list[Block]:
+    """The blocks outside elements that their names switch off.
+
+    A name does not count against what holds the page's article or main, or most of the points of its paragraphs, alone
+    or with all elements of that name (for notices: nine tenths; for readers' comments and related pages points do not
+    count). If no block is left, names do not count at all.
+    """
+    if all(b.under is None for b in blocks):
+        return blocks
+    held: dict[Node, list[float]] = {}  # points and characters of articles and mains
+    sums: dict[Node, float] = {}  # points of named elements, without what readers wrote
+    counted = []
+    total = free = 0.0
+    for b in blocks:
+        points = _points(b)
+        counted.append(0.0 if any(kind == "readers" for x in _named(b) for _, kind in x.marks) else points)
+        total += counted[-1]
+        free += 0.0 if b.under else points
+        for x in _above(b.node):
+            if x.tag in ("article", "main") and not any(kind == "readers" for _, kind in x.marks):
+                got = held.setdefault(x, [0.0, 0])
+                got[0] += points
+                got[1] += len(b.text)
+        for x in _named(b):
+            sums[x] = sums.get(x, 0.0) + counted[-1]
+    stays: set[Node] = set()
+    outside = max((v for x, v in held.items() if x.under is None), default=[-1.0, 0])
+    for x, v in held.items():
+        if x.under is not None and (x.tag == "main" or v > outside):
+            stays.update(y for y in _above(x) if y.under is y and (x.tag == "main" or v[0] >= free or not any(kind == "readers" for _, kind in y.marks)))
+    # What stands beside an article with paragraphs is judged by its name alone.
+    real = {a for a, v in held.items() if v[0] and a.under is None}
+    rest = [x for x in sums if x not in stays and len(real) == sum(y in real for y in _above(x))]
+    share = {"layout": 0.5, "notices": 0.9}
+    most = lambda points, kind: kind in share and points > share[kind] * total
+    stays.update(x for x in rest if all(most(sums[x], kind) for _, kind in x.marks))
+    open_ = set(rest) - stays
+    by_name: dict[tuple[str, str], float] = {}
+    for b, points in zip(blocks, counted, strict=True):
+        for mark in {m for x in _named(b) if x in open_ for m in x.marks}:
+            by_name[mark] = by_name.get(mark, 0.0) + points
+    stays.update(x for x in open_ if all(most(by_name[m], m[1]) for m in x.marks))
+    return [b for b in blocks if all(x in stays for x in _named(b))] or blocks
 
 
 def parse(page: str) -> list[Block]:
@@ -102,7 +188,7 @@ def parse(page: str) -> list[Block]:
         text = " ".join("".join(t for t, _ in buffer).split())
         if text and not stack[-1].off:
             home = next(n for n in reversed(stack) if n.tag in BLOCKS or n is root)
-            blocks.append(Block(home, text, sum(len("".join(t.split())) for t, linked in buffer if linked)))
+            blocks.append(Block(home, text, sum(len("".join(t.split())) for t, linked in buffer if linked), stack[-1].under))
             home.children.append(blocks[-1])
         buffer.clear()
 
@@ -146,7 +232,7 @@ def parse(page: str) -> list[Block]:
             else:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
-                        if stack[k].off:
+                        if stack[k].off or stack[k].under is stack[k]:
                             flush()
                         links -= tag == "a"
                         del stack[k]  # formatting closes alone, what it holds stays open
@@ -176,16 +262,19 @@ def parse(page: str) -> list[Block]:
         if m[3] and m[3].rstrip().endswith("/") and tag not in BLOCKS and tag not in ("a", "span", "b", "i", "em", "strong"):
             continue
         count += 1
-        if off and not stack[-1].off:
-            flush()
-        node = Node(tag, stack[-1], count, off)
         named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+        marks = _marks(f"{named} {attrs.get('role', '')}") if attrs else ()
+        by_name = bool(marks) and tag not in ("html", "body", "article", "main")
+        if (off or by_name) and not stack[-1].off:
+            flush()
+        node = Node(tag, stack[-1], count, off, marks=marks)
+        node.under = node if by_name else stack[-1].under
         node.weight = (25.0 if tag in ("article", "main") else 0.0) + (15.0 if named.strip() and LIKELY.search(named) else 0.0)
         stack[-1].children.append(node)
         stack.append(node)
         links += tag == "a"
     flush()
-    return blocks
+    return _without_named(blocks)
 
 
 def main_text(page: str | None) -> str:
@@ -193,9 +282,7 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     for b in blocks:
-        size = len(b.text)
-        points = 0.0 if size < SHORT else 1.0 + b.text.count(",") + b.text.count("،") + b.text.count("、") + min(size / 100, 3.0)
-        points *= 0.3 if b.node.tag in ("li", "dd", "dt", "td", "th") and b.linked * 2 > size else 1.0
+        size, points = len(b.text), _points(b)
         up, part = b.node if b.node.tag in CONTAINERS else b.node.parent or b.node, 1.0
         node: Node | None = b.node
         while node is not None:
