@@ -333,6 +333,29 @@ def test_main_text_below_names_of_the_layout(page, want):
     assert html.main_text(page) == want
 
 
+SECTION = "".join(f"<p>{k} {LONG} {LONG}</p>" for k in range(10))
+SECTION_TEXT = " ".join(f"{k} {LONG} {LONG}" for k in range(10))
+REST = "<h2>Later</h2><p>Short.</p><h3>Deep</h3><ul><li>one<li>two</ul><pre>a  b</pre><table><tr><td>1</table><figure><figcaption>Seen</figcaption></figure>"
+REST_TEXT = "Later Short. Deep one two a b 1 Seen"
+LINKS = "<ul><li><a href=/1>Another page of ours</a><li><a href=/2>And one more</a></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><section>{SECTION}</section><section>{REST}</section>{REST}</article>", f"{SECTION_TEXT} {REST_TEXT} {REST_TEXT}"),
+        (f"<body><div><h1>Title</h1><div>{SECTION}</div>{REST}</div></body>", f"Title {SECTION_TEXT} {REST_TEXT}"),
+        (f"<body><div><div><div>{SECTION}</div></div><div><div>{REST}</div></div></div></body>", f"{SECTION_TEXT} {REST_TEXT}"),
+        (f"<main><div>{LINKS}</div><div><p>Lead</p></div><article><div>{SECTION}</div>{LINKS}</article><div>{LINKS}</div></main><div>us</div>", f"Lead {SECTION_TEXT} Another page of ours And one more"),
+        (f"<body><div>{LINKS}</div><div>{SECTION}</div><div><p>End</p></div></body>", f"{SECTION_TEXT} End"),
+        (f"<article><main>{LINKS}<div>{SECTION}</div></main>{LINKS}</article>", f"Another page of ours And one more {SECTION_TEXT} Another page of ours And one more"),
+        (f"<div><article><p>{LONG}</article><article>{SECTION}</article><article>Tail</article></div>", f"{LONG} {SECTION_TEXT} Tail"),
+    ],
+)
+def test_main_text_keeps_uneven_parts(page, want):
+    assert html.main_text(page) == want
+
+
 @pytest.mark.parametrize("empty", ["<svg/>", "<svg class='i' />", "<SVG viewBox='0 0 1 1'/>", "<math/>", "<svg><path d='M0 0'/></svg>", "<svg class=i/><path/></svg>"])
 def test_main_text_goes_on_after_empty_drawings(empty):
     for more in ("", "<svg><text>no</text></svg>"):

@@ -2,7 +2,8 @@
 
 A page becomes a tree of elements with their blocks of text. Each paragraph-like block gives points for its length and
 its commas to its parent and half of them to its grandparent and above; a container's points are cut by the share of
-its text that stands in links. The best container and those siblings that score well beside it are the article. Menus,
+its text that stands in links. The main element or the outermost article around the best container is kept whole; beside
+it, and on pages that have neither, everything is kept but branches that are mostly links. Menus,
 headers and footers of the page, sidebars, notices, adverts, forms, comments by readers, scripts, styles and hidden
 parts never count: by element, by role, or by words in class and id, unless an element so named holds the article.
 
@@ -301,24 +302,24 @@ def main_text(page: str | None) -> str:
             node = node.parent
     value = {k: (x.score + (x.weight if x.score else 0.0)) * (1 - min(x.linked / max(x.chars, 1), 1.0)) for k, x in seen.items()}
     best = max((x for x in seen.values() if x.tag in CONTAINERS or x.parent is None), key=lambda x: (value[x.order], -x.order))
-    # Several articles or sections of about the same rank below one parent belong together.
-    wanted = {best.order}
-    if best.parent is not None:
-        bar = max(10.0, 0.2 * value[best.order])
-        for x in best.parent.children:
-            if isinstance(x, Node):
-                good = x.order in value and x.tag in CONTAINERS and value[x.order] >= bar
-                prose = x.order in seen and x.tag == "p" and x.chars >= 80 and x.linked * 4 < x.chars
-                heading = x.order in seen and x.tag in ("h1", "h2") and x.order < best.order
-                if good or prose or heading:
-                    wanted.add(x.order)
+    # The article is all of the main element or of what stands beside the outermost article, else of the page. Branches
+    # that lead away from the best container's line, or from the article it lies in, go if they are mostly links.
+    line = list(_above(best))
+    whole = next((x for x in reversed(line) if x.tag == "article"), best)
+    beside = (whole.parent or whole) if whole.tag == "article" else line[-1]
+    top = next((x for x in reversed(list(_above(whole))) if x.tag == "main"), beside)
+    goes_on = set(_above(whole)) - {whole}
     out = []
     for b in blocks:
-        node = b.node
-        while node is not None and node.order not in wanted:
-            node = node.parent
-        if node is not None:
+        branch, node = None, b.node
+        while node not in (top, whole, None) and node not in goes_on:
+            branch, node = node, node.parent
+        if node is whole:
             out.append(b.text)
+        elif node is not None and (node is top or top in _above(node)):
+            part, linked = (branch.chars, branch.linked) if branch else (len(b.text), b.linked)
+            if linked * 2 <= part or branch and branch.tag in ("h1", "h2") and branch.order < best.order:
+                out.append(b.text)
     return " ".join(out)
 
 
