@@ -129,7 +129,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, emptied: bool = Tr
     names = keyed.columns
     with scratch(docs.sparkSession):
         gone = staged(dropped_lines(keyed, min_words), "dropped-lines", keep=True)
-    joined = keyed.join(gone, "__row", "left")
+    # Sorted and merged whatever the size of the list, so that the work grows with the rows alone.
+    joined = keyed.join(gone.hint("merge"), "__row", "left")
     if not emptied:
         joined = joined.where(F.coalesce(F.col("__n_left"), F.lit(1)) > 0)
     both = joined.select(*keep_cols(names), F.split(filled("text"), "\n").alias("__lines"), F.coalesce("__gone", F.array().cast("array<int>")).alias("__gone"), "__gone_words")
