@@ -4,7 +4,7 @@ The rule: of the UTF-8 bytes of all texts, a byte goes if it lies in a string of
 earlier (smaller ``doc_id``, null last, then text digest; or earlier in the document). Strings are judged on the input.
 
 1. Equal texts are one class; only its first document is looked into, every byte of the others lies in a copy.
-2. Class texts are packed, in order, into shards of about ``SHARD_BYTES``.
+2. Class texts are packed, as the join delivers them, into shards of about ``SHARD_BYTES``.
 3. Every string of ``LENGTH`` bytes has an anchor: the least hash of ``GRAM`` bytes inside it. Equal strings have equal
    anchors, so only strings whose anchor occurs twice need a closer look. Shards send each distinct anchor hash once.
 4. In each shard, a suffix array over the stretches left is built by Larsson-Sadakane refinement (ranks of 8 bytes, then
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,27 +219,33 @@ def runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SHARD = "shard long, ords array<long>, sizes array<int>, data binary"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[int, bytes]] = []
-    size = 0
+def _pack(shard_bytes: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        # Partition and number in it: no two shards have the same id, whatever they hold.
+        number = TaskContext.get().partitionId() << 32
 
-    def out() -> pa.RecordBatch:
-        held.sort(key=lambda x: x[0])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([held[0][0]], pa.int64()), pa.array([[o for o, _ in held]], pa.list_(pa.int64())), pa.array([[len(t) for _, t in held]], pa.list_(pa.int32())), pa.array([b"".join(t for _, t in held)], pa.binary())],
-            ["shard", "ords", "sizes", "data"],
-        )
+        def out() -> pa.RecordBatch:
+            held.sort(key=lambda x: x[0])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([[o for o, _ in held]], pa.list_(pa.int64())), pa.array([[len(t) for _, t in held]], pa.list_(pa.int32())), pa.array([b"".join(t for _, t in held)], pa.binary())],
+                ["shard", "ords", "sizes", "data"],
+            )
 
-    for batch in batches:
-        for ord_, text in zip(batch.column("ord"), batch.column("bytes"), strict=True):
-            t = text.as_py()
-            if held and size + len(t) > SHARD_BYTES:
-                yield out()
-                held, size = [], 0
-            held.append((ord_.as_py(), t))
-            size += len(t)
-    if held:
-        yield out()
+        for batch in batches:
+            for ord_, text in zip(batch.column("ord"), batch.column("bytes"), strict=True):
+                t = text.as_py()
+                if held and size + len(t) > shard_bytes:
+                    yield out()
+                    number += 1
+                    held, size = [], 0
+                held.append((ord_.as_py(), t))
+                size += len(t)
+        if held:
+            yield out()
+
+    return pack
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -441,20 +448,23 @@ def class_order(rows: DataFrame) -> DataFrame:
     return staged(ranges.select("digest", "doc_id", "n_bytes", (F.col("part") * (1 << 36) + order).alias("ord")), "text-order", keep=True)
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: its bytes, those removed, their maximal runs, and a digest of what stays."""
     with scratch(docs.sparkSession):
-        return _dedup(docs)
+        return _dedup(docs, shard_bytes)
 
 
-def _dedup(docs: DataFrame) -> DataFrame:
+def _dedup(docs: DataFrame, shard_bytes: int) -> DataFrame:
     bytes_: Column = filled("text").cast("binary")
     hashed = docs.select("doc_id", bytes_.alias("bytes")).withColumn("digest", F.unhex(F.sha2("bytes", 256)))
     rows = staged(hashed.groupBy("doc_id", "digest").agg(F.first(F.octet_length("bytes")).cast("long").alias("n_bytes"), F.count("*").alias("copies")), "text-digests", keep=True)
     order = class_order(rows)
-    long_ = order.where(F.col("n_bytes") >= LENGTH).select(F.col("digest").alias("d"), F.col("doc_id").alias("first_id"), "ord")
-    texts = hashed.join(long_, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("ord", "bytes")
-    shards = staged(texts.mapInArrow(_pack, SHARD), "text-shards")
+    # Rows equal in id and text are made one before they are shuffled; the join then finds them by the same columns.
+    same = ["digest", F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")]
+    long_ = order.where(F.col("n_bytes") >= LENGTH).select(*same, "ord")
+    once = hashed.where(F.octet_length("bytes") >= LENGTH).select(*same, "bytes").groupBy("digest", "no_id", "id").agg(F.first("bytes").alias("bytes"))
+    texts = once.join(long_, ["digest", "no_id", "id"]).select("ord", "bytes")
+    shards = staged(texts.mapInArrow(_pack(shard_bytes), SHARD), "text-shards")
     total = shards.agg(F.sum(F.octet_length("data").cast("long")).alias("n")).first()["n"] or 0
     buckets = int(max(32, total // (LENGTH - GRAM) * 2 // ANCHORS_PER_BUCKET))
 
@@ -465,7 +475,7 @@ def _dedup(docs: DataFrame) -> DataFrame:
     pieces = looked.where("bucket is not null").select("bucket", "shard", "ords", "offs", "places", "lens", "text")
     across = pieces.groupBy("bucket").applyInArrow(_merge, "shard long, gone array<struct<a:int,b:int>>")
     gone = looked.where("gone is not null").select("shard", "gone").unionByName(across).groupBy("shard").agg(F.collect_list("gone").alias("spans"))
-    found = staged(shards.join(gone, "shard", "left").mapInArrow(_finish, RESULT), "text-kept", keep=True).dropDuplicates(["ord"])
+    found = staged(shards.join(gone, "shard", "left").mapInArrow(_finish, RESULT), "text-kept", keep=True)
 
     named = order.join(found, "ord", "left").select(F.col("digest").alias("d"), F.col("doc_id").alias("first_id"), "n_removed", "n_spans", "kept_sha256")
     each = rows.join(named, F.col("digest") == F.col("d")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
