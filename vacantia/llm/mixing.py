@@ -113,9 +113,12 @@ def split_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Source (null marked), size and place of each row, written once."""
+    """A number, source (null marked), size and place of each row, written once."""
     return staged(
-        docs.select("doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), size_of().alias("size"), place_of(seed).alias("place")), "mix-sizes"
+        docs.select(
+            F.monotonically_increasing_id().alias("__row"), "doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), size_of().alias("size"), place_of(seed).alias("place")
+        ),
+        "mix-sizes",
     )
 
 
@@ -184,28 +187,40 @@ def times_taken(place: Column) -> Column:
     return F.col("passes") + extra.cast("int")
 
 
+def drawn(rows: DataFrame, plan: DataFrame, source: str, place: str, seed: int) -> DataFrame:
+    """The draws: each row as often as it is taken, with its shard, the pass and its order in the shard.
+
+    ``mix_shard`` follows from the quotas: a draw's block, counted over all passes, falls to the first shard whose share
+    of its source's blocks is not used up by smaller blocks. A draw that no shard has a place for is none.
+    """
+    own = rows.join(F.broadcast(plan), F.col(source) == F.col("__source")).withColumn("__times", times_taken(F.col(place))).where("__times > 0")
+    each = own.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
+    draw = F.col("mix_pass") * BLOCKS + F.shiftright(F.col(place), _PLACE_BITS - BITS)
+    placed = each.withColumn("mix_shard", F.size(F.filter("ends", lambda e: e <= draw))).where(F.col("mix_shard") < F.size("ends"))
+    return placed.withColumn("mix_order", F.xxhash64(F.lit(seed + 1), place, "mix_pass")).drop("__times", *plan.columns)
+
+
 def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row per document: its words, its source's words and target, and the words the mix takes of it."""
+    """One row per document: its words, its source's words and target, the words the mix takes of it, and the first shard
+    that gets it (null for none). What is taken is counted from the draws."""
     rows = measured(docs.select("doc_id", "text", "source"), seed)
     sources, _ = plan_mix(rows, seed)
     plan = plan_table(rows, sources)
-    joined = rows.join(F.broadcast(plan), rows["source"] == plan["__source"])
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * times_taken(F.col("place"))).cast("long").alias("taken"))
+    slim = rows.select("__row", F.col("source").alias("__of"), "place")
+    counts = drawn(slim, plan, "__of", "place", seed).groupBy("__row").agg(F.count("*").alias("times"), F.min("mix_shard").alias("first_shard"))
+    joined = rows.join(counts.hint("merge"), "__row", "left").join(F.broadcast(plan.select("__source", "source_size", "target")), F.col("source") == F.col("__source"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"), "first_shard")
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of the mix: the columns of ``docs`` with ``mix_shard``, ``mix_pass`` and ``mix_order``, each shard in its order.
 
-    Columns of these names in ``docs`` are replaced.
+    A shard is one task. Columns of these names in ``docs`` are replaced.
     """
     names = [c for c in docs.columns if c not in ("mix_shard", "mix_pass", "mix_order")]
     rows = measured(docs.select("doc_id", "text", "source"), seed)
     sources, shards = plan_mix(rows, seed)
     plan = plan_table(rows, sources)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.coalesce("source", F.lit(NO_SOURCE)).alias("__of"), place_of(seed).alias("__place"))
-    drawn = packed.join(F.broadcast(plan), F.col("__of") == F.col("__source")).withColumn("__times", times_taken(F.col("__place"))).where("__times > 0")
-    each = drawn.select("__doc", "__place", "ends", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("mix_pass"))
-    draw = F.col("mix_pass") * BLOCKS + F.shiftright(F.col("__place"), _PLACE_BITS - BITS)
-    shard = F.size(F.filter("ends", lambda e: e <= draw))
-    placed = each.select("__doc.*", shard.alias("mix_shard"), "mix_pass", F.xxhash64(F.lit(seed + 1), "__place", "mix_pass").alias("mix_order"))
-    return placed.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_order")
+    placed = drawn(packed, plan, "__of", "__place", seed).select("__doc.*", "mix_shard", "mix_pass", "mix_order")
+    return placed.repartitionById(shards, F.col("mix_shard")).sortWithinPartitions("mix_order")
