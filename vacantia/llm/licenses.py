@@ -1,8 +1,8 @@
 """Licence scan: an Aho-Corasick pass for notice phrases and identifier tags, a shunting-yard parser for expressions.
 
 Phrases are matched on folded words (see ``common.FOLD``), each framed by spaces, all in one pass over the whole text.
-Where the words of an identifier tag end, the rest of that line of the original text is read as a licence expression
-of identifiers, ``and``, ``or``, ``with`` and parentheses. Every identifier becomes a label. The score says how freely
+Where the words of an identifier tag end, the rest of that line of the original text, up to the next tag in it, is read
+as a licence expression of identifiers, ``and``, ``or``, ``with`` and parentheses. Every identifier becomes a label. The score says how freely
 the text may be used: the least free of all its statements, where ``and`` takes the smaller side, ``or`` the larger,
 and ``with`` moves the licence halfway towards free. Without any statement it is 0.5.
 
@@ -13,6 +13,8 @@ labels of the identifiers read up to there. Other columns pass through untouched
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -48,6 +50,7 @@ NOTICE_PHRASES = {
     "released into the public domain": "public-domain",
     "proprietary and confidential": "proprietary",
 }
+_NOTICE_LABELS = frozenset(NOTICE_PHRASES.values())
 TAG_PHRASES = ("spdx license identifier",)
 
 # How freely a text under a licence family may be used; the longest matching beginning of a label counts.
@@ -68,8 +71,9 @@ def freedom(label: str) -> float:
     return FREEDOM[max(fits, key=len)] if fits else UNKNOWN
 
 
-def parse_expression(line: str) -> tuple[float, list[str]]:
-    """Value and identifiers of a licence expression; reading stops where no expression can go on."""
+def parse_expression(line: str, at: int = 0, stop: int | None = None) -> tuple[float, list[str]]:
+    """Value and identifiers of the licence expression in ``line[at:stop]``; reading stops where none can go on."""
+    stop = len(line) if stop is None else stop
     values: list[float] = []
     pending: list[str] = []
     labels: list[str] = []
@@ -80,16 +84,17 @@ def parse_expression(line: str) -> tuple[float, list[str]]:
         values.append(max(left, right) if kind == "or" else min(left, right) if kind == "and" else (left + 1) / 2)
 
     operand = True  # whether an identifier or an opening parenthesis comes next
-    at = 0
+    depth = 0  # open parentheses
     while True:
-        while at < len(line) and line[at] in " \t":
+        while at < stop and line[at] in " \t":
             at += 1
-        m = _TOKEN.match(line, at)
+        m = _TOKEN.match(line, at, stop)
         if not m:
             break
         word = m.group().lower()
         if operand and word == "(":
             pending.append(word)
+            depth += 1
         elif operand and word != ")" and word not in _BINDS:
             excepted = bool(pending) and pending[-1] == "with"
             values.append(1.0 if excepted else freedom(word))
@@ -100,10 +105,11 @@ def parse_expression(line: str) -> tuple[float, list[str]]:
                 apply()
             pending.append(word)
             operand = True
-        elif not operand and word == ")" and "(" in pending:
+        elif not operand and word == ")" and depth:
             while pending[-1] != "(":
                 apply()
             pending.pop()
+            depth -= 1
         else:
             break
         at = m.end()
@@ -124,6 +130,31 @@ def phrase_automaton() -> ahocorasick.Automaton:
     return found
 
 
+def tagged_expressions(text: str, raw: bytes, tags: list[tuple[int, int]]) -> Iterator[tuple[float, list[str]]]:
+    """The expression behind each tag (first word, end word): the rest of its line, up to the next tag in it."""
+    if not tags:
+        return
+    inside = np.frombuffer(b" " + raw + b" ", np.uint8) != 32
+    firsts, lasts = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    # One character per byte: what is not ASCII ends an expression in any case.
+    line = text.encode("utf-8", "surrogatepass").decode("latin-1")
+    breaks = np.append(np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 10), len(line))
+    begins = lasts[[end - 1 for _, end in tags]]
+    stops = np.minimum(breaks[np.searchsorted(breaks, begins)], np.append(firsts[[first for first, _ in tags[1:]]], len(line)) if len(tags) > 1 else len(line))
+    for at, stop in zip(begins.tolist(), stops.tolist(), strict=True):
+        while at < stop and line[at] in " \t:=":
+            at += 1
+        value, names = parse_expression(line, at, stop)
+        if names:
+            yield value, names
+
+
+def outermost(labels: set[str]) -> set[str]:
+    """Labels without those that a longer one of the same family says more exactly."""
+    order = sorted(labels)
+    return {x for x in order if not ((k := bisect_left(order, f"{x}-")) < len(order) and order[k].startswith(f"{x}-"))}
+
+
 def scan(text: str | None, automaton: ahocorasick.Automaton) -> tuple:
     raw = folded(text)
     words = raw.split()
@@ -135,24 +166,21 @@ def scan(text: str | None, automaton: ahocorasick.Automaton) -> tuple:
     hits = list(automaton.iter(joined))
     if hits:
         spaces = np.flatnonzero(np.frombuffer(joined.encode("latin-1"), np.uint8) == 32)
-        for at, (length, base_label, label) in hits:
-            end = int(np.searchsorted(spaces, at))
+        ends = np.searchsorted(spaces, [at for at, _ in hits]).tolist()
+        tags = []
+        for end, (_, (length, base_label, label)) in zip(ends, hits, strict=True):
             if base_label:
                 base.add(base_label)
                 starts.append(end - length)
             if label:
                 labels.add(label)
-            if not base_label and not label:  # a tag: the rest of its line is an expression
-                inside = np.frombuffer(b" " + raw + b" ", np.uint8) != 32
-                byte = int(np.flatnonzero(inside[:-1] & ~inside[1:])[end - 1])
-                rest = (text or "").encode("utf-8", "surrogatepass")[byte:].split(b"\n", 1)[0].decode("utf-8", "replace")
-                value, names = parse_expression(rest.lstrip(" \t:="))
-                if names:
-                    values.append(value)
-                    labels.update(names)
-        # A phrase inside a longer one of the same family says nothing of its own.
-        families = {x for x in base | labels if not any(y.startswith(f"{x}-") for y in base | labels)}
-        tagged = {n for n in families if values and n in labels and n not in NOTICE_PHRASES.values()}
+            if not base_label and not label:
+                tags.append((end - length, end))
+        for value, names in tagged_expressions(text or "", raw, tags):
+            values.append(value)
+            labels.update(names)
+        families = outermost(base | labels)
+        tagged = {n for n in families if values and n in labels and n not in _NOTICE_LABELS}
         values += [freedom(x) for x in families - tagged]
     labels |= base
     return (
