@@ -4,7 +4,9 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -142,11 +144,10 @@ def brute_repeats(rows):
 
 
 @pytest.mark.parametrize("shard_bytes", [2000, 4 << 20])
-def test_substring_dedup(spark, monkeypatch, shard_bytes):
-    monkeypatch.setattr(suffix, "SHARD_BYTES", shard_bytes)
+def test_substring_dedup(spark, shard_bytes):
     docs = documents(spark)
     want = brute_repeats(sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect()))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.substring_dedup(docs).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.substring_dedup(docs, shard_bytes).collect()}
     assert got == want
     assert suffix.substring_dedup(empty(spark)).count() == 0
 
@@ -160,6 +161,24 @@ def test_substring_dedup_of_odd_rows(spark):
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want.values())
 
 
+@pytest.mark.parametrize("parts", [1, 4, 11])
+def test_substring_dedup_of_repeated_rows(spark, parts):
+    """Rows that occur one to six times, dealt over several partitions and into many small shards."""
+    rng = random.Random(parts)
+    passage = sentence(rng, 40)
+    rows = []
+    for i in range(60):
+        text = sentence(rng, rng.randrange(10, 80)) + (f" {passage} " if i % 3 else "") + sentence(rng, 10)
+        rows += [(i if i % 7 else None, text)] * (1 + i % 6 if i % 2 else 1)
+    rows += [(1, "another text of the same document " * 4)] * 3
+    docs = frame(spark, rows, "doc_id long, text string").repartition(parts)
+    got = suffix.substring_dedup(docs, 3000).collect()
+    ordered = sorted((d is None, d or 0, hashlib.sha256(t.encode()).digest(), t.encode()) for d, t in rows)
+    want = brute_repeats([(k, r[3]) for k, r in enumerate(ordered)])
+    ids = {k: (None if r[0] else r[1]) for k, r in enumerate(ordered)}
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == sorted(((ids[k], *w) for k, w in want.items()), key=repr)
+
+
 # --- near duplicates -----------------------------------------------------------------------------------------------
 
 
@@ -362,6 +381,87 @@ def test_main_text_goes_on_after_empty_drawings(empty):
         assert html.main_text(f"<article><p>{LONG} {empty}{LONG}</p><p>{LONG}</p>{more}</article>") == f"{LONG} {LONG} {LONG}"
 
 
+TEASER = "<article><h3><a href=/3>Another story of ours</a></h3><p>It tells what happened, and why it matters.</p></article>"
+CONSENT = "<div><p>We store data on your device, to measure visits and to improve this site. You may agree or decline.</p><button>Agree</button></div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # Headers of the page go, headers of the article stay.
+        (f"<body><header><h1>SITE NAME</h1><p>All the news that we have, every day of the week.</p></header><article><header><h1>Title</h1></header>{SECTION}</article></body>", f"Title {SECTION_TEXT}"),
+        *((f"<body><div {name}><p>SITE NAME, all the news of the week</p></div><div><h1>Title</h1>{SECTION}</div></body>", f"Title {SECTION_TEXT}") for name in ("class=header", "id=site-header", "class='page-header dark'", "class=branding", "role=banner", "id=masthead")),
+        (f"<body><header>SITE</header><main><header><h2>Title</h2></header><div class=header>Lead</div>{SECTION}</main></body>", f"Title Lead {SECTION_TEXT}"),
+        (f"<body><div class=post><div class=entry-header><h1>Title</h1></div><h2 class=header>Part</h2>{SECTION}</div></body>", f"Title Part {SECTION_TEXT}"),
+        # A form around the page does not empty it; its controls go, and forms beside or inside the article.
+        (f"<body><form action=/p><nav>{LINKS}</nav><div><label>Find</label><input name=q><select><option>all</select></div><article>{SECTION}</article><button>Send</button></form></body>", SECTION_TEXT),
+        (f"<body><form><div>{SECTION}</div></form></body>", SECTION_TEXT),
+        (f"<article>{SECTION}<form><p>Leave a word, please, we read them all.</p><textarea>x</textarea></form></article>", SECTION_TEXT),
+        # Teasers and unnamed notices beside the article.
+        (f"<body><article>{SECTION}</article><section>{TEASER * 4}</section></body>", SECTION_TEXT),
+        (f"<body><div>{TEASER}{TEASER}<article>{SECTION}</article>{TEASER}</div></body>", SECTION_TEXT),
+        (f"<body>{CONSENT}<h1>Title</h1><article>{SECTION}</article></body>", f"Title {SECTION_TEXT}"),
+    ],
+)
+def test_main_text_of_whole_sites(page, want):
+    assert html.main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 20_000 + "deep text, at last, with commas, and more",
+        "<div><p>deep, " * 4000,
+        "<b>" * 20_000 + "x" + "</i>" * 20_000 + "</b>" * 20_000,
+        "<i>" * 10_000 + "<b>" * 10_000 + "x" + "</i>" * 10_000,
+        "<p><table><tr><td>" + "<div>" * 20_000 + "x",
+        "<div class=sidebar><article><p>some text, of the page</p>" * 3000,
+        "".join(f"<div class='nav-{k} menu'><p>some text, of the page {k}" for k in range(3000)),
+        "<article><form>" * 5000 + "x, y",
+        "<ul><li>" * 8000 + "</ul>" * 9000 + "x",
+        "<header>" * 9000 + "x, and y",
+    ],
+)
+def test_main_text_takes_linear_time(page):
+    start = time.perf_counter()
+    assert html.main_text(page)
+    assert time.perf_counter() - start < 3
+
+
+class Plain(HTMLParser):
+    """Text of the article element without anything that is named as not belonging to it: enough for the given pages."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.skip, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("nav", "footer", "script", "style") or tag == "div" and dict(attrs).get("class") == "ad"
+        if tag in ("p", "h1", "li", "div", "ul", "br"):
+            self.blocks.append(" ") if tag == "br" else self.blocks.append("\n")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if self.skip:
+            self.skip -= tag in ("nav", "footer", "script", "style", "div")
+
+    def handle_data(self, data):
+        if self.inside > 0 and not self.skip:
+            self.blocks.append(data)
+
+
+def test_main_text_equals_a_plain_reader(spark, sf):
+    pages = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet")
+    differ = 0
+    for r in html.extract_pages(pages).join(pages.select("page_id", "html"), "page_id").collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        want = " ".join(" ".join(b.split()) for b in "".join(plain.blocks).split("\n") if b.split())
+        differ += r.text != want
+    assert differ == 0
+
+
 def test_main_text_of_a_table(spark):
     pages = frame(spark, [(1, "u", f"<article><p>{LONG}</p></article>"), (2, None, None), (None, "u", "<p>é</p>"), (2, "v", "<p>" + "word " * 50_000)], "page_id long, url string, html string")
     got = sorted((r.page_id or 0, r.n_chars, len(r.text)) for r in html.extract_pages(pages.withColumn("text", F.lit("clash"))).collect())
@@ -553,3 +653,27 @@ def test_license_scan(spark):
 def test_license_expressions(line, value, names):
     got = licenses.parse_expression(line)
     assert got[0] == pytest.approx(value) and got[1] == names
+
+
+def test_license_expressions_end_at_line_or_next_tag():
+    tag = "SPDX-License-Identifier:"
+    got = licenses.scan(f"é {tag} MIT or\n{tag} (Apache-2.0 and\tISC) x {tag}\n{tag} {tag} Zlib {tag} BSD-3-Clause with é", licenses.phrase_automaton())
+    assert got[5] == "apache-2.0,bsd-3-clause,isc,mit,zlib" and got[0] == 33
+
+
+@pytest.mark.parametrize("part", ["SPDX-License-Identifier: MIT\n", "SPDX-License-Identifier: MIT or ", "SPDX-License-Identifier: (", "all rights reserved "])
+def test_license_scan_of_very_many_tags_is_linear(part):
+    text = part * 100_000
+    start = time.perf_counter()
+    licenses.scan(text, licenses.phrase_automaton())
+    assert time.perf_counter() - start < 5
+    many = "".join(f"SPDX-License-Identifier: lic{k}-{k % 7}\n" for k in range(30_000))
+    start = time.perf_counter()
+    assert licenses.scan(many, licenses.phrase_automaton())[5].count(",") == 29_999
+    assert time.perf_counter() - start < 5
+
+
+def test_outermost_labels():
+    rng = random.Random(2)
+    labels = {"-".join(rng.choice("ab.c") for _ in range(rng.randrange(1, 4))) for _ in range(60)}
+    assert licenses.outermost(labels) == {x for x in labels if not any(y.startswith(f"{x}-") for y in labels)}
