@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vacantia.functions.keywords import first_exclusion, title_passes
 from vacantia.operators import queues
+from vacantia.operators.containment import contained, titles_passing, with_first_exclusion
 from vacantia.operators.dedup import first_wins_two_keys
-from vacantia.operators.matching import lifecycle_tables, with_lifecycle
+from vacantia.operators.matching import lifecycle_tables, resolve_keys, with_lifecycle
 from vacantia.operators.patches import COMPANY_DECISIONS, check_edits
 from vacantia.operators.registry import NEW, PRIOR, merge_snapshot
 from vacantia.operators.sequence import far_from_accepted, far_from_previous, status_changes
@@ -296,3 +298,81 @@ def test_one_day_is_numbered_by_several_tasks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert [r.n for r in sorted(got, key=lambda r: r.key)] == list(range(1, 4001))
     assert len({r.p for r in got}) > 1
+
+
+# ── search texts as tables ───────────────────────────────────────────────
+
+
+def some_names(rnd, n, alphabet="abcdeé日\U0001f600 "):
+    return ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 14))) for _ in range(n)]
+
+
+def test_contained_equals_brute_force(spark):
+    rnd = random.Random(11)
+    texts, needles = some_names(rnd, 300), some_names(rnd, 150) + ["a", "ab", "é", "日\U0001f600", " ", "zzz", "", None]
+    df = lambda rows: spark.createDataFrame([(x,) for x in [*rows, *rows[:9], None]], "x string")
+    got = contained(df(texts), df(needles)).collect()
+    want = {(t, n) for t in texts for n in needles if t and n and n in t}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    none = spark.createDataFrame([], "x string")
+    assert contained(none, df(needles)).count() == 0 and contained(df(texts), none).count() == 0
+
+
+def test_ten_thousand_keywords(spark):
+    """A third of all titles are one title; keywords that are parts of others, short, blank and repeated."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(3, 9))) for _ in range(3000)]
+    titles = [" ".join(rnd.choice(words) for _ in range(4)).title() for _ in range(600)] + ["Senior Engineer"] * 300 + [None, ""]
+    positive = [*(rnd.choice(words)[:6] for _ in range(10_000)), "engine", "  NIOR ", "x", " ", None]
+    negative = ["".join(rnd.choice("etaoinshr") for _ in range(4)) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    table = lambda words_: spark.createDataFrame([(w,) for w in words_], "w string")
+    clean = lambda words_: [w.lower().strip() for w in words_ if w and w.strip()]
+    pos, neg = clean(positive), clean(negative)
+    want = {i for i, t in enumerate(titles) if any(k in (t or "").lower() for k in pos) and not any(k in (t or "").lower() for k in neg)}
+    got = titles_passing(rows, "title", table(positive), table(negative))
+    assert got.columns == ["id", "title"] and {r.id for r in got.collect()} == want and 0 < len(want) < len(titles)
+    few = [*pos[:20], "engine"]
+    by_column = {r.id for r in rows.where(title_passes(F.col("title"), few, neg[:5])).collect()}
+    assert {r.id for r in titles_passing(rows, "title", table(few), table(neg[:5])).collect()} == by_column
+    assert titles_passing(rows, "title", table([]), None).count() == len(titles)
+    assert titles_passing(rows, "title", None, table([])).count() == len(titles)
+
+
+def test_first_exclusion_from_a_table(spark):
+    rnd = random.Random(13)
+    rows = spark.createDataFrame(
+        [(i, a or None, b, [c, None] if i % 3 else None) for i, (a, b, c) in enumerate(zip(*(some_names(rnd, 120) for _ in range(3)), strict=True))],
+        "id long, a string, b string, tags array<string>",
+    )
+    keywords = [x.upper() for x in some_names(rnd, 40)] + [" AB ", "ab", "é", "  "]
+    listed = spark.createDataFrame(list(enumerate(keywords)), "pos long, keyword string")
+    want = {r.id: r.hit for r in rows.select("id", first_exclusion(keywords, F.col("a"), F.col("b"), tags=F.col("tags")).alias("hit")).collect()}
+    got = {r.id: r.exclusion_matched for r in with_first_exclusion(rows, listed, ["a", "b"], "tags").collect()}
+    assert got == want and len({x for x in got.values() if x}) > 3
+
+
+def test_typed_texts_from_a_table(spark):
+    rnd = random.Random(14)
+    names = [f"{a} {b}" for a in ("Blue", "Red", "Old", "New") for b in ("Widget", "Gear", "Bolt")]
+    listings = [(f"l{k}", rnd.choice(names), rnd.choice(names), k) for k in range(60)] + [("l90", None, "Only Title", 90)]
+    applications = [(f"a{k}", rnd.choice([*names, "Acme Corp"]), rnd.choice([*names, None]), k) for k in range(40)]
+    typed = [*(n.lower()[rnd.randrange(4) : 4 + rnd.randrange(6)] for n in names * 8), "Acme", "only title", "l3", "a7", "GEAR OLD", " ", "https://WWW.x.org/a/?utm_x=1", "nothing"]
+    schema = "key string, company string, title string, ord long"
+
+    def brute(t):
+        if t.startswith("https"):
+            return "https://x.org/a"
+        if t in {a[0] for a in applications}:
+            return t
+        low = lambda x: (x or "").lower().strip()
+        for k, c, n, _ in listings:
+            if any(t.lower() in x for x in (low(c), low(n), f"{low(c)} {low(n)}")):
+                return k
+        return next((k for k, c, n, _ in applications if t.lower() in low(c) or t.lower() in low(n)), "")
+
+    asked = spark.createDataFrame([(t,) for t in typed], "text string")
+    got = {r.text: r.key for r in resolve_keys(asked, spark.createDataFrame(listings, schema), spark.createDataFrame(applications, schema), "ord").collect()}
+    assert got == {t.strip(): brute(t.strip()) for t in typed if t.strip()}
+    many = spark.range(100_000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    assert resolve_keys(many, spark.createDataFrame(listings, schema), spark.createDataFrame(applications, schema), "ord").where("key <> ''").count() == 0

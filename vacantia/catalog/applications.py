@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.applications import (
@@ -193,6 +196,30 @@ def free_text_keys(spark, sf):
     return resolve_keys(texts, listings, applications, "ord")
 
 
+@query(
+    "free_text_keys_table",
+    """WITH t AS (SELECT DISTINCT trim(x) AS text FROM (SELECT upper(substr(p_brand || ' ' || p_name, 4, 9)) AS x FROM part WHERE p_partkey % 3 = 0 UNION SELECT substr(c_name, 12) FROM customer WHERE c_custkey % 7 = 0 UNION SELECT 'p' || p_partkey FROM part WHERE p_size = 9
+ UNION SELECT 'https://www.x.org/jobs/' || s_suppkey || '/' FROM supplier) WHERE trim(x) <> ''),
+l AS (SELECT lower(p_brand) || ' ' || lower(p_name) AS n, min(p_partkey) AS k FROM part GROUP BY 1), a AS (SELECT lower(c_name) AS n, min(c_custkey) AS k FROM customer GROUP BY 1),
+li AS (SELECT text, min(k) AS k FROM t JOIN l ON contains(n, lower(text)) GROUP BY 1), ai AS (SELECT text, min(k) AS k FROM t JOIN a ON contains(n, lower(text)) GROUP BY 1)
+SELECT text, CASE WHEN text LIKE 'https://%' THEN 'https://x.org/jobs/' || split_part(text, '/', 5) WHEN text IN (SELECT 'p' || c_custkey FROM customer) THEN text ELSE coalesce('p' || li.k, 'p' || ai.k, '') END AS key
+ FROM t LEFT JOIN li USING (text) LEFT JOIN ai USING (text)""",
+)
+def free_text_keys_table(spark, sf):
+    """Typed texts that are rows of a table, as many as there are."""
+    part, customer = table(spark, sf, "part"), table(spark, sf, "customer")
+    number = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    listings = part.select(number("p_partkey").alias("key"), F.col("p_brand").alias("company"), F.col("p_name").alias("title"), F.col("p_partkey").alias("ord"))
+    applications = customer.select(number("c_custkey").alias("key"), F.col("c_name").alias("company"), F.lit("").alias("title"), F.col("c_custkey").alias("ord"))
+    typed = [
+        part.where("p_partkey % 3 = 0").select(F.upper(F.substring(F.concat_ws(" ", "p_brand", "p_name"), 4, 9)).alias("text")),
+        customer.where("c_custkey % 7 = 0").select(F.substring("c_name", F.lit(12), F.lit(99)).alias("text")),
+        part.where("p_size = 9").select(number("p_partkey").alias("text")),
+        table(spark, sf, "supplier").select(F.concat(F.lit("https://www.x.org/jobs/"), F.col("s_suppkey").cast("string"), F.lit("/")).alias("text")),
+    ]
+    return resolve_keys(reduce(DataFrame.unionByName, typed), listings, applications, "ord")
+
+
 # ── boards of companies ──────────────────────────────────────────────
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keywords import location_passes, title_passes
 from ..functions.urls import bare_host
-from ..operators.dedup import first_wins_two_keys, outcome_counts, scan_outcomes, seen_roles, seen_urls, unseen
+from ..operators.dedup import OUTCOMES, first_wins_two_keys, scan_outcomes, seen_roles, seen_urls, unseen
 from ..operators.patches import (
     LISTING_DECISIONS, apply_edits, check_edits, latest_values, merge_maps, merge_structs, patch_companies, upsert,
 )
@@ -15,6 +15,8 @@ from ..operators.registry import (
     register_companies, registry_counts, scan_to_listings,
 )
 from ..operators.sequence import far_from_accepted, far_from_previous, repost_signal, status_changes
+from ..session import shared_dir
+from ..sinks.counters import write_counted
 from .registry import query, table
 from .standins import COMPANIES_SQL, FACETS_SQL, STATUS_SQL, companies, event_status, facets
 from .urls import HOST
@@ -89,7 +91,9 @@ def scan_outcomes_query(spark, sf):
 
 @query("scan_outcome_counts", f"WITH {_OUTCOME_SQL} SELECT outcome, count(*) AS n FROM outcomes GROUP BY outcome")
 def scan_outcome_counts(spark, sf):
-    return outcome_counts(_outcomes(spark, sf))
+    """Counted by the job that writes the outcomes; nothing is read again."""
+    counts = write_counted(_outcomes(spark, sf), f"{shared_dir(spark, 'outcomes')}/rows", "outcome", OUTCOMES)
+    return spark.createDataFrame([(k, n) for k, n in counts.items() if n], "outcome string, n long")
 
 
 @query(

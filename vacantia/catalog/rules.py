@@ -11,6 +11,7 @@ from ..functions.liveness import history_status, liveness, route
 from ..functions.status import canonical_status, is_open, stage_chip
 from ..functions.text import norm_label
 from ..functions.urls import url_guard
+from ..operators.containment import titles_passing, with_first_exclusion
 from ..operators.feeds import answer_plan, counts_by, form_verdicts, unresolved_required
 from ..operators.patches import remember_answers
 from .registry import query, table
@@ -59,6 +60,41 @@ def exclusion_first_hit(spark, sf):
     return table(spark, sf, "documents").select("doc_id", hit.alias("matched"))
 
 
+_LISTED_SQL = """pos AS (SELECT DISTINCT lower(trim(substr(p_name, 1 + p_partkey % 5, 4))) AS k FROM part WHERE p_size > 40), neg AS (SELECT DISTINCT lower(trim(substr(p_name, 2, 3 + p_partkey % 4))) AS k FROM part WHERE p_size = 7),
+ names AS (SELECT DISTINCT lower(p_name) AS n FROM part)"""
+
+
+@query(
+    "keyword_table_filter",
+    f"""WITH {_LISTED_SQL} SELECT p_partkey, p_name FROM part WHERE lower(p_name) IN (SELECT n FROM names JOIN pos ON contains(n, k) AND k <> '')
+ AND lower(p_name) NOT IN (SELECT n FROM names JOIN neg ON contains(n, k) AND k <> '')""",
+)
+def keyword_table_filter(spark, sf):
+    """Keywords that are rows of a table, as many as there are."""
+    parts = table(spark, sf, "part")
+    number = F.col("p_partkey").cast("int")
+    positive = parts.where("p_size > 40").select(F.upper(F.substring("p_name", 1 + number % 5, F.lit(4))).alias("keyword"))
+    negative = parts.where("p_size = 7").select(F.substring("p_name", F.lit(2), 3 + number % 4).alias("keyword"))
+    return titles_passing(parts, "p_name", positive, negative).select("p_partkey", "p_name")
+
+
+@query(
+    "keyword_table_first_hit",
+    """WITH k AS (SELECT p_partkey AS pos, upper(substr(p_name, 3, 5)) AS keyword, lower(trim(substr(p_name, 3, 5))) AS needle FROM part WHERE p_size = 3
+ UNION ALL SELECT -1, ' brand#1 ', 'brand#1' UNION ALL SELECT 1000000 + c_custkey, c_mktsegment, lower(c_mktsegment) FROM customer WHERE c_custkey < 50),
+t AS (SELECT p_partkey, lower(p_name) AS t FROM part UNION SELECT p_partkey, lower(p_brand) FROM part WHERE p_size < 30 UNION SELECT p_partkey, lower(p_type) FROM part),
+h AS (SELECT p_partkey, arg_min(keyword, pos) AS matched FROM t JOIN k ON contains(t, needle) AND needle <> '' GROUP BY 1)
+SELECT p_partkey, matched FROM part LEFT JOIN h USING (p_partkey)""",
+)
+def keyword_table_first_hit(spark, sf):
+    parts = table(spark, sf, "part").withColumns({"brand": F.when(F.col("p_size") < 30, F.col("p_brand")), "tags": F.array("p_type", F.lit(None).cast("string"))})
+    own = parts.where("p_size = 3").select(F.col("p_partkey").cast("long").alias("pos"), F.upper(F.substring("p_name", 3, 5)).alias("keyword"))
+    segments = table(spark, sf, "customer").where("c_custkey < 50").select((F.col("c_custkey") + 1_000_000).cast("long").alias("pos"), F.col("c_mktsegment").alias("keyword"))
+    brand = own.sparkSession.createDataFrame([(-1, " brand#1 ")], "pos long, keyword string")
+    found = with_first_exclusion(parts, own.unionByName(segments).unionByName(brand), ["p_name", "brand"], "tags", "matched")
+    return found.select("p_partkey", "matched")
+
+
 @query("title_boost", "SELECT p_partkey, CASE WHEN contains(p_name, 'gear') OR contains(p_name, 'bolt') THEN 0.5e0 ELSE 0e0 END AS boost FROM part")
 def title_boost(spark, sf):
     return table(spark, sf, "part").select("p_partkey", boost(F.col("p_name"), ["Gear", "bolt"], 0.5).alias("boost"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .text import let, strip
 
+
 def clean_keywords(value) -> list[str]:
     """Config value → keywords: a scalar counts as one, non-strings and blanks are dropped."""
     if value is None:
@@ -31,20 +32,19 @@ def matches_any(text: Column, keywords: Sequence[str], word: bool = False) -> Co
 
 
 def _any_in(lowered: Column, keywords: Sequence[str], word: bool = False) -> Column:
+    """Lists from a configuration: one test for each keyword. Long lists are tables (operators/containment)."""
     if not keywords:
         return F.lit(False)
-    body = "|".join(re.escape(k) for k in keywords)
-    return lowered.rlike(rf"\b(?:{body})\b" if word else body)
+    if word:
+        return lowered.rlike(rf"\b(?:{'|'.join(re.escape(k) for k in keywords)})\b")
+    return reduce(lambda a, b: a | b, [lowered.contains(k) for k in keywords])
 
 
 def title_passes(title: Column, positive=(), negative=()) -> Column:
     """At least one positive keyword (if any are configured) and no negative one."""
     pos = [k.lower() for k in positive or ()]
     neg = [k.lower() for k in negative or ()]
-    # Titles are short: lower() per keyword costs less than leaving generated code for a lambda.
-    lowered = F.lower(F.coalesce(title, F.lit("")))
-    wanted = _any_in(lowered, pos) if pos else F.lit(True)
-    return wanted & ~_any_in(lowered, neg)
+    return let(F.lower(F.coalesce(title, F.lit(""))), lambda lowered: (_any_in(lowered, pos) if pos else F.lit(True)) & ~_any_in(lowered, neg))
 
 
 def location_passes(location: Column, always_allow=None, allow=None, block=None) -> Column:

@@ -44,10 +44,13 @@ def timeline_events(events: DataFrame, applications: DataFrame, ts: str, tie: st
 
 
 def upsert_applications(
-    applications: DataFrame, events: DataFrame, ts: str, tie: str, today: Column, chunk_seconds: int = DAY
+    applications: DataFrame, events: DataFrame, ts: str, tie: str, today: Column, chunk_seconds: int = DAY, highest: DataFrame | None = None
 ) -> DataFrame:
     """Applications after a batch of events, one row per key.
 
+    ``applications`` may be a part of the table that holds all keys of the events; then ``highest`` (one row, one
+    column) is the highest number of the whole table.
+
     Per key the events are folded in time order: last given value per column, recruiter merged field
     by field, status the last stated one, date_applied set once. New keys get the next tracker
     numbers in order of their first event. The timeline stays in its own table
@@ -66,7 +69,7 @@ def upsert_applications(
         *[F.col(c).alias(f"__n_{c}") for c in columns],
         F.struct(*[F.col(f"__r_{f}").alias(f) for f in RECRUITER]).alias("__n_recruiter"),
     )
-    start = applications.select(F.coalesce(F.max("tracker_num"), F.lit(0)).alias("__max"))
+    start = highest if highest is not None else applications.select(F.coalesce(F.max("tracker_num"), F.lit(0)).alias("__max"))
     fresh = folded.join(applications.select("key"), "key", "left_anti").select("key", "__first_ts")
     numbered = number_in_order(fresh, ["__first_ts", "key"], "__num")
     # One-row scalar: the highest number so far.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let, or_else, report_file, strip
 from ..functions.urls import board_and_slug, canonical_url, https_on_host, listing_id, slug_candidates, workday_parts
+from .containment import contained
 from .skew import lookup
 
 
@@ -167,33 +168,32 @@ def enabled_companies(companies: DataFrame, name_part: str | None = None) -> Dat
     return rows.where(F.lower("name").contains(name_part.lower())) if name_part else rows
 
 
-def resolve_keys(texts: Sequence[str], listings: DataFrame, applications: DataFrame, order: str) -> DataFrame:
+def resolve_keys(texts: Sequence[str] | DataFrame, listings: DataFrame, applications: DataFrame, order: str) -> DataFrame:
     """Listing key for each free text a person typed: URL, exact key, then a substring match.
 
-    One pass over each table with one conditional minimum per text and column, so the work grows
-    with the tables and not with the product of tables and texts.
+    ``texts`` is a list or a table with the one column ``text``; repeated and blank texts count once and never. A text is
+    looked for in company, title and both with a blank between; of several listings the first in ``order`` counts, and a
+    listing comes before an application. Names are indexed by stretches of characters (:func:`contained`), so the
+    work grows with the texts and the tables and not with their product.
     """
     spark = listings.sparkSession
-    wanted = [(i, t.strip()) for i, t in enumerate(texts) if t and t.strip()]
+    asked = texts if isinstance(texts, DataFrame) else spark.createDataFrame([(t,) for t in texts], "text string")
+    asked = asked.select(strip("text").alias("text")).where("text <> ''").distinct().withColumn("needle", F.lower("text"))
+    needles = asked.select("needle").distinct()
     company, title = (strip(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in ("company", "title"))
 
-    def firsts(df: DataFrame, conditions: dict[int, Column], name: str) -> DataFrame:
-        best = df.agg(*[F.min_by("key", F.when(c, F.col(order))).alias(f"k{i}") for i, c in conditions.items()])
-        rows = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias(name)) for i in conditions])
-        return best.select(F.inline(rows))
-
-    if not wanted:
-        return spark.createDataFrame([], "text string, key string")
-    needle = {i: t.lower() for i, t in wanted}
-    in_listing = firsts(
-        listings,
-        {i: company.contains(n) | title.contains(n) | F.concat_ws(" ", company, title).contains(n) for i, n in needle.items()},
-        "listing",
-    )
-    exact = firsts(applications, {i: F.col("key") == t for i, t in wanted}, "exact")
-    in_app = firsts(applications, {i: company.contains(n) | title.contains(n) for i, n in needle.items()}, "application")
-    asked = spark.createDataFrame(wanted, "i int, text string")
-    joined = asked.join(exact, "i", "left").join(in_listing, "i", "left").join(in_app, "i", "left")
+    def firsts(named: DataFrame, out: str) -> DataFrame:
+        """Per needle the key first in order among the names that hold it; a name stands for all its rows."""
+        row = F.min_by(F.struct(F.col(order).alias("o"), F.col("key").alias("k")), F.struct(order, "key"))
+        own = named.groupBy("name").agg(row.alias("first"))
+        hits = contained(named.select("name"), needles)
+        found = hits.join(own, F.col("text") == F.col("name")).groupBy("needle").agg(F.min("first").alias("first"))
+        return found.select("needle", F.col("first.k").alias(out))
+
+    both = listings.select(F.concat_ws(" ", company, title).alias("name"), "key", order)
+    apart = applications.select(F.explode(F.array(company, title)).alias("name"), "key", order)
+    exact = applications.select(F.col("key").alias("text")).distinct().withColumn("exact", F.col("text"))
+    joined = lookup(lookup(lookup(asked, exact, "text"), firsts(both, "listing"), "needle"), firsts(apart, "application"), "needle")
     key = F.when(F.col("text").rlike("(?i)^https?://"), canonical_url(F.col("text"))).otherwise(
         or_else(F.col("exact"), F.col("listing"), F.col("application"))
     )

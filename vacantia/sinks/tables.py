@@ -1,138 +1,99 @@
-"""Writing results: versioned snapshots, appended history, exports."""
+"""Writing results: tables by batch and by bucket, appended history, exports."""
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fields import field_kind
 from ..functions.text import join_present, strip
 
 
-class FolderLog:
-    """Numbered folders of a table and the log that says which of them count.
+BATCH, BUCKET = "batch", "bucket"
 
-    Data is written to a folder of its own; then the next log entry, a small file with all folders that
-    count from now on, is put in place by a rename. Readers use the last entry: they never see half-written
-    data, also when a number is written again, and a failed job changes nothing. There must be one writer
-    at a time.
-    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str) -> list[str]:
-        path = self._path(folder)
-        return sorted(f.getPath().getName() for f in self._fs.listStatus(path)) if self._fs.exists(path) else []
-
-    def _entries(self) -> list[str]:
-        return [n for n in self._names(f"{self.root}/_log") if n.isdigit()]
-
-    def folders(self) -> dict[int, str]:
-        """Number → folder name, as of the last entry."""
-        entries = self._entries()
-        if not entries:
-            return {}
-        stream = self._fs.open(self._path(f"{self.root}/_log/{entries[-1]}"))
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return {int(k): v for k, v in json.loads(text).items()}
-
-    def commit(self, folders: dict[int, str]) -> None:
-        entries = self._entries()
-        name = f"{int(entries[-1]) + 1 if entries else 0:010d}"
-        draft = self._path(f"{self.root}/_log/_draft-{uuid.uuid4().hex}")
-        out = self._fs.create(draft, True)
-        try:
-            out.write(bytearray(json.dumps(folders).encode()))
-        finally:
-            out.close()
-        if not self._fs.rename(draft, self._path(f"{self.root}/_log/{name}")):
-            raise RuntimeError(f"another writer changed {self.root}")
-
-    def put(self, df: DataFrame, number: int, drop: Sequence[int] = ()) -> None:
-        """Write rows as a number's new content; ``drop`` numbers stop counting with the same entry."""
-        folder = f"part={number}.{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{folder}")
-        self.commit({k: v for k, v in self.folders().items() if k not in drop} | {number: folder})
-
-    def read(self, numbers: Sequence[int]) -> DataFrame:
-        folders = self.folders()
-        return self.spark.read.parquet(*[f"{self.root}/{folders[n]}" for n in numbers])
-
-    def vacuum(self, keep: Sequence[int] | None = None) -> None:
-        """Remove folders and entries no longer in use; with ``keep``, other numbers stop counting first.
-
-        To be run when no reader still uses an earlier entry.
-        """
-        folders = self.folders()
-        if keep is not None and set(folders) - set(keep):
-            folders = {k: v for k, v in folders.items() if k in set(keep)}
-            self.commit(folders)
-        for name in self._names(self.root):
-            if name.startswith("part=") and name not in folders.values():
-                self._fs.delete(self._path(f"{self.root}/{name}"), True)
-        for name in self._names(f"{self.root}/_log")[:-1]:
-            self._fs.delete(self._path(f"{self.root}/_log/{name}"), False)
-
-
-class VersionedTable:
-    """A table rewritten as a whole: every version is a new folder, the log names the last one."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.log = FolderLog(spark, root)
-        self.root = self.log.root
-
-    def versions(self) -> list[int]:
-        return sorted(self.log.folders())
-
-    def read(self, version: int | None = None) -> DataFrame:
-        known = self.versions()
-        if not known:
-            raise FileNotFoundError(f"no version of {self.root} yet")
-        return self.log.read([version if version is not None else known[-1]])
-
-    def write(self, df: DataFrame, version: int | None = None) -> int:
-        """Write the next version (or a given one, so a repeated batch replaces itself)."""
-        known = self.versions()
-        number = version if version is not None else (known[-1] + 1 if known else 0)
-        self.log.put(df, number)
-        return number
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Remove all but the last versions and what failed jobs left behind."""
-        self.log.vacuum(self.versions()[-keep:])
+def with_column(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
 
 
 class BatchTable:
-    """A table that only grows: one folder per micro-batch, replaced when a batch runs again."""
+    """A table that only grows: a folder per micro-batch, replaced as a whole when a batch runs again.
+
+    Readers ask for the batches before their own, so they never see what a failed run of the present batch left.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.log = FolderLog(spark, root)
-        self.root = self.log.root
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        # The folder of "no batch yet" is empty: the table can be read before its first batch.
+        self.spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(f"{self.root}/{BATCH}=-1")
 
     def write(self, rows: DataFrame, batch: int) -> None:
-        self.log.put(rows, batch)
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """All rows, or those of earlier batches; null when there are none yet."""
-        wanted = [b for b in sorted(self.log.folders()) if before is None or b < before]
-        return self.log.read(wanted) if wanted else None
-
-    def compact(self, before: int) -> None:
-        """Put the many small folders of finished batches into one, under the number of the last of them."""
-        done = [b for b in sorted(self.log.folders()) if b < before]
-        if len(done) > 1:
-            self.log.put(self.log.read(done), done[-1], drop=done[:-1])
-            self.log.vacuum()
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.root}/{BATCH}={batch}")
+
+    def read(self, before: int | None = None, since: int | None = None) -> DataFrame:
+        """Rows with the number of their batch; of all batches or of those in ``[since, before)``."""
+        rows = self.spark.read.schema(with_column(self.schema, BATCH, T.LongType())).parquet(self.root)
+        if before is not None:
+            rows = rows.where(F.col(BATCH) < before)
+        return rows if since is None else rows.where(F.col(BATCH) >= since)
+
+    def compacted(self, root: str, before: int) -> BatchTable:
+        """A new table in which the many small folders of the batches before ``before`` are one; later ones stay apart."""
+        out = BatchTable(self.spark, root, self.schema)
+        out.write(self.read(before), before - 1)
+        for (batch,) in self.read(since=before).select(BATCH).distinct().collect():
+            out.write(self.read(batch + 1, batch), batch)
+        return out
+
+
+class BucketTable:
+    """A table of one row per key in hash buckets of a column, of which a change rewrites only those it touches.
+
+    Partitions are replaced when a job commits, and only those that get rows. A bucket always holds one row that is
+    all null, so that a bucket left without rows is written too; readers don't see these rows. There must be one writer
+    at a time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str, by: str, schema: T.StructType, buckets: int = 64):
+        self.spark, self.root, self.key, self.by, self.buckets = spark, root.rstrip("/"), key, by, buckets
+        self.schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+        self._every = [(b,) for b in range(buckets)]
+
+    def bucket_of(self, column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+
+    def create(self, rows: DataFrame) -> None:
+        """Write the first content of a table that is not there yet; nothing happens to one that is."""
+        self._put(rows, self.spark.createDataFrame(self._every, f"{BUCKET} int"), "ignore")
+
+    def read(self, buckets: DataFrame | Sequence[int] | None = None) -> DataFrame:
+        """All rows with their bucket, or those of some buckets (only their files are read)."""
+        rows = self.spark.read.schema(with_column(self.schema, BUCKET, T.IntegerType())).parquet(self.root)
+        if buckets is not None:
+            rows = rows.where(F.col(BUCKET).isin(list(buckets)))
+        return rows.where(F.col(self.key).isNotNull())
+
+    def touched(self, keys: DataFrame, values: DataFrame | None = None) -> list[int]:
+        """The buckets that hold any of the keys now, and those of the values; at most as many numbers as buckets."""
+        held = self.read().select(F.col(self.key).alias("k"), BUCKET).join(keys.toDF("k"), "k", "left_semi").select(BUCKET)
+        if values is not None:
+            held = held.unionByName(values.toDF("v").select(self.bucket_of(F.col("v")).alias(BUCKET)))
+        return sorted(r[0] for r in held.distinct().collect())
+
+    def replace(self, rows: DataFrame, buckets: Sequence[int]) -> None:
+        """Put ``rows`` as the whole content of ``buckets``; the files of the other buckets stay as they are."""
+        if buckets:
+            self._put(rows, self.spark.createDataFrame([(b,) for b in buckets], f"{BUCKET} int"), "overwrite")
+
+    def _put(self, rows: DataFrame, buckets: DataFrame, mode: str) -> None:
+        marks = buckets.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema], BUCKET)
+        whole = rows.select(*self.schema.names).withColumn(BUCKET, self.bucket_of(F.col(self.by))).unionByName(marks)
+        # Buckets are put together before writing; one with very many rows is cut by adaptive execution.
+        dealt = whole.hint("rebalance", F.col(BUCKET))
+        dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.root)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..operators.applications import open_per_company
+from ..functions.status import is_open
 from ..operators.dedup import scan_outcomes
 from ..operators.registry import refresh_listings
-from ..sinks.tables import BatchTable, VersionedTable
+from ..session import cut_lineage
+from ..sinks.tables import BATCH, BUCKET, BatchTable, BucketTable, with_column
 
 
 def scan_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "json", files_per_trigger: int | None = None, **options) -> DataFrame:
@@ -37,108 +39,173 @@ def run_batches(rows: DataFrame, step: Callable[[DataFrame, int], None], checkpo
 def ingest(
     listings: DataFrame, history: BatchTable, roles: DataFrame, title_ok: Column, location_ok: Column,
     url: str, company: str, role: str, order: str, checkpoint: str, pending: BatchTable | None = None, trigger: dict | None = None,
+    keep_batches: int | None = None,
 ) -> StreamingQuery:
     """Tag every new listing with its outcome and add it to the history; what was added is also pending work.
 
-    A batch looks only at the history of the batches before it and writes its own folder, so a batch
-    that is run again after a failure replaces itself with the same rows. Of the history only the URLs
-    that the batch brings are looked at.
+    A listing that was added takes its URL and its (company, role), for its own batch and for all that follow, so the
+    result doesn't depend on how listings are dealt out to files as long as files come in ``order``. Other outcomes take
+    nothing. A batch looks only at the history of the batches before it and writes its own folder, so a batch that is
+    run again after a failure replaces itself with the same rows. Of the history only the keys that the batch brings are
+    looked at, and with ``keep_batches`` only those of so many last batches.
     """
-    spark = listings.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        known = history.read(before=batch_id)
-        urls = spark.createDataFrame([], "url string") if known is None else known.select(F.col(url).alias("url"))
-        asked = batch.select(F.col(url).alias("url")).where("url IS NOT NULL").distinct()
-        seen = urls.join(asked, "url", "left_semi").distinct()
-        history.write(scan_outcomes(batch, title_ok, location_ok, seen, roles, url, company, role, order), batch_id)
+        since = None if keep_batches is None else batch_id - keep_batches
+        taken = history.read(batch_id, since).where("outcome = 'added'")
+        urls = taken.select(F.col(url).alias("url")).where("url IS NOT NULL")
+        seen = urls.join(batch.select(F.col(url).alias("url")).distinct(), "url", "left_semi").distinct()
+        pair = [F.lower(F.col(company)).alias("company_lc"), F.lower(F.col(role)).alias("role_lc")]
+        asked = batch.select(*pair).distinct()
+        known = roles.select("company_lc", "role_lc").unionByName(taken.select(*pair))
+        known = known.join(asked, ["company_lc", "role_lc"], "left_semi").distinct()
+        history.write(scan_outcomes(batch, title_ok, location_ok, seen, known, url, company, role, order), batch_id)
         if pending is not None:
-            pending.write(history.log.read([batch_id]).where("outcome = 'added'").select(url, company, role), batch_id)
+            pending.write(history.read(batch_id + 1, batch_id).where("outcome = 'added'").select(url, company, role), batch_id)
 
     return run_batches(listings, step, checkpoint, trigger)
 
 
+def outcome_schema(listings: DataFrame) -> StructType:
+    """Columns of the history that :func:`ingest` writes."""
+    return with_column(StructType(listings.schema.fields), "outcome", StringType())
+
+
 def refresh_stream(
-    scans: DataFrame, scan: str, meta: DataFrame, arrived: BatchTable, registry: VersionedTable, prior: DataFrame,
+    scans: DataFrame, scan: str, meta: DataFrame, arrived: str, registry: BucketTable,
     to_listings: Callable[[DataFrame], DataFrame], scan_date: Column, checkpoint: str,
     scanned_groups: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Merge scans into the registry, one version per scan, each as soon as all of it is there.
+    """Merge scans into the registry, each as soon as all of it is there, rewriting only the buckets it touches.
 
     A scan may be many files in many micro-batches, and a micro-batch may hold parts of several scans.
     ``scan`` names the column with the scan's id; ``meta`` (scan, n_rows) is what each scan's own record
-    states. Rows wait in ``arrived`` until their scan is complete, so nothing expires because a file is
-    still missing. The ids of the scans that a batch completes are few: they go through the driver.
+    states. Rows wait in the folder ``arrived``, by scan and batch, until their scan is complete, so nothing expires
+    because a file is still missing. A batch only looks at the scans it brings rows of; their ids are few and go through
+    the driver. Which scans are merged is recorded one by one: a batch that runs again goes on after the last one, and
+    merging the same scan twice changes nothing. Rows without a scan's id belong to no scan and stay where they are.
     """
+    spark = scans.sparkSession
+    rows_schema = StructType(scans.schema.fields)
+    waiting_schema = with_column(with_column(StructType([f for f in rows_schema if f.name != scan]), scan, StringType()), BATCH, LongType())
+    merged = BatchTable(spark, f"{arrived.rstrip('/')}-merged", StructType([StructField("scan", StringType())]))
 
-    def complete(before: int) -> set:
-        rows = arrived.read(before)
-        if rows is None:
-            return set()
-        have = rows.groupBy(scan).agg(F.count(F.lit(1)).alias("__have"))
-        full = have.join(meta.select(F.col("scan").alias(scan), "n_rows"), scan).where(F.col("__have") >= F.col("n_rows"))
-        return {r[0] for r in full.select(scan).collect()}
+    def waiting() -> DataFrame:
+        return spark.read.schema(waiting_schema).parquet(arrived)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        arrived.write(batch, batch_id)
-        for k, done in enumerate(sorted(complete(batch_id + 1) - complete(batch_id))):
-            version = batch_id * 1_000_000 + k
-            earlier = [v for v in registry.versions() if v < version]
-            before = registry.read(earlier[-1]) if earlier else prior
-            rows = arrived.read(batch_id + 1).where(F.col(scan) == F.lit(done)).drop(scan)
-            groups = scanned_groups(rows) if scanned_groups else None
-            registry.write(refresh_listings(to_listings(rows), before, scan_date, groups), version)
+        tagged = batch.withColumn(BATCH, F.lit(batch_id).cast("long"))
+        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(scan, BATCH).parquet(arrived)
+        present = waiting().where(F.col(BATCH) == batch_id).select(scan).where(F.col(scan).isNotNull())
+        ids = [r[0] for r in present.distinct().collect()]
+        if not ids:
+            return
+        have = waiting().where(F.col(scan).isin(ids) & (F.col(BATCH) <= batch_id)).groupBy(scan).agg(
+            F.count(F.lit(1)).alias("now"), F.count(F.when(F.col(BATCH) < batch_id, 1)).alias("before")
+        )
+        full = have.join(meta.select(F.col("scan").alias(scan), "n_rows"), scan).where("now >= n_rows AND before < n_rows")
+        done = [r[0] for r in merged.read(batch_id + 1, batch_id).collect()]
+        for k in sorted(r[0] for r in full.select(scan).collect()):
+            if k in done:
+                continue
+            rows = waiting().where((F.col(scan) == k) & (F.col(BATCH) <= batch_id)).drop(scan, BATCH)
+            merge_scan(registry, to_listings(rows), scan_date, scanned_groups(rows) if scanned_groups else None)
+            done.append(k)
+            merged.write(spark.createDataFrame([(x,) for x in done], "scan string"), batch_id)
 
     return run_batches(scans, step, checkpoint, trigger)
 
 
-def status_stream(
-    changes: DataFrame, statuses: BatchTable, key: str, group: str, ts: Sequence[str], checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """Per micro-batch the last status of every application it touches."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy(key).agg(F.max_by(F.struct(group, "status", *ts), F.struct(*ts)).alias("r"))
-        statuses.write(last.select(key, "r.*"), batch_id)
-
-    return run_batches(changes, step, checkpoint, trigger)
-
+def merge_scan(registry: BucketTable, listings: DataFrame, scan_date: Column, scanned_groups: DataFrame | None = None) -> list[int]:
+    """Merge one scan into the registry; the buckets that were rewritten.
 
-def open_count_stream(
-    changes: DataFrame, statuses: BatchTable, counts: BatchTable, key: str, group: str, ts: Sequence[str], checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """As :func:`status_stream`, and per micro-batch the new open counts of the groups it touches.
-
-    A group is touched when one of its applications is in the batch, or was in it before the batch moved
-    it elsewhere. ``counts`` gets a row per touched group and batch; the last one is the group's count.
+    These are the buckets of the scanned groups and those in which listings of the scan are now, for a listing that moves
+    to another group.
     """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        position = F.struct(*ts)
-        last = batch.groupBy(key).agg(F.max_by(F.struct(group, "status", *ts), position).alias("r")).select(key, "r.*")
-        statuses.write(last, batch_id)
-        rows = statuses.read(batch_id + 1)
-        own = rows.join(batch.select(key).distinct(), key, "left_semi").select(group).distinct()
-        candidates = rows.join(own, group, "left_semi").select(key).distinct()
-        now = rows.join(candidates, key, "left_semi").groupBy(key).agg(F.max_by(F.struct(group, "status"), position).alias("r")).select(key, "r.*")
-        fresh = open_per_company(now, group)
-        touched = own.join(fresh, group, "left").select(group, F.coalesce("open_count", F.lit(0)).cast("long").alias("open_count"), F.lit(batch_id).alias("batch"))
-        counts.write(touched, batch_id)
-
-    return run_batches(changes, step, checkpoint, trigger)
-
-
-def latest_counts(counts: BatchTable, group: str) -> DataFrame:
-    """The open counts of all groups that have any, from the rows of :func:`open_count_stream`."""
-    last = counts.read().groupBy(group).agg(F.max_by("open_count", "batch").alias("open_count"))
+    listings = cut_lineage(listings)  # read once to find the buckets and once to merge
+    groups = listings.select("company_key").distinct()
+    if scanned_groups is not None:
+        groups = groups.unionByName(scanned_groups.toDF("company_key"))
+    buckets = registry.touched(listings.select("key"), groups)
+    prior = registry.read(buckets).drop(BUCKET)
+    registry.replace(refresh_listings(listings, prior, scan_date, scanned_groups), buckets)
+    return buckets
+
+
+# ── open applications per company ────────────────────────────────────────
+
+
+class _OpenChanges(StatefulProcessor):
+    """Per application: its company, whether it is open and its position; emits +1 and -1 when that changes."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "group string, open boolean, us long, tie long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.last.get() if self.last.exists() else None
+        best = known
+        for pdf in rows:
+            newest = pdf.sort_values(["us", "tie"], kind="stable").iloc[-1]
+            if best is None or (newest.us, newest.tie) >= (best[2], best[3]):
+                best = (None if pd.isna(newest.group) else newest.group, bool(newest.open), int(newest.us), int(newest.tie))
+        if best is None or best == known:
+            return
+        self.last.update(best)
+        before = known[0] if known is not None and known[1] else None
+        after = best[0] if best[1] else None
+        moves = [(g, d) for g, d in ((before, -1), (after, 1)) if g is not None] if before != after else []
+        # A change that leaves the count as it is still touches its company.
+        if not moves and best[0] is not None:
+            moves = [(best[0], 0)]
+        if moves:
+            yield pd.DataFrame(moves, columns=["group", "delta"])
+
+    def close(self) -> None:
+        pass
+
+
+class _OpenCounts(StatefulProcessor):
+    """Per company: the number of open applications; emits it with its version whenever it is touched."""
+
+    def init(self, handle) -> None:
+        self.count = handle.getValueState("count", "n long, version long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, version = self.count.get() if self.count.exists() else (0, 0)
+        n += sum(int(pdf["delta"].sum()) for pdf in rows)
+        self.count.update((n, version + 1))
+        yield pd.DataFrame([(key[0], n, version + 1)], columns=["group", "open_count", "version"])
+
+    def close(self) -> None:
+        pass
+
+
+def open_count_changes(changes: DataFrame, key: str, group: str, ts: str, tie: str) -> DataFrame:
+    """Stream of status changes → the open count of every company a micro-batch touches (group, open_count, version).
+
+    A closed application frees its slot and a moved one changes companies, so the state holds the last status of each
+    application and the count of each company: a batch costs what it brings, whatever the age of the stream. Events may
+    come in any order; of an application the one latest in (``ts``, ``tie``) counts, one without a time before all others.
+    Events without an application are left out, and applications without a company count nowhere. The state store has
+    to be RocksDB (:func:`rocksdb_state`).
+    """
+    events = changes.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("key"), F.nullif(F.col(group).cast("string"), F.lit("")).alias("group"), is_open(F.col("status")).alias("open"),
+        F.coalesce(F.unix_micros(F.col(ts)), F.lit(-(2**62))).alias("us"), F.col(tie).cast("long").alias("tie"),
+    )
+    moved = events.groupBy("key").transformWithStateInPandas(_OpenChanges(), "group string, delta long", "append", "none")
+    return moved.groupBy("group").transformWithStateInPandas(_OpenCounts(), "group string, open_count long, version long", "append", "none").select(
+        F.col("group").alias(group), "open_count", "version"
+    )
+
+
+def latest_counts(changes: DataFrame, group: str) -> DataFrame:
+    """The open counts of all companies that have any, from the rows of :func:`open_count_changes`."""
+    last = changes.groupBy(group).agg(F.max_by("open_count", "version").alias("open_count"))
     return last.where("open_count > 0")
 
 
-def open_counts(statuses: BatchTable, key: str, group: str, ts: Sequence[str]) -> DataFrame:
-    """Open applications per company now.
-
-    A closed application frees its slot, so counts come from the current status of each application
-    and are not added up from the stream.
-    """
-    now = statuses.read().groupBy(key).agg(F.max_by(F.struct(group, "status"), F.struct(*ts)).alias("r"))
-    return open_per_company(now.select(key, "r.*"), group)
+def open_counts(spark: SparkSession, checkpoint: str, group: str) -> DataFrame:
+    """The same from the state of the last batch of :func:`open_count_changes`."""
+    state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "count").load(checkpoint)
+    return state.where("value.n > 0").select(F.col("key.group").alias(group), F.col("value.n").alias("open_count"))
