@@ -21,7 +21,8 @@ import json
 import re
 import unicodedata
 import uuid
-from collections.abc import Iterable
+from array import array
+from collections.abc import Callable, Iterable
 from itertools import chain
 
 import ahocorasick
@@ -65,6 +66,25 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class Remembered(dict):
+    """Results of a function by its argument: those asked for last, in two generations of ``KNOWN_PIECES``."""
+
+    def __init__(self, of: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.of, self.earlier = of, {}
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        found = self.earlier.get(key)
+        if found is None:
+            found = self.of(key)
+        if len(key) <= PIECE_CHARS:
+            if len(self) >= KNOWN_PIECES:
+                self.earlier = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class PrefixBpe:
     """Encoder of a tokenizer file whose model is BPE; what it can't express is refused."""
 
@@ -94,8 +114,7 @@ class PrefixBpe:
         self.text_of = {i: t for t, i in chain(self.vocab.items(), self.added)}
         self._trees(model["merges"])
         self._automaton()
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.earlier: dict[str, tuple[int, ...]] = {}
+        self.words, self.pieces = Remembered(self.encode_word), Remembered(self.encode_piece)
         self.pairs: dict[int, bool] = {}
 
     def _trees(self, merges: list) -> None:
@@ -153,6 +172,7 @@ class PrefixBpe:
         return fits
 
     def _automaton(self) -> None:
+        self.whole = {symbols: i for i, symbols in self.symbols.items()}
         self.suffixes = ahocorasick.Automaton()
         for i, symbols in self.symbols.items():
             # The symbols of a token, so that the offset of a match's last symbol tells where it starts.
@@ -162,6 +182,9 @@ class PrefixBpe:
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece: the unique last token of each prefix, then back from the end."""
         symbols = piece + self.last if self.end else piece
+        whole = self.whole.get(symbols)
+        if whole is not None:
+            return (whole,)  # a token is the last one of its own text
         size = len(symbols)
         token = [-1] * (size + 1)
         start = [0] * (size + 1)
@@ -189,35 +212,18 @@ class PrefixBpe:
             at = start[at]
         return tuple(reversed(out))
 
-    def _known(self, key: str, piece: str) -> tuple[int, ...]:
-        """Ids of a piece (in letters that stand for bytes) met as ``key``; the pieces met last are kept."""
-        ids = self.earlier.get(key)
-        if ids is None:
-            ids = self.encode_piece(piece)
-        if len(key) <= PIECE_CHARS:
-            if len(self.known) >= KNOWN_PIECES:
-                self.earlier, self.known = self.known, {}
-            self.known[key] = ids
-        return ids
+    def encode_word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word as it stands in a text; visible ASCII letters stand for themselves."""
+        if word.isascii() and word.isprintable():
+            return self.encode_piece(word)
+        letters = self.letters
+        return self.encode_piece("".join([letters[b] for b in word.encode()]))
 
     def _plain(self, text: str, out: list[int]) -> None:
-        known = self.known.get
         if self.latin is not None and (text.isascii() or not _BEYOND.search(text)):
-            letters = self.letters
-            for word in self.latin.findall(text.lower()):
-                # Own letters come after a mark, as a piece of the library's is in letters that stand for bytes.
-                ids = known(word) if word.isascii() else known(f" {word}")
-                if ids is None:
-                    ids = self._known(word if word.isascii() else f" {word}", "".join([letters[b] for b in word.encode()]))
-                    known = self.known.get
-                out += ids
-            return
-        for piece, _ in self.split(self.normalize(text)):
-            ids = known(piece)
-            if ids is None:
-                ids = self._known(piece, piece)
-                known = self.known.get
-            out += ids
+            out.extend(chain.from_iterable(map(self.words.__getitem__, self.latin.findall(text.lower()))))
+        else:
+            out.extend(chain.from_iterable([self.pieces[piece] for piece, _ in self.split(self.normalize(text))]))
 
     def encode(self, text: str, out: list[int] | None = None) -> list[int]:
         """Ids of a text, added to ``out``; added tokens are found in the text as it stands, what lies between is encoded."""
@@ -234,7 +240,10 @@ class PrefixBpe:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens of the ids, separated by a space each; unknown ids are left out."""
-        return " ".join([t for i in ids if (t := self.text_of.get(i)) is not None])
+        try:
+            return " ".join(map(self.text_of.__getitem__, ids))
+        except KeyError:
+            return " ".join([t for i in ids if (t := self.text_of.get(i)) is not None])
 
 
 _LOADED: dict[str, PrefixBpe] = {}
@@ -267,10 +276,10 @@ class Codec:
                 bpe.encode(text.as_py(), flat)
                 sizes.append(len(flat) - before)
                 if len(flat) >= IDS_HELD:
-                    full.append(np.array(flat, np.int32))
+                    full.append(np.array(array("i", flat)))
                     flat.clear()
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*full, np.array(flat, np.int32)])))
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*full, np.array(array("i", flat), np.int32)])))
 
         @F.arrow_udf("string")
         def decoded(ids: pa.Array) -> pa.Array:
