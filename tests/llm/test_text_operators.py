@@ -112,6 +112,46 @@ def test_label_model_finds_good_voters():
     assert ((post > 0.5) == y).mean() > 0.85
 
 
+def test_label_model_learns_from_rows_without_a_label():
+    """Rows without gold are decided by the voters, better with gold on the other rows than with none at all."""
+    rng = np.random.default_rng(1)
+    n = 6000
+    y = rng.random(n) < 0.3
+    flip = lambda p: np.where(rng.random(n) < p, ~y, y).astype(np.int8)
+    voters = [flip(0.15), flip(0.2), flip(0.25), flip(0.45)]
+    free = np.arange(n) % 2 == 0
+    gold = np.where(free, -1, y).astype(np.int8)
+    right = lambda g: (((toxicity.label_model(np.stack([*voters, g], axis=1))) > 0.5) == y)
+    half, full, none = right(gold), right(y.astype(np.int8)), right(np.full(n, -1, np.int8))
+    assert full.mean() > 0.97 and half[~free].mean() > 0.97
+    best_single = max((v == y)[free].mean() for v in voters)
+    assert half[free].mean() > best_single - 0.01 and half[free].mean() >= none[free].mean() - 0.01
+
+
+def test_unlabelled_documents_teach_the_classifier(spark):
+    """A word that only stands in unlabelled documents, next to known abuse, gets a weight."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        words = sentence(rng, 30).split() + (["idiot", "moron"] if bad else [])
+        if i >= 300 and bad:
+            words.append("you are stupid")
+        rows.append((i, " ".join(words), "", "", 0))
+        if i < 300:
+            labels.append((i, 1, int(bad)))
+    docs, given = frame(spark, rows), frame(spark, labels, "doc_id long, quality int, toxic int")
+    free = toxicity.unlabelled_of(docs, given, 10_000).collect()
+    assert {r.doc_id for r in free} == {i for i in range(300, 900) if zlib.crc32(str(i).encode()) % 5}
+    assert 0 < toxicity.unlabelled_of(docs, given, 100).count() < 200
+    with_free = toxicity.fit(docs, given)
+    without = toxicity.fit(docs, given, unlabelled=0)
+    pattern = len(with_free.terms) + list(toxicity.PATTERNS).index("you_are")
+    assert with_free.weights[pattern] > without.weights[pattern] == 0
+    odd_docs = docs.unionByName(frame(spark, [(5, None, "", "", 0), (5, "", "", "", 0), (None, None, "", "", 0)] * 2)).withColumn("toxic", F.lit("clash")).withColumn("family", F.lit(1))
+    assert toxicity.toxicity(odd_docs, given).count() == 906
+
+
 # --- suffix arrays -------------------------------------------------------------------------------------------------
 
 
@@ -187,7 +227,7 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = [(i, shingles(t)) for i, t in rows]
     parent = {i: i for i, _ in sets}
 
@@ -198,7 +238,7 @@ def brute_components(rows):
 
     for k, (i, s) in enumerate(sets):
         for j, t in sets[:k]:
-            if s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(s), find(i), find(i) == i) for i, s in sets}

@@ -40,7 +40,7 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert all(r.n_chars == len(r.text) for r in shorter.collect())
 
     single = steps["near_dedup"](spark, shorter, sf)
-    parts = brute_components(sorted((r.doc_id, r.text) for r in shorter.collect()))
+    parts = brute_components(sorted((r.doc_id, r.text) for r in shorter.collect()), corpus_pipeline.NEAR_PERCENT)
     assert single.columns == columns and set(rows(single)) == {i for i, (_, _, kept) in parts.items() if kept}
 
     clean = steps["benchmark_decontamination"](spark, single, sf)

@@ -3,12 +3,14 @@
 * Terms: of a bounded sample of labelled documents, words and word beginnings are counted by label, and the terms that
   tell most are kept. Of documents that share the smallest of their three-word shingles, likely copies, one counts. With the fixed lexicons and patterns below they make up the voters: a voter says
   toxic where one of its terms stands in the text, clean where none does (and abstains on texts without words).
-* Label model: two classes, each voter with its own rates per class, the given labels being one more voter. Rates and
-  posteriors are fitted by expectation maximisation; voters that agree beyond what the class explains share their weight.
-* Classifier: a logistic regression over the terms and patterns present in a text, fitted to the posterior labels. It
+* Label model: two classes, each voter with its own rates per class, the given labels being one more voter, which
+  abstains on a sample of documents without a label. Rates and posteriors are fitted on both by expectation maximisation;
+  voters that agree beyond what the class explains share their weight.
+* Classifier: a logistic regression over the terms and patterns present in a text, fitted to the posterior labels of all
+  of these documents, labelled or not. It
   scores every whole text, one pass, by the distinct terms in it. Scores use nothing but the text.
 
-``sample`` bounds the labelled documents used for fitting, ``n_terms`` the terms kept; both are chosen by hash and by
+``sample`` bounds the labelled documents used for fitting, ``unlabelled`` those without a label, ``n_terms`` the terms kept; all are chosen by hash and by
 weight, alike at every size. Statistics that need no label are not taken from a sample.
 
 Null and empty texts have no terms and get the score of the intercept. Labels that are null, contradict each other, or
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from vacantia.llm.common import filled, staged
 
 SAMPLE = 40_000
+UNLABELLED = 20_000
 N_TERMS = 4_000
 LEAST_DOCS = 6  # toxic documents a learned term must stand in
 HELD_OUT = 5
@@ -92,16 +95,27 @@ def family_of(texts: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def chosen(rows: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` rows by hash of their doc_id; all of them if there are no more."""
+    n = rows.count()
+    return rows if n <= sample else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
+
+
 def sample_of(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """``doc_id, text, toxic`` of about ``sample`` labelled documents outside the held-out fold, chosen by hash of the id."""
     usable = labels.where("doc_id is not null and toxic is not null").where(~is_held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("top")).where("toxic = top").select("doc_id", "toxic")
-    n = one.count()
-    part = one if n <= sample else one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
-    found = docs.select("doc_id", filled("text").alias("text")).join(part, "doc_id")
+    found = docs.select("doc_id", filled("text").alias("text")).join(chosen(one, sample), "doc_id")
     return found.withColumn("family", F.pandas_udf(family_of, "string")("text"))
 
 
+def unlabelled_of(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """``doc_id, text`` of about ``sample`` documents outside the held-out fold that no label speaks of."""
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).distinct()
+    free = ids.join(labels.select("doc_id"), "doc_id", "left_anti")
+    return docs.select("doc_id", filled("text").alias("text")).join(chosen(free, sample), "doc_id")
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = Counter(), Counter()
 
@@ -122,7 +136,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def telling_terms(labelled: DataFrame, n_terms: int) -> list[tuple[str, int, int]]:
     """The terms whose presence speaks most for toxic: term, clean and toxic documents."""
-    labelled = labelled.dropDuplicates(["family", "toxic"])
+    # Of a family the text that comes first in order of its characters: a rerun takes the same one.
+    labelled = labelled.groupBy("family", "toxic").agg(F.min("text").alias("text"))
     totals = labelled.agg(F.count(F.when(F.col("toxic") == 0, 1)).alias("clean"), F.count(F.when(F.col("toxic") != 0, 1)).alias("toxic")).first()
     if not totals["clean"] or not totals["toxic"]:
         return []
@@ -167,7 +182,7 @@ def label_model(votes: np.ndarray, rounds: int = 50) -> np.ndarray:
 
     Correlations: voters whose votes go together within a class, as far as the rates explain, share one weight.
     """
-    n, m = votes.shape
+    m = votes.shape[1]
     given = votes[:, -1]
     yes, no = votes == 1, votes == 0
     share_of_yes = yes.sum(1) / np.maximum((yes | no).sum(1), 1)
@@ -213,7 +228,7 @@ def logistic(rows: list[list[int]], width: int, post: np.ndarray, ridge: float =
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_terms: int = N_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_terms: int = N_TERMS, unlabelled: int = UNLABELLED) -> Model:
     labelled = staged(sample_of(docs, labels, sample), "toxic-sample")
     learned = [t for t, _, _ in telling_terms(labelled, n_terms)]
     words = dict.fromkeys([w for x in LEXICONS.values() for w in x.split()] + learned)
@@ -224,16 +239,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_terms: int =
         known = shared.value
         return pd.Series([present(t, known) + [len(known) + k for k in patterns_in(t)] + ([] if _WORD.search(t) else [-1]) for t in texts])
 
-    got = labelled.select("doc_id", "toxic", F.pandas_udf(found, "array<int>")("text").alias("at")).collect()  # about ``sample`` short lists
+    others = unlabelled_of(docs, labels, unlabelled).withColumn("toxic", F.lit(None).cast(labelled.schema["toxic"].dataType))
+    both = labelled.select("doc_id", "toxic", "text").unionByName(others)
+    # Rows of one document that see the same terms are one: a document repeated very often is one short list.
+    seen = both.select("doc_id", "toxic", F.pandas_udf(found, "array<int>")("text").alias("at"))
+    got = seen.distinct().collect()  # about ``sample + unlabelled`` short lists
     voters = voters_of(terms, learned)
     width = len(terms) + len(PATTERNS)
     where: dict[int, list[int]] = {}
     for v, members in enumerate(voters):
         for t in sorted(members):
             where.setdefault(t, []).append(v)
-    got.sort(key=lambda r: r["doc_id"])
-    given = [1 if r["toxic"] else 0 for r in got]
-    if len(set(given)) < 2:  # nothing to learn from: any word of a fixed lexicon counts
+    got.sort(key=lambda r: (r["doc_id"], r["at"]))
+    given = [-1 if r["toxic"] is None else 1 if r["toxic"] else 0 for r in got]
+    if not {0, 1} <= set(given):  # nothing to learn from: any word of a fixed lexicon counts
         weights = np.zeros(width + len(voters))
         weights[width : width + len(LEXICONS)] = 4.0
         return Model(terms, weights, -2.0, where)
