@@ -15,6 +15,7 @@ from ..operators.matching import (
     PROVIDER_ORDER, enabled_companies, lifecycle_tables, match_submissions, resolve_by_name, resolve_by_url, resolve_keys,
     route_companies, with_lifecycle,
 )
+from ..sinks.tables import tracker_in_order
 from ..sources.landed import tracker_applications, tracker_pairs, tracker_status_by_number
 from .registry import query, table
 from .standins import APPS_SQL, STATUS_SQL, apps, event_status
@@ -298,6 +299,12 @@ def tracker_export(spark, sf):
     return _tracker(spark, sf)
 
 
+@query("tracker_first_lines", f"SELECT CAST(o_orderkey AS INT) AS tracker_num, {_TRACKER_LINE} AS line FROM orders ORDER BY 1 LIMIT 40")
+def tracker_first_lines(spark, sf):
+    """The beginning of the tracker as it is written: lines in order of their number."""
+    return tracker_in_order(_tracker(spark, sf)).limit(40)
+
+
 def _tracker_lines(spark, sf):
     header = spark.createDataFrame([("# Applications",), ("| # | Date | Company | Role | Score | Status | PDF | Report | Notes |",), ("|---|------|---------|------|-------|--------|-----|--------|-------|",)], "value string")
     return header.unionByName(_tracker(spark, sf).select(F.col("line").alias("value")))
@@ -378,6 +385,12 @@ def applications_view_query(spark, sf):
     return applications_view(*_app_tables(spark, sf)).select(*_VIEW_COLUMNS)
 
 
+@query("applications_newest", f"WITH {_VIEW_SQL} SELECT tracker_num, date_applied FROM v ORDER BY date_applied DESC NULLS LAST, tracker_num DESC LIMIT 50")
+def applications_newest(spark, sf):
+    """The first page of the view: its order decides which rows these are."""
+    return applications_view(*_app_tables(spark, sf)).limit(50).select("tracker_num", "date_applied")
+
+
 @query("application_search", f"WITH {_VIEW_SQL} SELECT tracker_num, status FROM v WHERE status IN ('Applied', 'Interview') AND contains(lower(company || ' ' || title || ' ' || status || ' ' || notes || ' Kim'), 'own co')")
 def application_search(spark, sf):
     return search_applications(applications_view(*_app_tables(spark, sf)), "open", None, " OWN co ").select("tracker_num", "status")

@@ -345,3 +345,23 @@ def ranked_view_pay(spark, sf):
     })
     view = ranked_view(personal, registry, applications, reports, tracker, state, max_open=6)
     return view.select("p_partkey", F.col("comp.min").alias("pay"), "apply_url")
+
+
+@query(
+    "ranked_view_reports",
+    f"""WITH {_RANKED_SQL} SELECT rv.p_partkey, coalesce(a.status, CASE WHEN rv.p_partkey % 10 = 0 THEN 'Interview' WHEN rv.p_partkey % 5 = 0 THEN 'Evaluated' END) AS status,
+ CASE WHEN a.user_id IS NULL AND rv.p_partkey % 5 = 0 THEN lpad(CAST(rv.p_partkey AS VARCHAR), 5, '0') || '-note.md' END AS report, coalesce(a.status, CASE WHEN rv.p_partkey % 10 = 0 THEN 'Interview' END) IS NOT NULL AS applied
+ FROM rv LEFT JOIN apps a ON a.user_id = rv.p_partkey""",
+)
+def ranked_view_reports(spark, sf):
+    """Every fifth listing has a report, every tenth a status in the tracker; applications go before both."""
+    personal, registry, applications, _, _, state = _ranked_inputs(spark, sf)
+    number = F.lpad(F.col("p_partkey").cast("string"), 5, "0")
+    noted = personal.where("p_partkey % 5 = 0")
+    reports = noted.select(
+        F.concat(number, F.lit("-note.md")).alias("file"), number.alias("num"),
+        F.concat(F.lit("https://www.jobs.example.org/"), F.col("p_partkey").cast("string"), F.lit("/?utm_source=note")).alias("url"), F.col("p_partkey").alias("tracker_num"),
+    )
+    tracker = noted.where("p_partkey % 10 = 0").select(number.alias("num"), F.lit("Interview").alias("status"))
+    view = ranked_view(score_registry(personal, registry, state, _RUBRIC), registry, applications, reports, tracker, state, max_open=6)
+    return view.select("p_partkey", "status", "report", "applied")

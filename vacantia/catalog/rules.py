@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.classes import age_band
-from ..functions.fields import field_kind, learnable
+from ..functions.fields import learnable
 from ..functions.keywords import boost, first_exclusion, location_passes, title_passes
 from ..functions.liveness import history_status, liveness, route
 from ..functions.status import canonical_status, is_open, stage_chip
 from ..functions.text import norm_label
 from ..functions.urls import url_guard
-from ..operators.containment import titles_passing, with_first_exclusion
-from ..operators.feeds import answer_plan, counts_by, form_verdicts, unresolved_required
+from ..operators.containment import listed_keywords, titles_passing, with_first_exclusion
+from ..operators.feeds import answer_plan, counts_by, form_verdicts, unresolved_required, with_field_kind
 from ..operators.patches import remember_answers
 from .registry import query, table
 from .standins import STATUS_SQL, event_status
@@ -60,6 +60,13 @@ def exclusion_first_hit(spark, sf):
     return table(spark, sf, "documents").select("doc_id", hit.alias("matched"))
 
 
+@query("keyword_list", "SELECT DISTINCT lower(trim(substr(p_name, p_partkey % 4, 1 + p_size % 9))) AS keyword FROM part WHERE trim(substr(p_name, p_partkey % 4, 1 + p_size % 9)) <> ''")
+def keyword_list(spark, sf):
+    """A table of keywords as it is compared: lower case, trimmed, none blank, none twice."""
+    part = F.upper(F.substr("p_name", (F.col("p_partkey") % 4).cast("int"), (1 + F.col("p_size") % 9).cast("int")))
+    return listed_keywords(table(spark, sf, "part").select(part.alias("keyword"))).select(F.col("needle").alias("keyword"))
+
+
 _LISTED_SQL = """pos AS (SELECT DISTINCT lower(trim(substr(p_name, 1 + p_partkey % 5, 4))) AS k FROM part WHERE p_size > 40), neg AS (SELECT DISTINCT lower(trim(substr(p_name, 2, 3 + p_partkey % 4))) AS k FROM part WHERE p_size = 7),
  names AS (SELECT DISTINCT lower(p_name) AS n FROM part)"""
 
@@ -223,8 +230,7 @@ def form_fields(spark, sf):
     # Labels the user has assigned by hand: a config-sized table.
     user_map = spark.createDataFrame([("favourite o?", "how_did_you_hear")], "norm_label string, mapped string")
     mapped = rows.withColumn("norm_label", norm_label(F.col("label"))).join(F.broadcast(user_map), "norm_label", "left")
-    kind = field_kind(F.col("label"), F.lit("text"), F.col("maxlength"), F.col("mapped"))
-    return mapped.withColumn("k", kind).withColumns({"kind": F.col("k.kind"), "profile_key": F.col("k.profile_key")}).drop("k", "mapped")
+    return with_field_kind(mapped, "label", F.lit("text"), "maxlength", "mapped", "k").withColumns({"kind": F.col("k.kind"), "profile_key": F.col("k.profile_key")}).drop("k", "mapped")
 
 
 @query("field_classify", f"WITH {_FIELDS_SQL} SELECT l_orderkey, l_linenumber, kind, profile_key, label FROM fields")

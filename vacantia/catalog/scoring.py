@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facets as fc
 from ..functions.keywords import title_passes
-from ..operators.queues import compare_listings
+from ..operators.queues import compare_listings, comparison_table
 from ..plans.rubric import Dimension, HardFilter, Rubric, band, hard_filter_result, live_score, score_rows, weighted_average
 from .registry import query, table
 from .standins import FACETS_SQL, facets
@@ -333,3 +333,17 @@ _COMPARED = ("p3", "p11", "p42", "p77")
 )
 def best_per_dimension(spark, sf):
     return compare_listings(full_scores(spark, sf), list(_COMPARED))
+
+
+@query(
+    "comparison_table",
+    f"WITH {FULL_SQL}, c AS (SELECT * FROM scored WHERE key IN {_COMPARED}), l AS ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS dimension, key, d_{k} AS score FROM c" for k in FULL_DIMS)
+    + "), s AS (SELECT dimension, max(score) AS hi, min(score) AS lo, count(score) AS n FROM l GROUP BY 1), b AS (SELECT l.dimension, key, score, coalesce(n > 1 AND hi > lo AND score = hi, false) AS best FROM l JOIN s ON l.dimension = s.dimension) SELECT dimension, "
+    + ", ".join(f"max(score) FILTER (WHERE key = '{k}') AS score_{i}, bool_or(best) FILTER (WHERE key = '{k}') AS best_{i}" for i, k in enumerate(_COMPARED))
+    + " FROM b GROUP BY 1",
+)
+def comparison_table_query(spark, sf):
+    """One row per dimension, two columns per compared listing."""
+    wide = comparison_table(full_scores(spark, sf), list(_COMPARED))
+    return wide.select("dimension", *[c for i, k in enumerate(_COMPARED) for c in (F.col(f"`{k}`.score").alias(f"score_{i}"), F.col(f"`{k}`.best").alias(f"best_{i}"))])

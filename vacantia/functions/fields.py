@@ -29,15 +29,18 @@ PROFILE_LABELS = (
     ("current_title", (), ("current title", "current role", "job title", "present title", "current position")),
     ("how_did_you_hear", (), ("how did you hear", "referral source", "how were you referred", "where did you hear")),
 )
+# The keys of a profile.
 PROFILE_KEYS = (
     "first_name", "last_name", "full_name", "email", "phone", "linkedin", "github", "portfolio", "website",
     "location", "city", "work_authorization", "requires_sponsorship", "willing_to_relocate",
     "years_experience", "current_company", "current_title", "how_did_you_hear",
 )
+# Words of labels that ask for pay, for personal data, for prose, and for a file.
 SALARY = ("salary", "compensation expectation", "compensation requirement", "desired pay", "pay expectation", "expected pay", "expected compensation", "desired compensation", "rate expectation", "desired salary", "expected salary")
 DEMOGRAPHIC = ("gender", "race", "ethnic", "hispanic", "latino", "veteran", "disab", "sexual orientation", "pronoun", "transgender", "national origin")
 FREE_TEXT = ("cover letter", "why do you", "why are you", "why us", "why this", "why would you", "tell us", "in your own words", "what makes you", "additional information", "anything else", "motivat", "open-ended", "short answer", "essay", "describe a", "describe your", "tell me about")
 FILE = ("resume", "cv", "cover letter file")
+# Fixed value: a longer field asks for prose.
 LONG_TEXT = 200
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import PROFILE_KEYS
+from ..functions.fields import LONG_TEXT, PROFILE_KEYS, field_kind
 from ..functions.keywords import first_exclusion, location_passes, title_passes
 from ..functions.text import lower_strip, norm_name
 from ..functions.urls import platform
@@ -145,6 +145,28 @@ def counts_by(df: DataFrame, column: str) -> DataFrame:
 # ── forms ────────────────────────────────────────────────────────────
 
 
+_UNMAPPED = "\u0001"
+
+
+def with_field_kind(fields: DataFrame, label: str, kind_of_input: Column, maxlength: str, mapped_key: str | None = None, out: str = "field") -> DataFrame:
+    """``fields`` with a struct(kind, profile_key), as :func:`field_kind` gives it.
+
+    Forms ask the same things again and again: the rules are applied once to each distinct question, and rows look theirs
+    up (a question that a third of all rows ask is split).
+    """
+    mapped = F.lit(None).cast("string") if mapped_key is None else F.col(mapped_key)
+    parts = {
+        "label": F.coalesce(label, F.lit("")), "control": F.lower(F.coalesce(kind_of_input, F.lit(""))),
+        "long": F.coalesce(F.col(maxlength) > LONG_TEXT, F.lit(False)), "mapped": F.coalesce(mapped, F.lit(_UNMAPPED)),
+    }
+    names = {k: f"__asked_{k}" for k in parts}
+    asked = fields.withColumns({names[k]: v for k, v in parts.items()})
+    key = F.nullif(F.col(names["mapped"]), F.lit(_UNMAPPED))
+    kind = field_kind(F.col(names["label"]), F.col(names["control"]), F.when(F.col(names["long"]), LONG_TEXT + 1), key)
+    answers = asked.select(*names.values()).distinct().withColumn(out, kind)
+    return lookup(asked, answers, list(names.values())).select(*[F.col(f"`{c}`") for c in fields.columns], out)
+
+
 def form_verdicts(fields: DataFrame, form: str) -> DataFrame:
     """Per form: fields per kind, and can the profile fill all of it?  ``fields`` has kind, required."""
     kinds = ("standard", "file", "free_text", "salary", "demographic", "unmapped")

@@ -274,6 +274,15 @@ def listing_detail(
     )
 
 
+def comparison_table(rows: DataFrame, keys: Sequence[str], dims: str = "dim_scores") -> DataFrame:
+    """Chosen listings as columns: per dimension and key a struct(score, best); null where a listing has no such score.
+
+    The keys come from whoever compares (a handful), so they are known columns and one aggregation builds the table.
+    """
+    cell = F.first(F.struct("score", "best"))
+    return compare_listings(rows, keys, dims).groupBy("dimension").pivot("key", list(dict.fromkeys(keys))).agg(cell)
+
+
 def compare_listings(rows: DataFrame, keys: Sequence[str], dims: str = "dim_scores") -> DataFrame:
     """Chosen listings side by side: (dimension, key, score, best).
 

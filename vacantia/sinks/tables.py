@@ -124,9 +124,13 @@ def write_scan(rows: DataFrame, meta: DataFrame, path: str) -> None:
     meta.write.mode("errorifexists").json(f"{path}/meta")
 
 
+def tracker_in_order(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("tracker_num")
+
+
 def write_tracker(rows: DataFrame, path: str) -> None:
     """Tracker lines in order of their number, as text."""
-    rows.orderBy("tracker_num").select(F.col("line").alias("value")).write.mode("errorifexists").text(path)
+    tracker_in_order(rows).select(F.col("line").alias("value")).write.mode("errorifexists").text(path)
 
 
 def watchlist_json(companies: DataFrame, searches: list[str]) -> DataFrame:

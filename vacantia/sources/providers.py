@@ -249,15 +249,17 @@ def workable(payloads: DataFrame) -> DataFrame:
 def workday(payloads: DataFrame) -> DataFrame:
     """Several pages and search terms of a board may list a job; the first of each path counts."""
     schema = "total bigint, jobPostings array<struct<title:string,externalPath:string,locationsText:string>>"
-    pages = payloads.select("company", "careers_url", *[c for c in ("page",) if c in payloads.columns], F.from_json("payload", schema).alias("p"))
     page = F.col("page") if "page" in payloads.columns else F.lit(0)
-    rows = pages.select("company", "careers_url", page.alias("page"), F.posexplode("p.jobPostings").alias("pos", "j"))
-    rows = rows.where("coalesce(j.externalPath, '') <> ''").withColumn("path", F.col("j.externalPath"))
-    first = rows.groupBy("company", "careers_url", "path").agg(F.min_by("j", F.struct("page", "pos")).alias("j"))
-    info = workday_parts(F.col("careers_url"))
+    # The board's address is read once a payload, before its jobs become rows.
+    pages = payloads.select("company", "careers_url", page.alias("page"), workday_parts(F.col("careers_url")).alias("board"), F.from_json("payload", schema).alias("p"))
+    info = F.col("board")
     prefix = F.when(info["locale"] != "", F.concat(F.lit("/"), info["locale"])).otherwise("")
-    link = F.concat(F.lit("https://"), info["host"], prefix, F.lit("/"), info["site"], F.col("path"))
-    return _jobs(first, title=F.col("j.title"), url=link, location=F.col("j.locationsText")).where("title <> '' AND url <> ''")
+    base = F.concat(F.lit("https://"), info["host"], prefix, F.lit("/"), info["site"])
+    rows = pages.select("company", "careers_url", base.alias("base"), "page", F.posexplode("p.jobPostings").alias("pos", "j"))
+    rows = rows.where("coalesce(j.externalPath, '') <> ''").withColumn("path", F.col("j.externalPath"))
+    first = rows.groupBy("company", "careers_url", "path").agg(F.min_by(F.struct("j", "base"), F.struct("page", "pos")).alias("f"))
+    link = F.concat(F.col("f.base"), F.col("path"))
+    return _jobs(first, title=F.col("f.j.title"), url=link, location=F.col("f.j.locationsText")).where("title <> '' AND url <> ''")
 
 
 @provider("rippling")
