@@ -25,6 +25,7 @@ from array import array
 from collections.abc import Callable, Iterable
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -35,12 +36,10 @@ from tokenizers import Tokenizer
 from vacantia.llm.common import filled
 
 KNOWN_PIECES = 250_000  # of each of two generations
-KNOWN_PAIRS = 500_000
-PAIR_BITS = 20
-CHARS_HELD = 1 << 20  # texts encoded together
+KNOWN_PAIRS = 1_000_000
+IDS_HELD = 1 << 18
 PIECE_CHARS = 64  # longer pieces aren't kept
 NEVER = 1 << 60
-LAST = 256
 
 # Fixed value: the splitting rule of the public word-level tokenizer file.
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -74,151 +73,18 @@ class Remembered(dict):
         super().__init__()
         self.of, self.earlier = of, {}
 
-    def _turn(self, more: int) -> None:
-        if len(self) + more > KNOWN_PIECES:
-            self.earlier = dict(self)
-            self.clear()
-
-    def add(self, keys: list[str], found: list[tuple[int, ...]]) -> None:
-        self._turn(len(keys))
-        self.update(zip(keys, found, strict=True))
-
     def __missing__(self, key: str) -> tuple[int, ...]:
         found = self.earlier.get(key)
         if found is None:
             found = self.of(key)
         if len(key) <= PIECE_CHARS:
-            self._turn(1)
+            if len(self) >= KNOWN_PIECES:
+                self.earlier = dict(self)
+                self.clear()
             self[key] = found
         return found
 
 
-class ManyWords:
-    """The same dynamic program over many short words at once: one step for all their prefixes of equal length."""
-
-    LONGEST = 32
-
-    def __init__(self, bpe: PrefixBpe, depth: list[int]):
-        self.bpe = bpe
-        children: dict[int, list[tuple[int, int]]] = {}
-        for key, child in bpe.step.items():
-            children.setdefault(key >> 9, []).append((key & 511, child))
-        self.first_state = np.zeros(512, np.int32)  # of a symbol that continues nothing
-        for x, child in children.pop(0, []):
-            self.first_state[x] = child
-        # One row of steps per state with children; others step as their longest suffix with a row does.
-        used = sorted({x for steps in children.values() for x, _ in steps})
-        self.column = np.zeros(512, np.int32)
-        self.column[used] = np.arange(1, len(used) + 1)
-        self.row = np.zeros(len(depth), np.int32)
-        self.steps = np.zeros((len(children) + 1, len(used) + 1), np.int32)
-        rows = 0
-        for state in sorted(range(1, len(depth)), key=depth.__getitem__):
-            shorter = self.row[bpe.shorter[state]]
-            if state in children:
-                rows += 1
-                self.row[state] = rows
-                self.steps[rows] = self.steps[shorter]
-                for x, child in children[state]:
-                    self.steps[rows, self.column[x]] = child
-            else:
-                self.row[state] = shorter
-        self.n_tokens = np.array([len(x) for x in bpe.suffixes], np.int32)
-        self.first_token = np.concatenate(([0], np.cumsum(self.n_tokens)[:-1]))
-        self.length, self.token = np.array([x for found in bpe.suffixes for x in found], np.int64).T
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys = np.full(1 << PAIR_BITS, -1, np.int64)
-        self.values = np.zeros(1 << PAIR_BITS, bool)
-        self.n_keys = 0
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-    def compatible(self, keys: np.ndarray) -> np.ndarray:
-        """Of pairs of tokens (left in the upper half) which ones are compatible: a hash table of all pairs met."""
-        out = np.zeros(len(keys), bool)
-        at, open_ = self._place(keys), np.arange(len(keys))
-        unknown = []
-        while len(open_):
-            there = self.keys[at[open_]]
-            hit = there == keys[open_]
-            out[open_[hit]] = self.values[at[open_[hit]]]
-            unknown.append(open_[there == -1])
-            open_ = open_[~hit & (there != -1)]
-            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
-        new = np.concatenate(unknown) if unknown else open_
-        if len(new):
-            pairs, which = np.unique(keys[new], return_inverse=True)
-            fits = np.array([not self.bpe._joins(k >> 32, k & 0xFFFFFFFF) for k in pairs.tolist()])
-            out[new] = fits[which]
-            self._remember(pairs, fits)
-        return out
-
-    def _remember(self, keys: np.ndarray, values: np.ndarray) -> None:
-        if 2 * (self.n_keys + len(keys)) > len(self.keys):
-            self._forget()
-            keys, values = keys[: len(self.keys) // 2], values[: len(self.keys) // 2]
-        self.n_keys += len(keys)
-        at = self._place(keys)
-        while len(keys):
-            free = self.keys[at] == -1
-            self.keys[at[free]] = keys[free]  # of several for one place, one stays
-            held = self.keys[at] == keys
-            self.values[at[held]] = values[held]
-            keys, values, at = keys[~held], values[~held], (at[~held] + 1) & (len(self.keys) - 1)
-
-    def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        if not words:
-            return []
-        size = np.array([len(w) for w in words])
-        order = np.argsort(-size, kind="stable")
-        size = size[order]
-        longest = int(size[0])
-        symbol = np.zeros((len(words), longest), np.int64)
-        symbol[np.arange(longest) < size[:, None]] = np.frombuffer(b"".join([words[k] for k in order]), np.uint8)
-        if self.bpe.end:
-            symbol[np.arange(len(words)), size - 1] |= LAST
-        token = np.full((len(words), longest + 1), -1, np.int64)
-        start = np.zeros((len(words), longest + 1), np.int8)
-        state = np.zeros(len(words), np.int32)
-        for end in range(1, longest + 1):
-            n = int(np.searchsorted(-size, -end, "right"))
-            x = symbol[:n, end - 1]
-            after = self.steps[self.row[state[:n]], self.column[x]]
-            state[:n] = after = np.where(after, after, self.first_state[x])
-            first, count = self.first_token[after], self.n_tokens[after]
-            open_, k = np.flatnonzero(count), 0
-            while len(open_):
-                at = first[open_] + k
-                begin, i = end - self.length[at], self.token[at]
-                before = token[open_, begin]
-                fits = begin == 0
-                pair = np.flatnonzero(before >= 0)  # no token ends before the first symbol
-                fits[pair] = self.compatible(before[pair] << 32 | i[pair])
-                found = open_[fits]
-                token[found, end], start[found, end] = i[fits], begin[fits]
-                open_, k = open_[~fits], k + 1
-                open_ = open_[count[open_] > k]
-        out = np.zeros((len(words), longest), np.int64)  # ids from the right
-        n_ids = np.zeros(len(words), np.int64)
-        rows, at, k = np.arange(len(words)), size.copy(), longest
-        while len(rows):
-            if (token[rows, at[rows]] < 0).any():
-                raise ValueError("a piece holds a symbol that the vocabulary lacks")
-            k -= 1
-            out[rows, k] = token[rows, at[rows]]
-            n_ids[rows] += 1
-            at[rows] = start[rows, at[rows]]
-            rows = rows[at[rows] > 0]
-        ids = out.tolist()
-        result: list[tuple[int, ...]] = [()] * len(words)
-        for place, row, n in zip(order.tolist(), ids, n_ids.tolist(), strict=True):
-            result[place] = tuple(row[longest - n :])
-        return result
-
-
 class PrefixBpe:
     """Encoder of a tokenizer file whose model is BPE; what it can't express is refused."""
 
@@ -239,10 +105,10 @@ class PrefixBpe:
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers") or []]
         usual = parts[0].get("pattern") == {"Regex": WORD_RULE} and parts[0].get("invert") and [x["type"] for x in parts[1:]] == ["ByteLevel"]
         self.latin = latin_pieces() if usual and steps == ["NFC", "Replace", "Lowercase"] else None
+        self.letters = byte_letters()
         self.added = sorted(((a["content"], a["id"]) for a in spec["added_tokens"]), key=lambda x: -len(x[0]))
         if any(a["normalized"] or a["single_word"] or a["lstrip"] or a["rstrip"] for a in spec["added_tokens"]):
             raise ValueError("only added tokens that are matched as they stand are supported")
-        self.letters = byte_letters()
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.text_of = {i: t for t, i in chain(self.vocab.items(), self.added)}
@@ -252,46 +118,45 @@ class PrefixBpe:
         self.pairs: dict[int, bool] = {}
 
     def _trees(self, merges: list) -> None:
-        """Merge of each token, rank of each pair, and symbols of each token that merging can reach.
-
-        A symbol is a byte; the last one of a piece is another symbol than the same byte inside it.
-        """
-        byte_of = {c: b for b, c in enumerate(self.letters)}
-        self.byte_of = byte_of
-        self.rank: dict[int, int] = {}
+        """Merge of each token, rank of each pair, and symbols of each token that merging can reach."""
+        self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}
-        self.symbols: dict[int, tuple[int, ...]] = {}
-        self.spines: tuple[dict, dict] = {}, {}
+        self.symbols: dict[int, str] = {}
+        last = chr(0x10FFFF)  # a last symbol is another symbol than the same character inside a piece
         for token, i in self.vocab.items():
             inner = token.removesuffix(self.end) if self.end else token
-            if token in byte_of:
-                self.symbols[i] = (byte_of[token],)
-            elif inner in byte_of:
-                self.symbols[i] = (byte_of[inner] | LAST,)
+            if len(token) == 1:
+                self.symbols[i] = token
+            elif self.end and len(inner) == 1 and inner != token:
+                self.symbols[i] = inner + last
         for r, merge in enumerate(merges):
             a, b = (self.vocab[x] for x in (merge.split(" ") if isinstance(merge, str) else merge))
             whole = self.vocab[(merge if isinstance(merge, str) else "".join(merge)).replace(" ", "")]
-            self.rank[a << 32 | b] = r
-            if a in self.symbols and b in self.symbols and whole not in self.made and self._first_join(a, b) == r:
+            self.rank[a, b] = r
+            if a in self.symbols and b in self.symbols and whole not in self.made and self._compatible_but_for(a, b, r):
                 self.made[whole] = (r, a, b)
                 self.symbols[whole] = self.symbols[a] + self.symbols[b]
+        self.last = last
+
+    def _compatible_but_for(self, a: int, b: int, r: int) -> bool:
+        """Whether merging reaches the pair before its own merge, of rank ``r``."""
+        return self._joined_at(a, b) == r
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The nodes at one edge of a token's merge tree, each with the rank at which it is merged into the next."""
-        out = self.spines[side].get(token)
-        if out is None:
-            out = self.spines[side][token] = [(token, NEVER)]
-            while token in self.made:
-                r, token = self.made[token][0], self.made[token][1 + side]
-                out.append((token, r))
+        out = [(token, NEVER)]
+        while token in self.made:
+            r, token = self.made[token][0], self.made[token][1 + side]
+            out.append((token, r))
         return out
 
-    def _first_join(self, a: int, b: int) -> int:
+    def _joined_at(self, a: int, b: int) -> int:
         """Rank of the first merge across the border of two tokens, or ``NEVER``."""
+        right = self._spine(b, 0)
         first = NEVER
         for u, up_u in self._spine(a, 1):
-            for v, up_v in self._spine(b, 0):
-                r = self.rank.get(u << 32 | v, NEVER)
+            for v, up_v in right:
+                r = self.rank.get((u, v), NEVER)
                 if r < up_u and r <= up_v and r < first:
                     first = r
         return first
@@ -303,85 +168,41 @@ class PrefixBpe:
     def _test(self, a: int, b: int) -> bool:
         if len(self.pairs) >= KNOWN_PAIRS:
             self.pairs.clear()
-        fits = self.pairs[a << 32 | b] = not self._joins(a, b)
+        fits = self.pairs[a << 32 | b] = self._joined_at(a, b) == NEVER
         return fits
 
-    def _joins(self, a: int, b: int) -> bool:
-        """Whether merging joins two tokens across their border."""
-        rank = self.rank.get
-        right = self._spine(b, 0)
-        for u, up_u in self._spine(a, 1):
-            for v, up_v in right:
-                r = rank(u << 32 | v)
-                if r is not None and r < up_u and r <= up_v:
-                    return True
-        return False
-
     def _automaton(self) -> None:
-        """States are beginnings of tokens; each knows the tokens that are suffixes of it, longest first."""
-        self.step: dict[int, int] = {}  # state and symbol to state
-        ends: dict[int, int] = {}
-        came: list[tuple[int, int]] = [(0, 0)]
-        depth = [0]
+        self.whole = {symbols: i for i, symbols in self.symbols.items()}
+        self.suffixes = ahocorasick.Automaton()
         for i, symbols in self.symbols.items():
-            state = 0
-            for x in symbols:
-                key = state << 9 | x
-                state = self.step.get(key)
-                if state is None:
-                    state = self.step[key] = len(depth)
-                    came.append((key >> 9, x))
-                    depth.append(depth[key >> 9] + 1)
-            ends[state] = i
-        self.shorter = [0] * len(depth)  # the longest proper suffix that is a state
-        self.suffixes: list[tuple[tuple[int, int], ...]] = [()] * len(depth)
-        for state in sorted(range(1, len(depth)), key=depth.__getitem__):
-            parent, x = came[state]
-            if parent:
-                at = self.shorter[parent]
-                while at and at << 9 | x not in self.step:
-                    at = self.shorter[at]
-                self.shorter[state] = self.step.get(at << 9 | x, 0)
-            own = ((depth[state], ends[state]),) if state in ends else ()
-            self.suffixes[state] = own + self.suffixes[self.shorter[state]]
-        self.moves: dict[int, int] = {}  # steps that lead through shorter suffixes, as they are met
-        self.many = ManyWords(self, depth)
-
-    def _move(self, state: int, x: int) -> int:
-        key, at = state << 9 | x, state
-        found = self.moves.get(key)
-        if found is None:
-            while at and at << 9 | x not in self.step:
-                at = self.shorter[at]
-            if len(self.moves) >= KNOWN_PAIRS:
-                self.moves.clear()
-            found = self.moves[key] = self.step.get(at << 9 | x, 0)
-        return found
+            # The symbols of a token, so that the offset of a match's last symbol tells where it starts.
+            self.suffixes.add_word(symbols, (len(symbols), i))
+        self.suffixes.make_automaton()
 
-    def encode_bytes(self, data: bytes) -> tuple[int, ...]:
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece: the unique last token of each prefix, then back from the end."""
-        size = len(data)
+        symbols = piece + self.last if self.end else piece
+        whole = self.whole.get(symbols)
+        if whole is not None:
+            return (whole,)  # a token is the last one of its own text
+        size = len(symbols)
         token = [-1] * (size + 1)
         start = [0] * (size + 1)
-        pairs, step, suffixes = self.pairs, self.step, self.suffixes
-        state = 0
-        for end, x in enumerate(data, 1):
-            if end == size and self.end:
-                x |= LAST
-            state = step.get(key := state << 9 | x)
-            if state is None:
-                state = self._move(key >> 9, x)
-            for length, i in suffixes[state]:
-                begin = end - length
-                if begin:
-                    before = token[begin]
-                    if before < 0:
-                        continue
-                    fits = pairs.get(before << 32 | i)
-                    if not (self._test(before, i) if fits is None else fits):
-                        continue
-                token[end], start[end] = i, begin
-                break
+        pairs = self.pairs
+        found = 0  # the longest prefix whose last token is known; matches come by their end
+        for at, (length, i) in self.suffixes.iter(symbols):
+            if at < found:
+                continue
+            begin = at + 1 - length
+            if begin:
+                before = token[begin]
+                if before < 0:
+                    continue
+                fits = pairs.get(before << 32 | i)
+                if not (self._test(before, i) if fits is None else fits):
+                    continue
+            found = at + 1
+            token[found], start[found] = i, begin
         out = []
         at = size
         while at:
@@ -391,13 +212,12 @@ class PrefixBpe:
             at = start[at]
         return tuple(reversed(out))
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of a piece in the letters that stand for its bytes."""
-        return self.encode_bytes(bytes(map(self.byte_of.__getitem__, piece)))
-
     def encode_word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word as it stands in a text."""
-        return self.encode_bytes(word.encode())
+        """Ids of a word as it stands in a text; visible ASCII letters stand for themselves."""
+        if word.isascii() and word.isprintable():
+            return self.encode_piece(word)
+        letters = self.letters
+        return self.encode_piece("".join([letters[b] for b in word.encode()]))
 
     def _plain(self, text: str, out: list[int]) -> None:
         if self.latin is not None and (text.isascii() or not _BEYOND.search(text)):
@@ -418,50 +238,6 @@ class PrefixBpe:
             out.append(near[3])
             at = near[0] + len(near[2])
 
-    def encode_all(self, texts: Iterable[str]) -> tuple[np.ndarray, list[int]]:
-        """Ids of all texts one after the other, and their number by text."""
-        flat: list[int] = []
-        full: list[np.ndarray] = []  # ids as numbers of four bytes, moved there before the list grows long
-        sizes: list[int] = []
-        held: list[str] = []
-        chars = 0
-
-        def flush() -> None:
-            split = [self.latin.findall(t.lower()) if self._is_latin(t) else None for t in held]
-            distinct = set().union(*(x for x in split if x is not None))
-            self._learn(distinct)
-            near = {w: self.words[w] for w in distinct}  # a small table of this group's words is fast to ask
-            for text, words in zip(held, split, strict=True):
-                before = len(flat)
-                if words is None:
-                    self.encode(text, flat)
-                else:
-                    flat.extend(chain.from_iterable(map(near.__getitem__, words)))
-                sizes.append(len(flat) - before)
-            full.append(np.array(array("i", flat), np.int32))
-            flat.clear()
-            held.clear()
-
-        for text in texts:
-            held.append(text)
-            chars += len(text)
-            if chars >= CHARS_HELD:
-                flush()
-                chars = 0
-        flush()
-        return np.concatenate(full), sizes
-
-    def _is_latin(self, text: str) -> bool:
-        plain = self.latin is not None and (text.isascii() or not _BEYOND.search(text))
-        return plain and not any(c in text for c, _ in self.added)
-
-    def _learn(self, words: set[str]) -> None:
-        """Encode the words not met yet, all at once."""
-        fresh = list(words - self.words.keys() - self.words.earlier.keys())
-        data = [w.encode() for w in fresh]
-        short = [k for k, x in enumerate(data) if len(x) <= ManyWords.LONGEST]
-        self.words.add([fresh[k] for k in short], self.many.encode([data[k] for k in short]))
-
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens of the ids, separated by a space each; unknown ids are left out."""
         try:
@@ -482,8 +258,27 @@ def _loaded(shared: Broadcast) -> PrefixBpe:
     return _LOADED[key]
 
 
+def _encoded(bpe: PrefixBpe, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, and where those of each text begin and end."""
+    flat: list[int] = []
+    full: list[np.ndarray] = []  # ids as numbers of four bytes, moved there before the list grows long
+    sizes = [0]
+    for text in texts:
+        before = len(flat)
+        bpe.encode(text.as_py(), flat)
+        sizes.append(len(flat) - before)
+        if len(flat) >= IDS_HELD:
+            full.append(np.array(array("i", flat)))
+            flat.clear()
+    return np.concatenate([*full, np.array(array("i", flat), np.int32)]), np.cumsum(sizes)
+
+
 class Codec:
-    """Columns that encode texts and decode ids with one tokenizer file."""
+    """Columns that encode texts and decode ids with one tokenizer file.
+
+    Python functions that use each other's columns may be run once for every use: take :meth:`round_trip` where both ways
+    are wanted.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         with open(path, encoding="utf-8") as f:
@@ -491,17 +286,27 @@ class Codec:
 
         @F.arrow_udf("array<int>")
         def encoded(texts: pa.Array) -> pa.Array:
-            bpe = _loaded(shared)
-            flat, sizes = bpe.encode_all(text.as_py() for text in texts)
-            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            ids, ends = _encoded(_loaded(shared), texts)
+            return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
 
         @F.arrow_udf("string")
         def decoded(ids: pa.Array) -> pa.Array:
             bpe = _loaded(shared)
             return pa.array((bpe.decode(np.asarray(x.values).tolist()) if x.is_valid else "" for x in ids), pa.string())
 
-        self._encoded, self._decoded = encoded, decoded
+        @F.arrow_udf("struct<n_tokens: bigint, packed: binary, decoded: string>")
+        def both(texts: pa.Array) -> pa.Array:
+            bpe = _loaded(shared)
+            ids, ends = _encoded(bpe, texts)
+            parts = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            columns = [
+                pa.array(np.diff(ends).astype(np.int64)),
+                pa.array((x.astype("<u4").tobytes() for x in parts), pa.binary()),
+                pa.array((bpe.decode(np.frombuffer(x.astype("<u4").tobytes(), "<u4").tolist()) for x in parts), pa.string()),
+            ]
+            return pa.StructArray.from_arrays(columns, names=["n_tokens", "packed", "decoded"])
+
+        self._encoded, self._decoded, self._both = encoded, decoded, both
 
     def encode(self, text: Column | str) -> Column:
         return self._encoded(filled(text))
@@ -509,6 +314,10 @@ class Codec:
     def decode(self, ids: Column | str) -> Column:
         return self._decoded(ids)
 
+    def round_trip(self, text: Column | str) -> Column:
+        """Struct of the number of ids, the ids as little-endian unsigned 32-bit numbers, and the text decoded from these."""
+        return self._both(filled(text))
+
 
 def _packed(ids: pa.Array) -> pa.Array:
     return pa.array((np.asarray(x.values, "<u4").tobytes() if x.is_valid else b"" for x in ids), pa.binary())

@@ -156,10 +156,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_bpe")
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.Codec(spark, public_tokenizers.path("word_bpe_49k.json"))
-    encoded = table(spark, sf_dir, "documents").select("doc_id", codec.encode("text").alias("ids"))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.packed("ids").alias("packed"), codec.decode("ids").alias("decoded")).select(
-        "doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    made = table(spark, sf_dir, "documents").select("doc_id", codec.round_trip("text").alias("made")).select("doc_id", "made.*")
+    return made.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query(
