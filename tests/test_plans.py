@@ -1,5 +1,7 @@
 """Shapes of physical plans that matter at scale."""
 
+import re
+
 import pytest
 
 from vacantia.catalog.registry import QUERIES, load_all
@@ -42,3 +44,51 @@ def test_excerpts_are_cut_above_the_join(spark, sf):
     cut = next(i for i, x in enumerate(lines) if "regexp_replace" in x)
     join = next(i for i, x in enumerate(lines) if "Join LeftSemi" in x)
     assert cut < join and not any("regexp_replace" in x for x in lines[join:])
+
+
+@pytest.mark.parametrize("name", ["canonical_url", "canonical_url_steps", "lifecycle_join", "priority_match"])
+def test_url_rules_stay_in_generated_code(spark, sf, name):
+    assert "lambdafunction" not in plan_of(QUERIES[name](spark, sf))
+
+
+def test_questions_are_classified_once_each(spark, sf):
+    """The rule chain stands once, in the aggregation to distinct questions."""
+    plan = QUERIES["field_classify"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    before, *after = plan.split("legally\\ authorized")
+    assert len(after) == 1
+    assert re.findall(r"(Project|Aggregate|Filter|Join|Generate) ", before)[-1] == "Aggregate"
+
+
+def test_keywords_of_a_table_meet_titles_by_a_join(spark, sf):
+    plan = plan_of(QUERIES["keyword_table_filter"](spark, sf))
+    assert "gram" in plan and "NestedLoopJoin" not in plan
+
+
+def test_boards_of_workday_are_read_once_a_payload(spark, sf):
+    """The rules of the board's address stand below the generator that makes rows of jobs."""
+    lines = QUERIES["provider_workday"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    generate = next(i for i, x in enumerate(lines) if "Generate posexplode" in x)
+    assert not any("RLIKE" in x or "regexp" in x for x in lines[:generate]) and any("RLIKE" in x for x in lines[generate:])
+
+
+@pytest.mark.parametrize("name", ["lifecycle_join_bucketed", "snapshot_merge_bucketed"])
+def test_a_bucketed_registry_is_not_moved(spark, sf, name):
+    """No exchange between the scan of the bucketed table and the join on its key."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan_of(QUERIES[name](spark, sf)).split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    scans = [i for i, x in enumerate(lines) if "Bucketed: true" in x]
+    assert scans
+    for i in scans:
+        above, at = [], depth(lines[i])
+        for x in reversed(lines[:i]):
+            if depth(x) < at:
+                at = depth(x)
+                above.append(x)
+                if "Join" in x:
+                    break
+        assert "Join" in above[-1] and not any("Exchange" in x for x in above)

@@ -138,6 +138,20 @@ def test_canonical_url(spark, raw, canonical):
     assert values(spark, [(raw,)], u.canonical_url(once)) == [canonical]
 
 
+def test_url_keys_as_columns(spark):
+    """The staged columns have the values of the two expressions, whatever the text."""
+    hosts = ("x.org", "WWW.x.org:443", "x.org:8080", "boards.greenhouse.io", "a b", "", "user@y.co")
+    paths = ("", "/", "/jobs/12", "/Jobs/12/apply/", "//a//application", "/embed/job_app", "/roles/7?x", "/jobs/9#f")
+    queries = ("", "?", "?utm_source=a&b=1&&c", "?for=Acme&token=55", "?token=&gh_jid=31", "?token=x1", "?src=q#z", "?gh_src=1&token=2")
+    rows = [(f"{s}{h}{p}{q}",) for s in ("https://", "HTTP://", "ftp://", " https://", "") for h in hosts for p in paths for q in queries] + [(None,), ("",), (" mailto:a@b.c ",)]
+    df = spark.createDataFrame(rows, "x string").withColumn("canonical", F.lit("clash"))
+    got = u.with_url_keys(df, {"canonical": F.col("x"), "again": F.upper("x")}, {"id": F.col("x"), "other": F.col("x")})
+    assert got.columns == ["x", "canonical", "again", "id", "other"]
+    for r in got.select("*", u.canonical_url(F.col("x")).alias("c"), u.canonical_url(F.upper("x")).alias("a"), u.listing_id(F.col("x")).alias("i")).collect():
+        assert (r.canonical, r.again, r.id, r.other) == (r.c, r.a, r.i, r.i), r.x
+
+
+
 def test_ids_keys_and_guards(spark):
     urls = ["https://x.com/jobs/12?gh_jid=34", "https://x.com/roles/56/x", "https://x.com/?token=abc", "https://x.com/?a=1&token=78#f", "", None, "jobs/9"]
     assert values(spark, [(x,) for x in urls], u.listing_id(F.col("x"))) == ["34", "56", "", "78", "", "", ""]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,8 @@ from ..operators.matching import (
     PROVIDER_ORDER, enabled_companies, lifecycle_tables, match_submissions, resolve_by_name, resolve_by_url, resolve_keys,
     route_companies, with_lifecycle,
 )
+from ..session import shared_dir
+from ..sinks.bucketed import BucketedRegistry
 from ..sinks.tables import tracker_in_order
 from ..sources.landed import tracker_applications, tracker_pairs, tracker_status_by_number
 from .registry import query, table
@@ -151,6 +154,17 @@ def lifecycle_join(spark, sf):
     return with_lifecycle(_order_listings(spark, sf), by_url, by_id).select("o_orderkey", "status", "report")
 
 
+@query(
+    "lifecycle_join_bucketed",
+    f"WITH {_LIFE_SQL} SELECT o_orderkey, coalesce(u.status, i.status) AS status, CASE WHEN u.url IS NOT NULL THEN u.report ELSE i.report END AS report FROM l LEFT JOIN by_url u ON l.key = u.url LEFT JOIN by_id i ON l.id = i.id",
+)
+def lifecycle_join_bucketed(spark, sf):
+    """The same with the registry as bucketed tables that hold its ids."""
+    by_url, by_id = _lifecycle(spark, sf)
+    registry = BucketedRegistry(spark, f"registry_{uuid.uuid4().hex}", shared_dir(spark, "bucketed"), "key", 8)
+    return registry.write(_order_listings(spark, sf)).with_lifecycle(by_url, by_id).select("o_orderkey", "status", "report")
+
+
 @query("report_status_join", f"WITH {_LIFE_SQL} SELECT url, status, report FROM by_url")
 def report_status_join(spark, sf):
     return _lifecycle(spark, sf)[0].select("url", "by_url.status", "by_url.report")

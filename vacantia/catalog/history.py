@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.keywords import location_passes, title_passes
@@ -16,6 +18,7 @@ from ..operators.registry import (
 )
 from ..operators.sequence import far_from_accepted, far_from_previous, repost_signal, status_changes
 from ..session import shared_dir
+from ..sinks.bucketed import BucketedRegistry
 from ..sinks.counters import write_counted
 from .registry import query, table
 from .standins import COMPANIES_SQL, FACETS_SQL, STATUS_SQL, companies, event_status, facets
@@ -154,6 +157,15 @@ def snapshot_merge(spark, sf):
     return _merge(spark, sf, F.lit(True))
 
 
+@query("snapshot_merge_bucketed", "WITH " + _SNAP_SQL.replace("{0}", "true") + _MERGE_SQL.replace("{1}", "SELECT grp FROM scan"))
+def snapshot_merge_bucketed(spark, sf):
+    """The same with the registry as a bucketed table."""
+    prior, scan = _snapshots(spark, sf, F.lit(True))
+    root = shared_dir(spark, "bucketed")
+    registry = BucketedRegistry(spark, f"registry_{uuid.uuid4().hex}", root, "o_orderkey", 8).write(prior, url_keys=False)
+    return registry.merged(scan, "grp", _POLICY, scan_date=F.lit("1997-12-31").cast("date"))
+
+
 @query(
     "snapshot_merge_partial",
     "WITH " + _SNAP_SQL.replace("{0}", "grp IN ('BUILDING', 'MACHINERY') AND o_orderpriority IN ('1-URGENT', '2-HIGH')") + _MERGE_SQL.replace("{1}", "SELECT grp FROM scan"),

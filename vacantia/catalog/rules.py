@@ -60,10 +60,10 @@ def exclusion_first_hit(spark, sf):
     return table(spark, sf, "documents").select("doc_id", hit.alias("matched"))
 
 
-@query("keyword_list", "SELECT DISTINCT lower(trim(substr(p_name, p_partkey % 4, 1 + p_size % 9))) AS keyword FROM part WHERE trim(substr(p_name, p_partkey % 4, 1 + p_size % 9)) <> ''")
+@query("keyword_list", "SELECT DISTINCT lower(trim(substr(p_name, 1 + p_partkey % 4, 1 + p_size % 9))) AS keyword FROM part WHERE trim(substr(p_name, 1 + p_partkey % 4, 1 + p_size % 9)) <> ''")
 def keyword_list(spark, sf):
     """A table of keywords as it is compared: lower case, trimmed, none blank, none twice."""
-    part = F.upper(F.substr("p_name", (F.col("p_partkey") % 4).cast("int"), (1 + F.col("p_size") % 9).cast("int")))
+    part = F.upper(F.substr("p_name", (1 + F.col("p_partkey") % 4).cast("int"), (1 + F.col("p_size") % 9).cast("int")))
     return listed_keywords(table(spark, sf, "part").select(part.alias("keyword"))).select(F.col("needle").alias("keyword"))
 
 

@@ -26,7 +26,7 @@ def host(c: str) -> str:
 
 @query("canonical_url", f"SELECT page_id, {canon('url')} AS canonical FROM pages")
 def canonical_url(spark, sf):
-    return table(spark, sf, "pages").select("page_id", u.canonical_url(F.col("url")).alias("canonical"))
+    return u.with_url_keys(table(spark, sf, "pages").select("page_id", "url"), {"canonical": F.col("url")}).select("page_id", "canonical")
 
 
 # All steps at once: upper-case host, default port, tracking parameter first and last, form page.
@@ -49,7 +49,8 @@ def canonical_url_steps(spark, sf):
         F.lit("HTTPS://WWW."), F.upper(site), F.lit(":443"), route, slash, F.lit("apply/?utm_medium=x&gh_jid="),
         F.col("page_id").cast("string"), F.lit("&source=y#apply"),
     )
-    return table(spark, sf, "pages").select("page_id", u.canonical_url(noisy).alias("canonical"), u.listing_id(noisy).alias("listing_id"))
+    rows = table(spark, sf, "pages").select("page_id", noisy.alias("noisy"))
+    return u.with_url_keys(rows, {"canonical": F.col("noisy")}, {"listing_id": F.col("noisy")}).select("page_id", "canonical", "listing_id")
 
 
 @query(

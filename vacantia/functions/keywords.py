@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from .text import let, strip
 
 
+FEW = 8  # keywords
+
+
 def clean_keywords(value) -> list[str]:
     """Config value → keywords: a scalar counts as one, non-strings and blanks are dropped."""
     if value is None:
@@ -44,7 +47,12 @@ def title_passes(title: Column, positive=(), negative=()) -> Column:
     """At least one positive keyword (if any are configured) and no negative one."""
     pos = [k.lower() for k in positive or ()]
     neg = [k.lower() for k in negative or ()]
-    return let(F.lower(F.coalesce(title, F.lit(""))), lambda lowered: (_any_in(lowered, pos) if pos else F.lit(True)) & ~_any_in(lowered, neg))
+    def passes(lowered: Column) -> Column:
+        return (_any_in(lowered, pos) if pos else F.lit(True)) & ~_any_in(lowered, neg)
+
+    # For a few keywords, lower() for each costs less than leaving generated code for a lambda.
+    lowered = F.lower(F.coalesce(title, F.lit("")))
+    return passes(lowered) if len(pos) + len(neg) <= FEW else let(lowered, passes)
 
 
 def location_passes(location: Column, always_allow=None, allow=None, block=None) -> Column:

@@ -7,7 +7,7 @@ international host names are left as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import let, or_else, strip
@@ -114,23 +114,76 @@ def canonical_url(raw: Column) -> Column:
 _ID_SOURCE = r"[?&](?:token|gh_jid)=\d|/(?:jobs|roles)/\d"
 
 
+_ID_IN_PATH = r"(?i)^https?://[^/?#]+[^?#]*?/(?-i:jobs|roles)/(\d+)"
+
+
+def _parameter(url: Column, name: str) -> Column:
+    return F.regexp_extract(url, rf"^[^#?]*\?(?:[^#]*?&)??{name}=([^&#]*)", 1)
+
+
 def listing_id(url: Column) -> Column:
     """Numeric id shared by all URL shapes of one listing; '' when there is none.
 
     The query parameter ``token`` (or, when that is blank, ``gh_jid``) if it is a number, else the
     number after ``/jobs/`` or ``/roles/`` in the path.
     """
-    param = lambda t, name: F.regexp_extract(t, rf"^[^#?]*\?(?:[^#]*?&)??{name}=([^&#]*)", 1)
-
     def found(text: Column) -> Column:
-        given = let(or_else(param(text, "token"), param(text, "gh_jid")), lambda q: F.when(q.rlike(r"^\d+$"), q))
-        in_path = F.regexp_extract(text, r"(?i)^https?://[^/?#]+[^?#]*?/(?-i:jobs|roles)/(\d+)", 1)
+        given = let(or_else(_parameter(text, "token"), _parameter(text, "gh_jid")), lambda q: F.when(q.rlike(r"^\d+$"), q))
+        in_path = F.regexp_extract(text, _ID_IN_PATH, 1)
         return F.when(text.rlike(_WEB), F.coalesce(given, in_path)).otherwise("")
 
     text = F.coalesce(url, F.lit(""))
     return F.when(text.rlike(_ID_SOURCE), let(strip(text), found)).otherwise("")
 
 
+def _staged(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
+    return df.withColumns(steps) if steps else df
+
+
+def with_url_keys(df: DataFrame, urls: dict[str, Column] | None = None, ids: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with canonical URLs (``urls``: new column → text) and listing ids (``ids``) as columns.
+
+    The values of :func:`canonical_url` and :func:`listing_id`. Every step is a column that the next ones use, so a
+    shared part is computed once and all of it stays in generated code.
+    """
+    names = list(df.columns)
+    at = lambda kind, part: F.col(f"__{kind}_{part}")
+    kinds = {f"u{i}": (out, raw) for i, (out, raw) in enumerate((urls or {}).items())}
+    df = _staged(df, {f"__{k}_text": strip(F.coalesce(raw, F.lit(""))) for k, (_, raw) in kinds.items()})
+    pieces = lambda t: F.split(F.regexp_replace(t, _WEB, _CUT.join(f"${i}" for i in range(1, 6))), _CUT)
+    df = _staged(df, {f"__{k}_pieces": F.when(at(k, "text").rlike(_WEB) & ~at(k, "text").rlike(_PLAIN), pieces(at(k, "text"))) for k in kinds})
+    parts = {}
+    for k in kinds:
+        piece = lambda i, k=k: F.get(at(k, "pieces"), F.lit(i))
+        parts |= {
+            f"__{k}_scheme": F.lower(piece(0)), f"__{k}_domain": F.regexp_replace(F.lower(piece(1)), r"^www\.", ""),
+            f"__{k}_port": piece(2), f"__{k}_path": piece(3), f"__{k}_query": piece(4),
+        }
+    df = _staged(df, parts)
+    cleaned = {}
+    for k in kinds:
+        part = {x: at(k, x) for x in ("scheme", "domain", "port", "path", "query")}
+        clean = _clean_parts(part)
+        cleaned |= {f"__{k}_page": _embedded(part), **{f"__{k}_clean_{x}": clean[x] for x in ("origin", "path", "query")}}
+    df = _staged(df, cleaned)
+    out = {}
+    for k, (name, _) in kinds.items():
+        path_, query = at(k, "clean_path"), at(k, "clean_query")
+        shown = F.when((path_ == "") & (query != ""), "/").otherwise(path_)
+        out[name] = F.coalesce(at(k, "page"), F.concat(at(k, "clean_origin"), shown, query), at(k, "text"))
+
+    found = {f"i{i}": (name, raw) for i, (name, raw) in enumerate((ids or {}).items())}
+    df = _staged(df, {f"__{k}_text": F.when(raw.rlike(_ID_SOURCE), strip(raw)) for k, (_, raw) in found.items()})
+    df = _staged(df, {f"__{k}_web": F.when(at(k, "text").rlike(_WEB), at(k, "text")) for k in found})
+    df = _staged(df, {f"__{k}_given": or_else(_parameter(at(k, "web"), "token"), _parameter(at(k, "web"), "gh_jid")) for k in found})
+    for k, (name, _) in found.items():
+        out[name] = F.coalesce(F.when(at(k, "given").rlike(r"^\d+$"), at(k, "given")), F.regexp_extract(at(k, "web"), _ID_IN_PATH, 1), F.lit(""))
+    # Passed through a generator of one row: a filter on a result can't be moved below, where it would repeat every step.
+    kept = [F.col(f"`{c}`") for c in names if c not in out]
+    made = F.explode(F.array(F.struct(*[v.alias(c) for c, v in out.items()]))).alias("__keys")
+    return df.select(*kept, made).select(*kept, *[F.col(f"__keys.`{c}`").alias(c) for c in out])
+
+
 # Where each board keeps the company slug in its URLs, in matching order.
 BOARD_PATTERNS = (
     ("greenhouse.io", r"(?i)job-boards(?:\.eu)?\.greenhouse\.io/([^/?#]+)", "greenhouse"),

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, or_else, report_file, strip
-from ..functions.urls import board_and_slug, canonical_url, https_on_host, listing_id, slug_candidates, workday_parts
+from ..functions.text import or_else, report_file, strip
+from ..functions.urls import board_and_slug, canonical_url, https_on_host, slug_candidates, with_url_keys, workday_parts
 from .containment import contained
 from .skew import lookup
 
@@ -23,14 +23,14 @@ def lifecycle_tables(
     report (the first one of a URL) counts only where there is none, with the status the tracker has
     for its number. Among the URLs of one id, reports come after applications and the last one wins.
     """
-    apps = applications.where("coalesce(key, '') <> ''").select(
-        canonical_url(F.col("key")).alias("url"),
+    apps = with_url_keys(applications.where("coalesce(key, '') <> ''"), {"__url": F.col("key")}).select(
+        F.col("__url").alias("url"),
         F.struct(F.nullif("status", F.lit("")).alias("status"), report_file(F.col("report")).alias("report")).alias("value"),
         F.lit(1).alias("is_app"), F.col(order).alias("ord"), F.col(order).alias("rank"),
     )
     by_number = tracker.where("coalesce(num, '') <> ''").groupBy("num").agg(F.max("status").alias("tracker_status"))
-    noted = reports.where("coalesce(url, '') <> ''").join(by_number, "num", "left").select(
-        canonical_url(F.col("url")).alias("url"),
+    noted = with_url_keys(reports.where("coalesce(url, '') <> ''"), {"__url": F.col("url")}).join(by_number, "num", "left").select(
+        F.col("__url").alias("url"),
         F.struct(or_else(F.col("tracker_status"), F.lit("Evaluated")).alias("status"), F.col("file").alias("report")).alias("value"),
         F.lit(0).alias("is_app"), F.col(order).alias("ord"), (-F.col(order)).alias("rank"),
     )
@@ -39,7 +39,7 @@ def lifecycle_tables(
     per_url = apps.unionByName(noted).groupBy("url").agg(best.alias("best"))
     by_url = per_url.select("url", F.col("best.value").alias("by_url"))
     last = F.max_by("best.value", F.struct(-F.col("best.is_app"), F.col("best.ord")))
-    by_id = per_url.withColumn("id", listing_id(F.col("url"))).where("id <> ''").groupBy("id").agg(last.alias("by_id"))
+    by_id = with_url_keys(per_url, ids={"id": F.col("url")}).where("id <> ''").groupBy("id").agg(last.alias("by_id"))
     return by_url, by_id
 
 
@@ -48,7 +48,7 @@ def with_lifecycle(listings: DataFrame, by_url: DataFrame, by_id: DataFrame, key
 
     ``tracked`` tells an application without a status from no application at all.
     """
-    tagged = listings.withColumns({"__url": F.col(key), "__id": F.nullif(listing_id(F.col(key)), F.lit(""))})
+    tagged = with_url_keys(listings, ids={"__id": F.col(key)}).withColumns({"__url": F.col(key), "__id": F.nullif("__id", F.lit(""))})
     found = lookup(tagged, by_url.withColumnRenamed("url", "__url"), "__url")
     found = lookup(found, by_id.withColumnRenamed("id", "__id"), "__id")
     value = F.coalesce(F.col("by_url"), F.col("by_id"))
@@ -64,21 +64,19 @@ def match_submissions(submissions: DataFrame, listings: DataFrame, order: str, s
     and every submission looks up its few values.
     """
     def pairs(kinds: dict[str, Column]) -> Column:
-        """Distinct (kind, value) pairs a row can be found by, blank values left out."""
-        made = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])
-        return F.array_distinct(F.filter(made, lambda p: F.coalesce(p["value"], F.lit("")) != ""))
+        return F.explode(F.array(*[F.struct(F.lit(k.rstrip("0123456789")).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("__k")
 
-    ids = {f"id{i}": listing_id(F.col(c)) for i, c in enumerate(("key", "url", "apply_url"))}
-    entries = listings.select(
+    named = with_url_keys(listings, {"__apply": F.col("apply_url")}, {f"__id{i}": F.col(c) for i, c in enumerate(("key", "url", "apply_url"))})
+    entries = named.select(
         "key", F.col(order).alias("__ord"),
-        F.explode(pairs({"key": F.col("key"), "url": F.col("url"), "apply": canonical_url(F.col("apply_url")), **ids})).alias("__k"),
-    ).select("key", "__ord", F.regexp_replace("__k.kind", "^id.$", "id").alias("kind"), "__k.value")
+        pairs({"key": F.col("key"), "url": F.col("url"), "apply": F.col("__apply"), **{f"id{i}": F.col(f"__id{i}") for i in range(3)}}),
+    ).select("key", "__ord", "__k.kind", "__k.value").where("value <> ''")
     table = entries.groupBy("kind", "value").agg(F.min_by(F.struct("__ord", "key"), "__ord").alias("found"))
     raw = F.col("apply_url")
-    wanted = submissions.select(
-        F.col(submission_id),
-        F.explode(let(canonical_url(raw), lambda c: pairs({"key": c, "url": raw, "apply": c, "id": listing_id(raw)}))).alias("__k"),
-    ).select(submission_id, "__k.kind", "__k.value")
+    asked = with_url_keys(submissions, {"__url": raw}, {"__id": raw})
+    wanted = asked.select(
+        F.col(submission_id), pairs({"key": F.col("__url"), "url": raw, "apply": F.col("__url"), "id": F.col("__id")})
+    ).select(submission_id, "__k.kind", "__k.value").where("value <> ''")
     hits = lookup(wanted, table, ["kind", "value"]).where("found IS NOT NULL")
     best = hits.groupBy(submission_id).agg(F.min("found").alias("__best"))
     return submissions.join(best, submission_id, "left").withColumn("matched_key", F.col("__best.key")).drop("__best")

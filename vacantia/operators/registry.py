@@ -30,14 +30,15 @@ def _merged(rule, new: Column, old: Column) -> Column:
 
 def merge_snapshot(
     prior: DataFrame, scan: DataFrame, key: str, group: str, policy: dict[str, int],
-    scanned_groups: DataFrame | None = None, scan_date: Column | None = None,
+    scanned_groups: DataFrame | None = None, scan_date: Column | None = None, few_groups: int = 0,
 ) -> DataFrame:
     """Merge one scan into a registry.
 
     Rows of the scan take each column by ``policy`` and become live. Prior rows missing from the
     scan keep all their columns; they go dead only if their group was scanned. ``scanned_groups``
     (one column named ``group``) states what was scanned, so a board that came back empty expires its
-    rows too; without it, the groups of the scan's rows count. Both inputs have one row per key.
+    rows too; without it, the groups of the scan's rows count. Both inputs have one row per key. If there are no more
+    than ``few_groups`` of them (which is counted first), they are broadcast and the merged rows stay where they are.
     """
     if scanned_groups is None:
         scanned_groups = scan.select(group).where(F.col(group).isNotNull()).distinct()
@@ -47,7 +48,11 @@ def merge_snapshot(
     both = old.join(new, key, "full_outer")
     # Only rows absent from the scan need to know whether their group was scanned.
     both = both.withColumn(group, F.when(F.col("__new").isNull(), F.col(f"__p_{group}")))
-    both = in_group(both, scanned_groups, group, "__group_scanned")
+    if few_groups and scanned_groups.distinct().limit(few_groups + 1).count() <= few_groups:
+        listed = scanned_groups.distinct().withColumn("__group_scanned", F.lit(True))
+        both = both.join(F.broadcast(listed), group, "left").withColumn("__group_scanned", F.coalesce("__group_scanned", F.lit(False)))
+    else:
+        both = in_group(both, scanned_groups, group, "__group_scanned")
 
     present = F.col("__new").isNotNull()
     out = {}
