@@ -92,3 +92,8 @@ def test_a_bucketed_registry_is_not_moved(spark, sf, name):
                 if "Join" in x:
                     break
         assert "Join" in above[-1] and not any("Exchange" in x for x in above)
+
+
+def test_a_mixed_payload_table_is_read_once(spark, sf):
+    plan = plan_of(QUERIES["provider_normalize"](spark, sf))
+    assert plan.count("FileScan") == 1

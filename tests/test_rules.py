@@ -239,6 +239,47 @@ def test_own_parser_shapes(spark):
     assert jobs(spark, "local-parser", wrapped) == [("C", "https://o.org/c", "Berlin, Remote")]
 
 
+PAYLOADS = {
+    "greenhouse": '{"jobs":[{"title":"G","absolute_url":"https://g.org/1","location":{"name":"Oslo"}},{"title":"no url"}]}',
+    "ashby": '{"jobs":[{"title":"A","jobUrl":"https://a.org/1","location":"Rome","secondaryLocations":[{"location":"Bari"}]}]}',
+    "lever": '[{"text":"L","hostedUrl":"https://l.org/1","categories":{"location":"Lyon","allLocations":["Nice","Lyon"]},"createdAt":"soon"}]',
+    "gem": '[{"data":{"oatsExternalJobPostings":{"jobPostings":[{"extId":"e1","title":"M","locations":[{"name":"Ulm"},{"name":null}]}]}}}]',
+    "bamboohr": '{"result":[{"id":7,"jobOpeningName":"B","location":{"city":"Linz"},"isRemote":"yes"},{"id":"0","jobOpeningName":"x"}]}',
+    "breezy": '[{"name":"Z","friendly_id":"z1","location":{"city":{"name":"Pisa"},"is_remote":true}}]',
+    "recruitee": '{"offers":[{"title":"R","careers_url":"https://acme.recruitee.com/o/r","city":"Delft","remote":false}]}',
+    "smartrecruiters": '{"content":[{"id":"1","name":"S","ref":"https://api.smartrecruiters.com/v1/companies/acme/postings/1","location":{"city":"Brno"}}]}',
+    "workable": "| W | Eng | Kiel | Full | | 2026 | [View](https://apply.workable.com/acme/jobs/view/A1.md) |",
+    "workday": '{"total":1,"jobPostings":[{"title":"D","externalPath":"/job/1","locationsText":"Cork"},{"title":"again","externalPath":"/job/1"}]}',
+    "rippling": '<script id="__NEXT_DATA__" type="x">{"props":{"pageProps":{"dehydratedState":{"queries":[{"state":{"data":{"items":[]}}},{"state":{"data":{"items":[{"name":"P","url":"/co/jobs/1","locations":[{"city":"Gent","workplaceType":"REMOTE"}]}]}}}]}}}}</script>',
+    "local-parser": '{"results":[{"name":"O","jobUrl":"/o","location":{"text":"Turku"}}]}',
+}
+BOARDS = {
+    "gem": "https://jobs.gem.com/co", "bamboohr": "https://co.bamboohr.com", "breezy": "https://co.breezy.hr/x", "workday": "https://t.wd1.myworkdayjobs.com/en-US/Site",
+    "rippling": "https://ats.rippling.com/co/jobs", "local-parser": "https://acme.com/careers",
+}
+
+
+def test_all_providers_in_one_table(spark):
+    """Every provider's rows by its own rules, among payloads that are broken, empty, null, of another kind, or nobody's."""
+    rows = [(p, "Acme", BOARDS.get(p, ""), x) for p, x in PAYLOADS.items()]
+    rows += [(p, "Acme", BOARDS.get(p), x) for p in PAYLOADS for x in (None, "", "{", "[]", "{}", "7", '"text"', '[null, 3, "x", []]', '{"jobs": 5, "offers": {}}')]
+    rows += [("nobody", "Acme", "", PAYLOADS["lever"]), (None, "Acme", "", PAYLOADS["lever"])]
+    df = spark.createDataFrame(rows, "provider string, company string, careers_url string, payload string")
+    got = {r.provider: (r.title, r.url, r.location) for r in pv.normalize_all(df).where("title <> ''").collect()}
+    assert got == {
+        "greenhouse": ("G", "https://g.org/1", "Oslo"), "ashby": ("A", "https://a.org/1", "Rome, Bari"), "lever": ("L", "https://l.org/1", "Lyon, Nice"),
+        "gem": ("M", "https://jobs.gem.com/co/e1", "Ulm • "), "bamboohr": ("B", "https://co.bamboohr.com/careers/7", "Linz Remote"),
+        "breezy": ("Z", "https://co.breezy.hr/p/z1", "Pisa Remote"), "recruitee": ("R", "https://acme.recruitee.com/o/r", "Delft"),
+        "smartrecruiters": ("S", "https://jobs.smartrecruiters.com/acme/postings/1", "Brno"), "workable": ("W", "https://apply.workable.com/acme/jobs/view/A1", "Kiel"),
+        "workday": ("D", "https://t.wd1.myworkdayjobs.com/en-US/Site/job/1", "Cork"), "rippling": ("P", "https://ats.rippling.com/co/jobs/1", "Gent Remote"),
+        "local-parser": ("O", "https://acme.com/o", "Turku"),
+    }
+    for name in PAYLOADS:
+        assert sorted(map(str, pv.normalize(df.where(F.col("provider") == name), name).collect())) == sorted(
+            str(r) for r in pv.normalize_all(df, [name]).drop("provider").collect()
+        )
+
+
 def test_tracker_round_trip(spark):
     apps = spark.createDataFrame(
         [(8, "2024-01-02", "Acme | Co", "Dev", "4.2", "Applied", "", "cv.pdf", "[8](reports/8.md)", "a\nb")],
