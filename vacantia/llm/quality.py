@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from vacantia.llm.common import SPACES, filled, plain_words, scratch, staged
 
 REPEAT_WINDOW = 8
+FEW_LABELS = 1_000_000
 STAT_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
 DIGITS, CAPITALS, MARKS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?"
@@ -246,6 +247,13 @@ def decision(rules: list[Rule], stats: str = "stats") -> Column:
     return out
 
 
+def with_label(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that a label speaks of: their ids are counted, and sent to every task if they are few (8 bytes each)."""
+    ids = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
+    few = ids.limit(FEW_LABELS + 1).count() <= FEW_LABELS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics of the labelled documents with ``bad``."""
     given = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("__id"), (1 - F.col("quality")).alias("bad"))
@@ -262,10 +270,14 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, all columns as they were. Statistics are computed twice, so that no text is written here."""
+    """The documents that pass, all columns as they were.
+
+    Rules are learned from the statistics of the labelled documents alone; then those of all are computed as they are
+    judged, so that no text is written here.
+    """
     names = docs.columns
     packed = docs.select(F.struct(*keep_cols(names)).alias("__doc"), F.col("doc_id"), F.col("text"))
     with scratch(docs.sparkSession):
-        rules = learn_rules(labelled(text_stats(packed.select("doc_id", "text"), ["doc_id"]), labels))
+        rules = learn_rules(labelled(text_stats(with_label(packed.select("doc_id", "text"), labels), ["doc_id"]), labels))
     stats = text_stats(packed, ["__doc"])
     return stats.where(~base_failed() & (decision(rules) == 0)).select("__doc.*")
