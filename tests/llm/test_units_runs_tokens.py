@@ -110,6 +110,8 @@ def test_runs_of_texts(spark):
 
 def test_planted_runs_query(spark, sf, tmp_path):
     rows = [(i, sentence(random.Random(i), 20 + i, 300), "", "", 0) for i in range(90)] + [(None, "a b " * 9, "", "", 0), (3, None, "", "", 0), (3, "", "", "", 0)]
+    chosen = [i for i in range(300, 500) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows += [(i, t, "", "", 0) for i, t in zip(chosen, (None, "", " \n", "one", "a b", "x " * 40), strict=False)]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((tuple(r) for r in QUERIES["op11_periodic_runs"](spark, str(tmp_path)).collect()), key=repr)
     assert got == sorted(((r[0], *brute_digest(brute_planted(r[0], r[1]))) for r in rows), key=repr)

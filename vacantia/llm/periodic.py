@@ -232,7 +232,7 @@ def planted(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str =
     names = docs.columns
     h = F.crc32(F.col(f"`{key}`").cast("string").cast("binary"))
     chosen = docs.select("*", h.alias("__h"), F.when(h % 10 == 0, plain_words(filled(F.col(f"`{text}`")))).alias("__words"))
-    n = F.size("__words")
+    n = F.when(F.size("__words") > 0, F.size("__words"))
     g = F.floor(F.col("__h") / 10)
     a = (g % n).cast("int")
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
