@@ -20,6 +20,7 @@ from ..operators.sequence import far_from_accepted, far_from_previous, repost_si
 from ..session import shared_dir
 from ..sinks.bucketed import BucketedRegistry
 from ..sinks.counters import write_counted
+from ..sinks.tables import write_scan
 from .registry import query, table
 from .standins import COMPANIES_SQL, FACETS_SQL, STATUS_SQL, companies, event_status, facets
 from .urls import HOST
@@ -99,6 +100,17 @@ def scan_outcome_counts(spark, sf):
     return spark.createDataFrame([(k, n) for k, n in counts.items() if n], "outcome string, n long")
 
 
+@query("scan_round_trip", "SELECT p_partkey, p_name, (SELECT count(*) FROM part) AS n_rows, '1998-06-01' AS scanned_at FROM part")
+def scan_round_trip(spark, sf):
+    """A scan and its record, written side by side and read back."""
+    path = f"{shared_dir(spark, 'scan')}/raw"
+    rows = table(spark, sf, "part").select("p_partkey", "p_name")
+    write_scan(rows, rows.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("scanned_at", F.lit("1998-06-01")), path)
+    meta = spark.read.schema("n_rows long, scanned_at string").json(f"{path}/meta")
+    back = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+    return back.withColumns({c: meta.select(c).scalar() for c in ("n_rows", "scanned_at")})
+
+
 @query(
     "two_key_dedup",
     f"""WITH RECURSIVE r AS (SELECT page_id, {HOST.replace("{0}", "url")} AS u, substr(url, length(url) - 5, 2) AS k, row_number() OVER (ORDER BY page_id) AS rn FROM pages),
