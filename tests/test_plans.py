@@ -5,6 +5,7 @@ import re
 import pytest
 
 from vacantia.catalog.registry import QUERIES, load_all
+from vacantia.operators.matching import resolve_keys
 
 load_all()
 STREAMS = [n for n in QUERIES if n.startswith("stream_")]
@@ -64,6 +65,18 @@ def test_keywords_of_a_table_meet_titles_by_a_join(spark, sf):
     assert "gram" in plan and "NestedLoopJoin" not in plan
 
 
+def test_stretches_of_texts_are_not_broadcast(spark, tmp_path):
+    """Small files may hold many rows, and each text has many stretches: no size is known before these joins run."""
+    spark.range(2000).selectExpr("concat('Customer ', id) AS company", "'' AS title", "concat('p', id) AS key", "id AS ord").write.parquet(f"{tmp_path}/named")
+    spark.range(300).selectExpr("concat('MER ', id * 7) AS text").write.parquet(f"{tmp_path}/typed")
+    named, typed = spark.read.parquet(f"{tmp_path}/named"), spark.read.parquet(f"{tmp_path}/typed")
+    found = resolve_keys(typed, named, named, "ord")
+    assert "Broadcast" not in plan_of(found)
+    # Of the numbers that begin with these digits, the first in order is the number itself where it exists.
+    want = {f"MER {7 * i}": f"p{7 * i}" if 7 * i < 2000 else "" for i in range(300)}
+    assert {r.text: r.key for r in found.collect()} == want
+
+
 def test_boards_of_workday_are_read_once_a_payload(spark, sf):
     """The rules of the board's address stand below the generator that makes rows of jobs."""
     lines = QUERIES["provider_workday"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")

@@ -28,7 +28,8 @@ def contained(texts: DataFrame, needles: DataFrame, size: int = GRAM) -> DataFra
     hold this one, and what meets is verified. Stretches are counted first (one row per stretch and task before the
     shuffle); a needle with a stretch that no text holds meets nothing. Needles shorter than ``size`` are looked up by
     shorter stretches. Comparison is exact, case included. Null and empty values on either side match nothing, repeated
-    ones count once. There is no limit on how many pairs a text or a needle may have.
+    ones count once. There is no limit on how many pairs a text or a needle may have. Stretches are joined by sorting:
+    the size Spark expects of them is that of the compressed files, and many times as many rows would be broadcast.
     """
     where = lambda df, c: df.toDF(c).where(F.col(c) != "").distinct()
     texts, needles = where(texts, "text"), where(needles, "needle")
@@ -38,12 +39,12 @@ def contained(texts: DataFrame, needles: DataFrame, size: int = GRAM) -> DataFra
         mine = needles.where(long_enough).select("needle", F.explode(grams(F.col("needle"), n)).alias("gram"))
         asked = mine.select("gram").distinct()
         counts = texts.select(F.explode(grams(F.col("text"), n)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n_texts"))
-        known = lookup(mine, counts.join(asked, "gram", "left_semi"), "gram")
+        known = lookup(mine, counts.join(asked.hint("merge"), "gram", "left_semi").hint("merge"), "gram")
         rarest = known.groupBy("needle").agg(
             F.min_by("gram", F.struct("n_texts", "gram")).alias("gram"), F.count(F.when(F.col("n_texts").isNull(), 1)).alias("absent")
         ).where("absent = 0").select("needle", "gram")
         held = texts.select("text", F.explode(grams(F.col("text"), n)).alias("gram"))
-        pairs = held.join(rarest, "gram").where(F.col("text").contains(F.col("needle"))).select("text", "needle")
+        pairs = held.join(rarest.hint("merge"), "gram").where(F.col("text").contains(F.col("needle"))).select("text", "needle")
         out = pairs if out is None else out.unionByName(pairs)
     return out
 

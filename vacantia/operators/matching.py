@@ -183,14 +183,15 @@ def resolve_keys(texts: Sequence[str] | DataFrame, listings: DataFrame, applicat
     def firsts(named: DataFrame, out: str) -> DataFrame:
         """Per needle the key first in order among the names that hold it; a name stands for all its rows."""
         row = F.min_by(F.struct(F.col(order).alias("o"), F.col("key").alias("k")), F.struct(order, "key"))
-        own = named.groupBy("name").agg(row.alias("first"))
+        # A row per name, as many as the table has: sorted and not broadcast, however small its files are.
+        own = named.groupBy("name").agg(row.alias("first")).hint("merge")
         hits = contained(named.select("name"), needles)
         found = hits.join(own, F.col("text") == F.col("name")).groupBy("needle").agg(F.min("first").alias("first"))
         return found.select("needle", F.col("first.k").alias(out))
 
     both = listings.select(F.concat_ws(" ", company, title).alias("name"), "key", order)
     apart = applications.select(F.explode(F.array(company, title)).alias("name"), "key", order)
-    exact = applications.select(F.col("key").alias("text")).distinct().withColumn("exact", F.col("text"))
+    exact = applications.select(F.col("key").alias("text")).distinct().withColumn("exact", F.col("text")).hint("merge")
     joined = lookup(lookup(lookup(asked, exact, "text"), firsts(both, "listing"), "needle"), firsts(apart, "application"), "needle")
     key = F.when(F.col("text").rlike("(?i)^https?://"), canonical_url(F.col("text"))).otherwise(
         or_else(F.col("exact"), F.col("listing"), F.col("application"))
