@@ -192,6 +192,28 @@ def test_substring_dedup(spark, shard_bytes):
     assert suffix.substring_dedup(empty(spark)).count() == 0
 
 
+def test_shards_are_shuffled_once(spark, monkeypatch):
+    """What is found for the shards comes to their buckets; the table of shards goes in the end."""
+    plans, stage = {}, suffix.staged
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def seen(df, purpose, keep=False):
+        plans[purpose] = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        return stage(df, purpose, keep)
+
+    monkeypatch.setattr(suffix, "staged", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert suffix.substring_dedup(documents(spark), 2000).count() == documents(spark).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    for purpose in ("text-repeats", "text-kept"):
+        join = next(i for i, x in enumerate(plans[purpose]) if "Join" in x)
+        own = plans[purpose][join + 1 : next(i for i, x in enumerate(plans[purpose]) if i > join and "Scan" in x) + 1]
+        assert "Bucketed: true" in own[-1] and not any("Exchange" in x for x in own)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("text_shards")]
+
+
 def test_substring_dedup_of_odd_rows(spark):
     docs = odd(spark)
     got = suffix.substring_dedup(docs).collect()
